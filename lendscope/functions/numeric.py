@@ -27,3 +27,25 @@ def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
     if hi is not None:
         c = F.least(c, F.lit(hi))
     return c
+
+
+def _split(x: Column):
+    """Veltkamp split: x = hi + lo with 26-bit halves."""
+    c = x * 134217729.0  # 2^27 + 1
+    hi = c - (c - x)
+    return hi, x - hi
+
+
+def fma(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with one rounding (emulated with exact products and sums:
+    Dekker's two-product and Knuth's two-sum), as a fused multiply-add
+    gives; used where results must agree bit-for-bit with engines that
+    interpolate with FMA."""
+    p = a * b
+    ah, al = _split(a)
+    bh, bl = _split(b)
+    e = ((ah * bh - p) + ah * bl + al * bh) + al * bl   # a*b = p + e exactly
+    s = p + c
+    bb = s - p
+    t = (p - (s - bb)) + (c - bb)                        # p + c = s + t exactly
+    return s + (t + e)

@@ -230,8 +230,26 @@ def positive_prob(model, df: DataFrame, features: list[str], out: str = "pd") ->
                                                                          "probability", "prediction")
 
 
-FOREST_SPACE = {"numTrees": (50, 300), "maxDepth": (3, 15), "minInstancesPerNode": (1, 10)}
-BOOST_SPACE = {"maxIter": (50, 300), "maxDepth": (3, 8), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0)}
+# Search ranges of the reference workflow (inclusive).
+FOREST_SPACE = {"numTrees": ("int", 50, 400), "maxDepth": ("int", 3, 15), "minInstancesPerNode": ("int", 1, 10),
+                "featureSubsetStrategy": ("choice", ["sqrt", "log2", "all"])}
+BOOST_SPACE = {"maxIter": ("int", 50, 500), "maxDepth": ("int", 3, 10), "stepSize": ("log", 0.01, 0.30),
+               "subsamplingRate": ("float", 0.5, 1.0), "minInstancesPerNode": ("int", 1, 20)}
+
+
+def draw_params(space: dict, rng: random.Random) -> dict:
+    out = {}
+    for name, spec in space.items():
+        kind = spec[0]
+        if kind == "int":
+            out[name] = rng.randint(spec[1], spec[2])
+        elif kind == "float":
+            out[name] = rng.uniform(spec[1], spec[2])
+        elif kind == "log":
+            out[name] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
+        else:
+            out[name] = rng.choice(spec[1])
+    return out
 
 
 def cv_search(df: DataFrame, features: list[str], label: str, key: str, n_trials: int = 50, k: int = 5,
@@ -240,21 +258,14 @@ def cv_search(df: DataFrame, features: list[str], label: str, key: str, n_trials
     fold column, AUC maximised.  Returns (best model, [(params, auc)])."""
     rng = random.Random(seed)
     space = FOREST_SPACE if kind == "forest" else BOOST_SPACE
-    est = (RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed,
-                                  featureSubsetStrategy="sqrt")
+    est = (RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed)
            if kind == "forest" else
            GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed))
-    maps = []
-    for _ in range(n_trials):
-        pm = {}
-        for name, (lo, hi) in space.items():
-            val = rng.randint(lo, hi) if isinstance(lo, int) else rng.uniform(lo, hi)
-            pm[est.getParam(name)] = val
-        maps.append(pm)
+    maps = [{est.getParam(name): v for name, v in draw_params(space, rng).items()} for _ in range(n_trials)]
     data = _assemble(kfold(balanced_weights(df, label), key, k, seed), features)
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps or ParamGridBuilder().build(), evaluator=ev,
-                        foldCol="fold", parallelism=parallelism, seed=seed)
+                        foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)
     cvm = cv.fit(data)
     results = [({p.name: v for p, v in m.items()}, float(a)) for m, a in zip(maps, cvm.avgMetrics)]
     return cvm.bestModel, results

@@ -21,6 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import fma
 from ..session import ensure_checkpoint_dir
 
 LOCAL_LIMIT = 200_000
@@ -114,7 +115,10 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
     agg = exploded.groupBy(*group_cols, "q_idx", "prob").agg(
         F.first("h").alias("h"), F.max("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"))
     frac = F.col("h") - F.floor("h")
-    q = F.when(frac == 0, F.col("x_lo")).otherwise(F.col("x_lo") * (1 - frac) + F.col("x_hi") * frac)
+    # lo * (1 - frac) + hi * frac, the first product fused (bit-identical to
+    # DuckDB's quantile_cont); equal neighbours give the value itself.
+    lo_, hi_ = F.col("x_lo"), F.col("x_hi")
+    q = F.when((frac == 0) | (lo_ == hi_), lo_).otherwise(fma(lo_, F.lit(1.0) - frac, hi_ * frac))
     return agg.select(*group_cols, "q_idx", "prob", q.alias("q"))
 
 

@@ -28,7 +28,8 @@ FACTOR, OFFSET = sc.scaling()
 def woe_sum_model(fit_rows, target="target"):
     """Fit WoE on ``fit_rows``; unit betas for IV-selected features."""
     m = woe.fit_woe(fit_rows, target, NUM, CAT)
-    feats = woe.selected_features(woe.iv_summary(m), IV_MIN)
+    chosen = set(woe.selected_features(woe.iv_summary(m), IV_MIN))
+    feats = [f for f in NUM + CAT if f in chosen]   # model order: numeric, then categorical
     r = fit_rows.agg(F.sum(F.col(target)).alias("e"), F.sum(F.lit(1) - F.col(target)).alias("ne")).first()
     intercept = math.log(r["e"] / r["ne"])
     return sc.build_model(intercept, {f: 1.0 for f in feats}, m)
