@@ -120,11 +120,16 @@ def fit_logit(df: DataFrame, features: list[str], label: str, max_iter: int = 10
                                       maxIter=max_iter, regParam=0.0, fitIntercept=True)
     if weight:
         glr.setWeightCol(weight)
-    m = glr.fit(va.transform(data.select(*features, label, *([weight] if weight else []))))
+    # IRLS makes one pass per iteration plus several for the summary: cache
+    # the assembled rows once
+    assembled = va.transform(data.select(*features, label, *([weight] if weight else []))).persist()
+    m = glr.fit(assembled)
     s = m.summary
-    return LogitFit(list(features), [float(v) for v in m.coefficients], float(m.intercept),
-                    list(s.coefficientStandardErrors), list(s.pValues), float(s.deviance),
-                    float(s.nullDeviance), float(s.aic), int(s.numInstances), m)
+    fit = LogitFit(list(features), [float(v) for v in m.coefficients], float(m.intercept),
+                   list(s.coefficientStandardErrors), list(s.pValues), float(s.deviance),
+                   float(s.nullDeviance), float(s.aic), int(s.numInstances), m)
+    assembled.unpersist()
+    return fit
 
 
 def coefficient_table(spark, fit: LogitFit, alpha: float = 0.05) -> DataFrame:

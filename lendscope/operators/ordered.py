@@ -4,8 +4,8 @@
 task.  Everything here first aggregates to one row per distinct
 (group, value), then computes running sums in one of two ways:
 
-* small input (distinct rows <= ``local_limit``): a window partitioned by
-  the group key; the size check bounds what one task holds;
+* small groups (largest group <= ``local_limit`` distinct rows): a window
+  partitioned by the group key; the size check bounds what one task holds;
 * large input: range-partition on (group, value), checkpoint so that the
   partition ids are fixed even if tasks are retried, running sums inside
   each range partition, and add the totals of all preceding partitions
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import fma
 from ..session import ensure_checkpoint_dir
 
-LOCAL_LIMIT = 200_000
+LOCAL_LIMIT = 1_000_000
 ROWS_PER_RANGE = 2_000_000
 
 
@@ -41,8 +41,10 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
     """
     limit = LOCAL_LIMIT if local_limit is None else local_limit
     df = df.persist()
-    n = df.count()
-    if n <= limit:
+    # the window path puts one group in one task: decide on the largest group
+    sizes = df.groupBy(*group_cols).count().agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first()
+    n, largest = int(sizes["n"] or 0), int(sizes["mx"] or 0)
+    if largest <= limit:
         w_run = (Window.partitionBy(*group_cols).orderBy(_order_col(order_col, ascending))
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         w_all = Window.partitionBy(*group_cols)

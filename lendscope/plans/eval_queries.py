@@ -19,7 +19,7 @@ MODELS = ["pd", "pd_fine"]
 
 
 def models_long(spark, sf_dir):
-    book = loan_book(spark, sf_dir).select("loan_id", "target", *MODELS)
+    book = loan_book(spark, sf_dir, materialize=True).select("loan_id", "target", *MODELS)
     return book.unpivot(["loan_id", "target"], MODELS, "model", "score")
 
 

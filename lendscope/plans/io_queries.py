@@ -58,7 +58,7 @@ def score_stream_q(spark, sf_dir):
     """Applicants land as parquet files; a Structured Streaming query
     scores them with the batch scorer's expressions (availableNow trigger);
     the result equals ``score_book``."""
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     model = woe_sum_model(book)
     cols = ["loan_id", "target"] + model.features
     src, out, ck = scratch_dir(spark, "applicants"), scratch_dir(spark, "scored"), scratch_dir(spark, "stream-ckpt")

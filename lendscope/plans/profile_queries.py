@@ -27,7 +27,7 @@ def basic_info_q(spark, sf_dir):
 SELECT target AS value, CAST(COUNT(*) AS BIGINT) AS n, COUNT(*) * 100.0 / (SELECT COUNT(*) FROM loan_book) AS share_pct
 FROM loan_book GROUP BY target"""))
 def value_share_q(spark, sf_dir):
-    return sb.value_share(loan_book(spark, sf_dir), "target")
+    return sb.value_share(loan_book(spark, sf_dir, materialize=True), "target")
 
 
 @query("default_rate_by_category", with_loan_book(" UNION ALL ".join(
@@ -63,7 +63,7 @@ SELECT feature, CAST(COUNT(x) AS BIGINT) AS count, ROUNDX(AVG(x), 2) AS mean, RO
        ROUNDX(quantile_cont(x, 0.75), 2) AS q75, ROUNDX(MAX(x), 2) AS max
 FROM ({numeric_long()}) t GROUP BY feature"""))
 def describe_q(spark, sf_dir):
-    return sb.describe(loan_book(spark, sf_dir), NUM)
+    return sb.describe(loan_book(spark, sf_dir, materialize=True), NUM)
 
 
 @query("iqr_outliers", with_loan_book(f"""
@@ -74,7 +74,7 @@ SELECT b.feature, b.q1, b.q3, ROUNDX(b.lo, 2) AS lower_bound, ROUNDX(b.hi, 2) AS
        ROUNDX(SUM(CASE WHEN t.x < b.lo OR t.x > b.hi THEN 1 ELSE 0 END) * 100.0 / COUNT(*), 2) AS outlier_pct
 FROM ({numeric_long()}) t JOIN b ON t.feature = b.feature GROUP BY b.feature, b.q1, b.q3, b.lo, b.hi"""))
 def iqr_outliers_q(spark, sf_dir):
-    return sb.iqr_outliers(loan_book(spark, sf_dir), NUM)
+    return sb.iqr_outliers(loan_book(spark, sf_dir, materialize=True), NUM)
 
 
 def _hist_sql(col: str, bins: int) -> str:
@@ -95,7 +95,7 @@ FROM hc JOIN cn ON hc.target = cn.target, ed"""
 
 @query("histogram_by_class", with_loan_book(_hist_sql("credit_amount", 20)))
 def histogram_by_class_q(spark, sf_dir):
-    return sb.histogram_by_class(loan_book(spark, sf_dir), "credit_amount", "target", 20)
+    return sb.histogram_by_class(loan_book(spark, sf_dir, materialize=True), "credit_amount", "target", 20)
 
 
 @query("box_stats", with_loan_book(f"""
@@ -109,4 +109,4 @@ SELECT qq.feature, qq.target, CAST(COUNT(t.x) AS BIGINT) AS n, MIN(t.x) AS min,
 FROM t JOIN qq ON t.feature = qq.feature AND t.target = qq.target
 GROUP BY qq.feature, qq.target, qq.q1, qq.median, qq.q3"""))
 def box_stats_q(spark, sf_dir):
-    return sb.box_stats(loan_book(spark, sf_dir), NUM, "target")
+    return sb.box_stats(loan_book(spark, sf_dir, materialize=True), NUM, "target")

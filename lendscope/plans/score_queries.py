@@ -95,13 +95,13 @@ SELECT w.feature, w.bin_id, w.lo, w.hi, w.category, w.total AS count, w.default_
        ROUNDX(-(1.0 * w.woe + (SELECT b0 / k FROM icp)) * {FACTOR!r}, 1) AS points
 FROM woe_r w JOIN sel ON sel.feature = w.feature"""))
 def scorecard_q(spark, sf_dir):
-    return sc.build_scorecard(woe_sum_model(loan_book(spark, sf_dir)))
+    return sc.build_scorecard(woe_sum_model(loan_book(spark, sf_dir, materialize=True)))
 
 
 @query("score_book", with_loan_book(BOOK_MODEL_SQL + _score_sql("loan_book", False) + """
 SELECT loan_id, target, credit_score, default_prob, score_band, decision FROM scored2"""))
 def score_book_q(spark, sf_dir):
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     return sc.score(book, woe_sum_model(book), keep=["loan_id", "target"]).select(
         "loan_id", "target", "credit_score", "default_prob", "score_band", "decision")
 
@@ -115,7 +115,7 @@ FROM scored2 GROUP BY score_band"""
 
 @query("band_performance", with_loan_book(BOOK_MODEL_SQL + _score_sql("loan_book", False) + BAND_SQL))
 def band_performance_q(spark, sf_dir):
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     return sc.band_performance(sc.score(book, woe_sum_model(book), keep=["loan_id", "target"]))
 
 
@@ -124,7 +124,7 @@ def band_performance_q(spark, sf_dir):
            FROM woe_r w JOIN sel ON sel.feature = w.feature)
 SELECT feature, ROUNDX(MAX(points) - MIN(points), 1) AS points_range FROM card GROUP BY feature"""))
 def points_range_q(spark, sf_dir):
-    return sc.points_range(sc.build_scorecard(woe_sum_model(loan_book(spark, sf_dir))))
+    return sc.points_range(sc.build_scorecard(woe_sum_model(loan_book(spark, sf_dir, materialize=True))))
 
 
 @query("score_summary", with_loan_book(BOOK_MODEL_SQL + _score_sql("loan_book", False) + """
@@ -133,12 +133,12 @@ SELECT CAST(target AS VARCHAR) AS "group", CAST(COUNT(credit_score) AS BIGINT) A
 UNION ALL
 SELECT 'all', CAST(COUNT(credit_score) AS BIGINT), MIN(credit_score), MAX(credit_score), ROUNDX(AVG(credit_score), 2) FROM scored2"""))
 def score_summary_q(spark, sf_dir):
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     return sc.score_summary(sc.score(book, woe_sum_model(book), keep=["loan_id", "target"]))
 
 
 def _split_model(spark, sf_dir):
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     return book, woe_sum_model(book.where(train_flag())), book.where(~train_flag())
 
 

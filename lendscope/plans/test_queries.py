@@ -88,7 +88,7 @@ CHI_SELECT = f"""SELECT feature, ROUNDX(chi2, 2) AS chi2, CAST(dof AS BIGINT) AS
 
 @query("chi_square", with_loan_book(CHI_SQL + CHI_SELECT))
 def chi_square_q(spark, sf_dir):
-    return H.chi_square(loan_book(spark, sf_dir), CAT, "target")
+    return H.chi_square(loan_book(spark, sf_dir, materialize=True), CAT, "target")
 
 
 @query("confirmed_features", with_loan_book(MW_SQL + CHI_SQL.replace(", ct AS (", ", ct AS (", 1) + """
@@ -96,7 +96,7 @@ SELECT feature, 'mann_whitney' AS test, ROUNDX(p, 4) AS p_value, p < 0.05 AS rej
 UNION ALL
 SELECT feature, 'chi_square' AS test, ROUNDX(p, 4) AS p_value, p < 0.05 AS reject_h0 FROM st2"""))
 def confirmed_features_q(spark, sf_dir):
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     return H.confirmed_features(H.mann_whitney(book, NUM, "target"), H.chi_square(book, CAT, "target"))
 
 
@@ -104,5 +104,5 @@ def confirmed_features_q(spark, sf_dir):
 SELECT feature, ROUNDX(chi2, 2) AS chi2, ROUNDX(v, 4) AS cramers_v FROM st2 WHERE p < 0.05
 ORDER BY ROUNDX(v, 4) DESC, feature LIMIT 6"""))
 def top_cramers_v_q(spark, sf_dir):
-    return H.top_by_cramers_v(H.chi_square(loan_book(spark, sf_dir), CAT, "target"), 6).select(
+    return H.top_by_cramers_v(H.chi_square(loan_book(spark, sf_dir, materialize=True), CAT, "target"), 6).select(
         "feature", "chi2", "cramers_v")

@@ -22,7 +22,7 @@ def train_flag(col="loan_id"):
 
 
 def fitted(spark, sf_dir):
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     return book, woe.fit_woe(book, "target", NUM, CAT)
 
 
@@ -32,7 +32,7 @@ FROM q_bins b LEFT JOIN ({numeric_long()}) nl
   ON nl.feature = b.feature AND nl.x <= b.hi AND (nl.x > b.lo OR (b.bin_id = 1 AND nl.x >= b.lo))
 GROUP BY b.feature, b.bin_id, b.lo, b.hi"""))
 def qcut_bins(spark, sf_dir):
-    return binning.quantile_bin_table(loan_book(spark, sf_dir), NUM, bins=10)
+    return binning.quantile_bin_table(loan_book(spark, sf_dir, materialize=True), NUM, bins=10)
 
 
 @query("woe_table", with_loan_book(woe_ctes() + """
@@ -105,7 +105,7 @@ SELECT lb.loan_id, {_encode_sql_select(clamp=True)} FROM loan_book lb WHERE NOT
 def woe_encode_new_q(spark, sf_dir):
     """Fit on the 80 % hold-in rows, encode the other 20 % as new applicants
     (numeric clamp to outer bins, unseen category -> 0)."""
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     train = book.where(train_flag())
     m = woe.fit_woe(train, "target", NUM, CAT)
     new = book.where(~train_flag())

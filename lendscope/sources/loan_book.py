@@ -37,7 +37,27 @@ def _hex_int(col, start: int, length: int = 8):
     return F.conv(F.substring(col, start, length), 16, 10).cast("bigint")
 
 
-def loan_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loan_book(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """The view; ``materialize=True`` writes it once to the session's
+    checkpoint folder (reliable, survives executor loss) for queries that
+    read it more than once, instead of re-running the lineitem aggregation
+    and joins for every pass."""
+    book = _loan_book(spark, sf_dir)
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        book = book.checkpoint(eager=True)
+        # A small book can end up in one partition after adaptive coalescing;
+        # spread it so per-row CPU work (simulation cells, scoring) runs in
+        # parallel.  Large books already have many partitions: no shuffle.
+        par = spark.sparkContext.defaultParallelism
+        if book.rdd.getNumPartitions() < par:
+            book = book.repartition(par, "loan_id").checkpoint(eager=True)
+    return book
+
+
+def _loan_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders",
                         ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
     customer = read_table(spark, sf_dir, "customer",
