@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import band_rank, score_band, score_decision
 from ..functions.numeric import np_round
 from .woe import WoeModel
+from .woe import encode as woe_encode
 
 BASE_SCORE, PDO, BASE_ODDS = 600, 20, 1
 
@@ -78,8 +79,7 @@ def score(df: DataFrame, model: ScoreModel, keep: list[str] | None = None, new_d
     """H3: add credit_score, default_prob, score_band, decision.  Rows with a
     null WoE are dropped (batch); ``new_data`` clamps instead (applicants)."""
     keep = keep if keep is not None else df.columns
-    enc = df.select(*[F.col(c) for c in keep],
-                    *[model.woe.woe_column(f, new_data).alias(f + suffix) for f in model.features])
+    enc = woe_encode(df, model.woe, model.features, suffix=suffix, keep=keep, new_data=new_data)
     enc = enc.na.drop(subset=[f + suffix for f in model.features])
     lo = model.log_odds(suffix)
     s = F.bround(F.lit(model.offset) - F.lit(model.factor) * lo, 0).cast("int")
@@ -92,24 +92,26 @@ def score(df: DataFrame, model: ScoreModel, keep: list[str] | None = None, new_d
 def breakdown(df: DataFrame, model: ScoreModel, key: str, new_data: bool = True) -> DataFrame:
     """H4: (key, feature, value, woe, points) per applicant and feature --
     an array of structs exploded, no shuffle."""
+    enc = woe_encode(df, model.woe, model.features, suffix="__w", keep=[key, *model.features], new_data=new_data)
     parts = []
     for f in model.features:
-        w = model.woe.woe_column(f, new_data)
+        w = F.col(f + "__w")
         parts.append(F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value"),
                               np_round(w, 4).alias("woe"), np_round(model.points(w, f), 1).alias("points")))
-    return df.select(F.col(key), F.explode(F.array(*parts)).alias("b")).select(key, "b.*")
+    return enc.select(F.col(key), F.explode(F.array(*parts)).alias("b")).select(key, "b.*")
 
 
 def reason_codes(df: DataFrame, model: ScoreModel, key: str, n: int = 3, new_data: bool = True) -> DataFrame:
     """H5: the n features with the lowest points per applicant, ties in
     feature order: sort a per-row array (no shuffle), keep the first n."""
+    enc = woe_encode(df, model.woe, model.features, suffix="__w", keep=[key], new_data=new_data)
     parts = []
     for i, f in enumerate(model.features):
-        w = model.woe.woe_column(f, new_data)
+        w = F.col(f + "__w")
         parts.append(F.struct(np_round(model.points(w, f), 1).alias("points"), F.lit(i).alias("pos"),
                               F.lit(f).alias("feature")))
     arr = F.slice(F.array_sort(F.array(*parts)), 1, n)
-    return df.select(F.col(key), F.posexplode(arr).alias("rank0", "r")).select(
+    return enc.select(F.col(key), F.posexplode(arr).alias("rank0", "r")).select(
         key, (F.col("rank0") + 1).alias("rank"), "r.feature", "r.points")
 
 

@@ -49,6 +49,9 @@ class WoeModel:
             self._lookup = look
         return self._lookup
 
+    def needs_join(self, feature: str) -> bool:
+        return feature in self.categorical_cols and len(self.lookup().get(feature, {})) > MAP_LITERAL_LIMIT
+
     @property
     def features(self) -> list[str]:
         look = self.lookup()
@@ -74,7 +77,7 @@ class WoeModel:
                 return F.lit(0.0 if new_data else None).cast("double")
             return expr.otherwise(F.lit(0.0 if new_data else None)).cast("double")
         if len(look) > MAP_LITERAL_LIMIT:
-            raise ValueError("too many levels for a literal map; use encode_by_join")
+            raise ValueError("too many levels for a literal map; encode() joins instead")
         m = F.create_map(*[v for k, w in look.items() for v in (F.lit(k), F.lit(w))])
         val = F.try_element_at(m, x.cast("string"))
         return F.coalesce(val, F.lit(0.0)) if new_data else val.cast("double")
@@ -179,7 +182,24 @@ def top_k_by_iv(summary: DataFrame, k: int = 6) -> DataFrame:
 def encode(df: DataFrame, model: WoeModel, features: list[str] | None = None, suffix: str = "_woe",
            keep: list[str] | None = None, new_data: bool = False) -> DataFrame:
     """D8 (``new_data=False``) / D9 (``new_data=True``): add ``<f>_woe``
-    columns as one narrow projection."""
+    columns.  Numeric features and categoricals with up to
+    ``MAP_LITERAL_LIMIT`` levels are generated expressions (one narrow
+    projection); a categorical with more levels is looked up with an
+    equi-join on the level against its WoE rows, which the optimizer
+    broadcasts only under its size threshold and shuffles otherwise."""
     features = features or model.features
-    base = [F.col(c) for c in (keep if keep is not None else df.columns)]
-    return df.select(*base, *[model.woe_column(f, new_data).alias(f + suffix) for f in features])
+    keep = keep if keep is not None else df.columns
+    joined = [f for f in features if model.needs_join(f)]
+    base = df
+    for f in joined:
+        t = model.table.where(F.col("feature") == f).select(
+            F.col("category").alias(f"_lvl_{f}"), F.col("woe").alias(f"_w_{f}"))
+        base = base.join(t, F.col(f).cast("string") == F.col(f"_lvl_{f}"), "left")
+    cols = []
+    for f in features:
+        if f in joined:
+            w = F.col(f"_w_{f}")
+            cols.append((F.coalesce(w, F.lit(0.0)) if new_data else w).alias(f + suffix))
+        else:
+            cols.append(model.woe_column(f, new_data).alias(f + suffix))
+    return base.select(*[F.col(c) for c in keep], *cols)

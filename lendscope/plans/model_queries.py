@@ -104,10 +104,10 @@ def boosted_pd_q(spark, sf_dir):
 @query("cv_search")
 def cv_search_q(spark, sf_dir):
     """seeded random search over the forest space, 5-fold CV AUC.
-    Four trials keep the registered check short; the operator takes any
+    Three trials keep the registered check short; the operator takes any
     number."""
     split, cols = _woe_split(spark, sf_dir)
-    _, results = md.cv_search(split.where(~F.col("is_test")), cols, "target", "loan_id", n_trials=4, k=5, parallelism=8)
+    _, results = md.cv_search(split.where(~F.col("is_test")), cols, "target", "loan_id", n_trials=3, k=5, parallelism=8)
     rows = [(str(sorted(p.items())), float(a)) for p, a in results]
     return spark.createDataFrame(rows, "params string, cv_auc double").orderBy(F.desc("cv_auc"))
 

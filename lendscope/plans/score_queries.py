@@ -18,7 +18,7 @@ from ..operators import woe
 from ..sources.loan_book import CATEGORICAL_FEATURES, NUMERIC_FEATURES, loan_book
 from .registry import query
 from .sql_parts import with_loan_book, woe_ctes
-from .woe_queries import TRAIN_SQL_FILTER, train_flag
+from .woe_queries import SPLIT_SQL, holdout
 
 NUM, CAT = NUMERIC_FEATURES, CATEGORICAL_FEATURES
 IV_MIN = 0.02
@@ -86,8 +86,7 @@ def _score_sql(book: str, clamp: bool) -> str:
 
 
 BOOK_MODEL_SQL = _model_sql("loan_book")
-TRAIN_CTE = f", train_book AS (SELECT * FROM loan_book WHERE {TRAIN_SQL_FILTER})\n, new_book AS (SELECT * FROM loan_book WHERE NOT ({TRAIN_SQL_FILTER}))\n"
-TRAIN_MODEL_SQL = TRAIN_CTE + _model_sql("train_book")
+TRAIN_MODEL_SQL = SPLIT_SQL + _model_sql("train_book")
 
 
 @query("scorecard", with_loan_book(BOOK_MODEL_SQL + f"""
@@ -138,8 +137,8 @@ def score_summary_q(spark, sf_dir):
 
 
 def _split_model(spark, sf_dir):
-    book = loan_book(spark, sf_dir, materialize=True)
-    return book, woe_sum_model(book.where(train_flag())), book.where(~train_flag())
+    train, new = holdout(loan_book(spark, sf_dir, materialize=True))
+    return train, woe_sum_model(train), new
 
 
 @query("score_breakdown", with_loan_book(TRAIN_MODEL_SQL + _enc_long("new_book", True) + f"""

@@ -6,19 +6,28 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import sql_iv_strength
 from ..operators import binning, woe
+from ..operators.models import stratified_split
 from ..operators.stats_basic import corr_pairs
 from ..sources.loan_book import CATEGORICAL_FEATURES, NUMERIC_FEATURES, loan_book
 from .registry import query
 from .sql_parts import edges_cte, numeric_long, with_loan_book, woe_ctes
 
 NUM, CAT = NUMERIC_FEATURES, CATEGORICAL_FEATURES
-TRAIN_SQL_FILTER = "(('0x' || substr(md5('s-' || CAST(loan_id AS VARCHAR)), 1, 8))::BIGINT % 10) < 8"
+SPLIT_SEED = 42
+# exact stratified 80/20 hold-out (operators.models.stratified_split) in SQL
+SPLIT_SQL = f"""
+, split_rank AS (SELECT lb.*, row_number() OVER (PARTITION BY target ORDER BY
+                        ('0x' || substr(md5('{SPLIT_SEED}-' || CAST(loan_id AS VARCHAR)), 1, 15))::BIGINT, loan_id) AS _rn,
+                        COUNT(*) OVER (PARTITION BY target) AS _nc FROM loan_book lb)
+, train_book AS (SELECT * EXCLUDE (_rn, _nc) FROM split_rank WHERE _rn > round_even(_nc * 0.2, 0))
+, new_book AS (SELECT * EXCLUDE (_rn, _nc) FROM split_rank WHERE _rn <= round_even(_nc * 0.2, 0))
+"""
 
 
-def train_flag(col="loan_id"):
-    """Deterministic 80/20 hold-out flag used by the new-applicant queries."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit("s-"), F.col(col).cast("string"))), 1, 8), 16, 10)
-    return (h.cast("bigint") % 10) < 8
+def holdout(book):
+    """(train, new): the exact stratified 80/20 split of the book."""
+    s = stratified_split(book, "loan_id", "target", 0.2, SPLIT_SEED).persist()
+    return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
 def fitted(spark, sf_dir):
@@ -95,20 +104,14 @@ def woe_encoded_q(spark, sf_dir):
     return woe.encode(book, m, keep=["loan_id", "target"])
 
 
-NEW_SRC = f"(SELECT * FROM loan_book WHERE {TRAIN_SQL_FILTER})"
-
-
-@query("woe_encode_new", with_loan_book(
-    woe_ctes(src="train_book").replace(", q_raw AS", ", train_book AS (SELECT * FROM loan_book WHERE "
-                                       + TRAIN_SQL_FILTER + ")\n, q_raw AS", 1) + f"""
-SELECT lb.loan_id, {_encode_sql_select(clamp=True)} FROM loan_book lb WHERE NOT ({TRAIN_SQL_FILTER})"""))
+@query("woe_encode_new", with_loan_book(SPLIT_SQL + woe_ctes(src="train_book") + f"""
+SELECT lb.loan_id, {_encode_sql_select(clamp=True)} FROM new_book lb"""))
 def woe_encode_new_q(spark, sf_dir):
-    """Fit on the 80 % hold-in rows, encode the other 20 % as new applicants
-    (numeric clamp to outer bins, unseen category -> 0)."""
-    book = loan_book(spark, sf_dir, materialize=True)
-    train = book.where(train_flag())
+    """Fit on the 80 % training rows of the stratified split, encode the
+    other 20 % as new applicants (numeric clamp to the outer bins, unseen
+    category -> 0)."""
+    train, new = holdout(loan_book(spark, sf_dir, materialize=True))
     m = woe.fit_woe(train, "target", NUM, CAT)
-    new = book.where(~train_flag())
     return woe.encode(new, m, keep=["loan_id"], new_data=True)
 
 

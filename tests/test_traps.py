@@ -192,3 +192,17 @@ def test_half_even_rounding(spark):
     assert got == [float(np.round(v, 2)) for v in (0.125, 2.5, 3.5, 1.015)]
     got0 = [r[0] for r in df.select(np_round("x", 0)).collect()]
     assert got0 == [0.0, 2.0, 4.0, 1.0]
+
+
+def test_many_level_categorical_encodes_by_join(spark, monkeypatch):
+    from lendscope.operators import woe as W
+    rows = [(f"l{i % 40}", int(i % 3 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "c string, target int")
+    m = W.fit_woe(df, "target", [], ["c"])
+    lit = {r["c"]: r["c_woe"] for r in W.encode(df, m, keep=["c"]).collect()}
+    monkeypatch.setattr(W, "MAP_LITERAL_LIMIT", 10)
+    new = spark.createDataFrame([("l1",), ("zz",)], "c string")
+    joined = {r["c"]: r["c_woe"] for r in W.encode(df, m, keep=["c"]).collect()}
+    assert joined == lit
+    clamp = {r["c"]: r["c_woe"] for r in W.encode(new, m, keep=["c"], new_data=True).collect()}
+    assert clamp["zz"] == 0.0 and clamp["l1"] == lit["l1"]
