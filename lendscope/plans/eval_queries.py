@@ -213,3 +213,15 @@ def threshold_curve_q(spark, sf_dir):
 SELECT threshold AS optimal_threshold, total_cost AS min_cost FROM tc ORDER BY total_cost, j LIMIT 1"""))
 def cost_threshold_q(spark, sf_dir):
     return optimal_threshold(threshold_curve(loan_book(spark, sf_dir), "pd_fine", "target", 5.0, 1.0))
+
+
+@query("best_per_metric", with_loan_book(METRICS_SQL + """
+SELECT 'roc_auc' AS metric, arg_max(model, (roc_auc, model)) AS best_model, CAST(MAX(roc_auc) AS DOUBLE) AS value FROM mt
+UNION ALL SELECT 'ks_statistic', arg_max(model, (ks_statistic, model)), MAX(ks_statistic) FROM mt
+UNION ALL SELECT 'gini', arg_max(model, (gini, model)), MAX(gini) FROM mt
+UNION ALL SELECT 'pr_auc', arg_max(model, (pr_auc, model)), MAX(pr_auc) FROM mt
+UNION ALL SELECT 'f1_score', arg_max(model, (f1_score, model)), MAX(f1_score) FROM mt
+UNION ALL SELECT 'brier_score', arg_min(model, (brier_score, model)), MIN(brier_score) FROM mt"""))
+def best_per_metric_q(spark, sf_dir):
+    """Best model per metric (lowest Brier, highest otherwise)."""
+    return ev.best_per_metric(ev.all_metrics(models_long(spark, sf_dir), "score", "target", 0.5, ["model"]))

@@ -181,3 +181,29 @@ def scorecard_validation_q(spark, sf_dir):
     _, model, new = _split_model(spark, sf_dir)
     scored = sc.score(new, model, keep=["loan_id", "target"], new_data=True)
     return ev.auc_ks_gini(scored.withColumn("neg_score", -F.col("credit_score")), "neg_score", "target")
+
+
+def _score_hist_sql(bins: int = 30) -> str:
+    x = "CAST(credit_score AS DOUBLE)"
+    case = " ".join(f"WHEN x < e{i} THEN {i - 1}" for i in range(1, bins))
+    edge_cols = ", ".join(f"{i} * ((mx - mn) / {bins}) + mn AS e{i}" for i in range(bins)) + f", mx AS e{bins}"
+    arr = "[" + ", ".join(f"e{i}" for i in range(bins + 1)) + "]"
+    return f"""
+, mm AS (SELECT MIN({x}) AS mn, MAX({x}) AS mx FROM scored2)
+, ed AS (SELECT {edge_cols} FROM mm)
+, hb AS (SELECT target, CASE {case} ELSE {bins - 1} END AS bin FROM (SELECT target, {x} AS x FROM scored2) s, ed)
+, hc AS (SELECT target, bin, COUNT(*) AS n FROM hb GROUP BY target, bin)
+, cn AS (SELECT target, COUNT(*) AS n_class FROM scored2 GROUP BY target)
+SELECT hc.target, CAST(hc.bin AS INTEGER) AS bin, {arr}[hc.bin + 1] AS lo, {arr}[hc.bin + 2] AS hi, CAST(hc.n AS BIGINT) AS n,
+       hc.n / (cn.n_class * ({arr}[hc.bin + 2] - {arr}[hc.bin + 1])) AS density
+FROM hc JOIN cn ON hc.target = cn.target, ed"""
+
+
+@query("score_histogram", with_loan_book(BOOK_MODEL_SQL + _score_sql("loan_book", False) + _score_hist_sql(30)))
+def score_histogram_q(spark, sf_dir):
+    """H9: score distribution by class (equal-width histogram, density)."""
+    from ..operators.stats_basic import histogram_by_class
+
+    book = loan_book(spark, sf_dir, materialize=True)
+    scored = sc.score(book, woe_sum_model(book), keep=["loan_id", "target"])
+    return histogram_by_class(scored, "credit_score", "target", 30)
