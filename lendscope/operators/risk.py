@@ -5,14 +5,14 @@ Monte Carlo at scale
 --------------------
 Loans are cut into blocks by ``pmod(xxhash64(key), B)`` with B chosen from
 the loan count so a block holds at most ``block_rows`` loans (no hot
-group: the key is unique).  Each block is one ``applyInPandas`` group that
-sorts its loans by key and, for every scenario and chunk of simulations,
-draws with NumPy's counter-based Philox generator seeded by
-(seed, stream, block, chunk).  Draws are therefore a function of the data
-and the seed -- not of partitioning, retries or executor loss.  A block
-emits one partial loss per (scenario, simulation); the shuffle carries
-blocks x sims x scenarios rows (map-side combined), and a hash aggregate
-sums them to the loss per (scenario, simulation).
+group: the key is unique).  Rows are range-partitioned on the block and
+sorted by (block, key); a ``mapInPandas`` task streams its blocks and, for
+every scenario and chunk of simulations, draws with NumPy's counter-based
+Philox generator seeded by (seed, stream, block, chunk).  Draws are
+therefore a function of the data and the seed -- not of partitioning,
+retries or executor loss.  Each task adds its blocks' losses into one
+vector per scenario and emits n_sims rows per scenario; a hash aggregate
+sums the partitions to the loss per (scenario, simulation).
 
 Uniform and Beta draws use separate streams: LGD-sensitivity scenarios
 share the base run's default draws (common random numbers), stress and
@@ -122,38 +122,63 @@ def el_by_pd_bucket(port: DataFrame, bins: int = 5) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Monte Carlo
-def _simulate_block(pdf: pd.DataFrame, scenarios: list[Scenario], n_sims: int, seed: int,
-                    cells_per_chunk: int) -> pd.DataFrame:
+def _block_losses(pdf: pd.DataFrame, scenarios: list[Scenario], n_sims: int, seed: int,
+                  cells_per_chunk: int) -> dict[str, np.ndarray]:
+    """Loss per simulation of one block of loans, per scenario."""
     pdf = pdf.sort_values("key", kind="mergesort")
     block = int(pdf["block"].iloc[0])
     pd_all = pdf["pd"].to_numpy(dtype=float)
     ead_all = pdf["ead"].to_numpy(dtype=float)
-    out_s, out_i, out_l = [], [], []
+    n = len(pd_all)
+    chunk = max(1, cells_per_chunk // max(n, 1))
+    out = {}
     for sc in scenarios:
-        sel = np.ones(len(pd_all), dtype=bool) if sc.pd_max is None else pd_all <= sc.pd_max
+        sel = np.ones(n, dtype=bool) if sc.pd_max is None else pd_all <= sc.pd_max
         p = np.clip(pd_all * sc.pd_mult, 0.0, 1.0)
-        n = len(pd_all)
-        chunk = max(1, cells_per_chunk // max(n, 1))
+        loss = np.zeros(n_sims)
         for c0 in range(0, n_sims, chunk):
             m = min(chunk, n_sims - c0)
             cidx = c0 // chunk
             ru = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, sc.u_stream, block, cidx])))
-            u = ru.random((m, n))
-            dflt = (u < p) & sel
+            dflt = (ru.random((m, n)) < p) & sel
             if sc.lgd_const is not None:
-                loss = (dflt * (sc.lgd_const * ead_all)).sum(axis=1)
+                loss[c0:c0 + m] = (dflt * (sc.lgd_const * ead_all)).sum(axis=1)
             else:
                 rb = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, sc.b_stream, block, cidx])))
                 rows, cols = np.nonzero(dflt)
                 lgd = rb.beta(sc.lgd_a, sc.lgd_b, size=len(rows))
-                loss = np.bincount(rows, weights=lgd * ead_all[cols], minlength=m)
-            out_s.append(np.full(m, sc.name, dtype=object))
-            out_i.append(np.arange(c0, c0 + m, dtype=np.int64))
-            out_l.append(loss.astype(float))
-    if not out_s:
-        return pd.DataFrame({"scenario": [], "sim_id": [], "partial": []})
-    return pd.DataFrame({"scenario": np.concatenate(out_s), "sim_id": np.concatenate(out_i),
-                         "partial": np.concatenate(out_l)})
+                loss[c0:c0 + m] = np.bincount(rows, weights=lgd * ead_all[cols], minlength=m)
+        out[sc.name] = loss
+    return out
+
+
+def _simulate_partition(batches, scenarios, n_sims, seed, cells_per_chunk):
+    """Rows arrive sorted by (block, key); complete blocks are simulated as
+    soon as the next block starts, and their losses are added into one
+    vector per scenario, emitted once per partition (n_sims rows per
+    scenario instead of per block)."""
+    acc = {sc.name: np.zeros(n_sims) for sc in scenarios}
+    buf = None
+    seen = False
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        buf = pdf if buf is None else pd.concat([buf, pdf], ignore_index=True)
+        last = buf["block"].iloc[-1]
+        done = buf[buf["block"] != last]
+        if not done.empty:
+            for _, blk in done.groupby("block", sort=True):
+                for k, v in _block_losses(blk, scenarios, n_sims, seed, cells_per_chunk).items():
+                    acc[k] += v
+            buf = buf[buf["block"] == last].reset_index(drop=True)
+        seen = True
+    if buf is not None and not buf.empty:
+        for k, v in _block_losses(buf, scenarios, n_sims, seed, cells_per_chunk).items():
+            acc[k] += v
+    if seen:
+        for sc in scenarios:
+            yield pd.DataFrame({"scenario": sc.name, "sim_id": np.arange(n_sims, dtype=np.int64),
+                                "partial": acc[sc.name]})
 
 
 def simulate_losses(df: DataFrame, key: str, pd_col: str, ead_col: str, scenarios: list[Scenario],
@@ -167,16 +192,16 @@ def simulate_losses(df: DataFrame, key: str, pd_col: str, ead_col: str, scenario
                       F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int").alias("block"))
     scen = list(scenarios)
 
-    def fn(pdf):
-        return _simulate_block(pdf, scen, n_sims, seed, cells_per_chunk)
+    def fn(batches):
+        return _simulate_partition(batches, scen, n_sims, seed, cells_per_chunk)
 
-    # Explicit range partitioning on the block id: an explicit count is not
-    # coalesced by AQE (blocks are CPU-heavy although their input is small),
-    # and it already satisfies the grouping, so no second exchange.  The
-    # count only spreads work; results are keyed by block, not partition.
+    # Range partitioning on the block id keeps each block inside one
+    # partition; an explicit count is not coalesced by AQE (blocks are
+    # CPU-heavy although their input is small).  The count only spreads the
+    # work: draws are keyed by block, so results do not depend on it.
     n_parts = max(1, min(n_blocks, 4 * df.sparkSession.sparkContext.defaultParallelism))
-    partial = loans.repartitionByRange(n_parts, "block").groupBy("block").applyInPandas(
-        fn, "scenario string, sim_id long, partial double")
+    ordered = loans.repartitionByRange(n_parts, "block").sortWithinPartitions("block", "key")
+    partial = ordered.mapInPandas(fn, "scenario string, sim_id long, partial double")
     return partial.groupBy("scenario", "sim_id").agg(F.sum("partial").alias("loss"))
 
 

@@ -126,3 +126,33 @@ def highest_risk_q(spark, sf_dir):
     """F15."""
     return md.highest_risk(loan_book(spark, sf_dir).select("loan_id", "pd_fine", "credit_amount", "priority"),
                            "pd_fine", "loan_id")
+
+
+def _boosted_explanations(spark, sf_dir):
+    from ..operators import attribution as A
+    from ..session import ensure_checkpoint_dir
+
+    split, cols = _woe_split(spark, sf_dir)
+    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    model = md.fit_boosted(train, cols, "target")
+    ens = A.ensemble_from_model(model, ensure_checkpoint_dir(spark))
+    return A, ens, A.explain(test, ens, cols, "loan_id"), test, model, cols
+
+
+@query("tree_attribution")
+def tree_attribution_q(spark, sf_dir):
+    """TreeSHAP of the boosted model on the hold-out rows; mean |SHAP|
+    per feature (log-odds units)."""
+    A, _, expl, _, _, _ = _boosted_explanations(spark, sf_dir)
+    return A.global_importance(expl)
+
+
+@query("risk_row_explanation")
+def risk_row_explanation_q(spark, sf_dir):
+    """the hold-out applicant with the highest boosted PD and the
+    signed SHAP value of each feature."""
+    A, ens, expl, test, model, cols = _boosted_explanations(spark, sf_dir)
+    scored = md.positive_prob(model, test, cols, "p")
+    top = md.highest_risk(scored.select("loan_id", "p"), "p", "loan_id")
+    return expl.join(top, "loan_id").select("loan_id", "p", "feature", "value", "shap",
+                                            F.lit(ens.expected_value()).alias("expected_value"))
