@@ -38,23 +38,29 @@ def _hex_int(col, start: int, length: int = 8):
 
 
 def loan_book(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
-    """The view; ``materialize=True`` writes it once to the session's
-    checkpoint folder (reliable, survives executor loss) for queries that
-    read it more than once, instead of re-running the lineitem aggregation
-    and joins for every pass."""
+    """The view; ``materialize=True`` writes it once as a parquet table in
+    the session's checkpoint folder (shared storage on a cluster) for
+    queries that read it more than once: later passes get column pruning and
+    filter pushdown, nothing upstream is recomputed, and a lost executor
+    does not send work back to the lineitem aggregation."""
     book = _loan_book(spark, sf_dir)
-    if materialize:
-        from ..session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(spark)
-        book = book.checkpoint(eager=True)
-        # A small book can end up in one partition after adaptive coalescing;
-        # spread it so per-row CPU work (simulation cells, scoring) runs in
-        # parallel.  Large books already have many partitions: no shuffle.
-        par = spark.sparkContext.defaultParallelism
-        if book.rdd.getNumPartitions() < par:
-            book = book.repartition(par, "loan_id").checkpoint(eager=True)
-    return book
+    if not materialize:
+        return book
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lendscope-scratch/loan-book-{uuid.uuid4().hex[:12]}"
+    book.write.mode("overwrite").parquet(root)
+    out = spark.read.parquet(root)
+    # A small book may land in a single file after adaptive coalescing;
+    # rewrite it spread over the cores so per-row CPU work runs in parallel.
+    # Large books already have many files: no second write.
+    par = spark.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < par:
+        out.repartition(par, "loan_id").write.mode("overwrite").parquet(root + "-spread")
+        out = spark.read.parquet(root + "-spread")
+    return out
 
 
 def _loan_book(spark: SparkSession, sf_dir: str) -> DataFrame:

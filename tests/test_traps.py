@@ -206,3 +206,35 @@ def test_many_level_categorical_encodes_by_join(spark, monkeypatch):
     assert joined == lit
     clamp = {r["c"]: r["c_woe"] for r in W.encode(new, m, keep=["c"], new_data=True).collect()}
     assert clamp["zz"] == 0.0 and clamp["l1"] == lit["l1"]
+
+
+def test_constant_numeric_feature_is_skipped(spark):
+    df = spark.createDataFrame([(5.0, i % 2) for i in range(20)], "x double, target int")
+    m = woe.fit_woe(df, "target", ["x"], [])
+    assert m.edges.n_bins("x") == 0
+    assert woe.woe_table(m).count() == 0 and m.features == []
+
+
+def test_bin_without_events_is_smoothed(spark):
+    rows = [("a", 0)] * 10 + [("b", 1)] * 5 + [("b", 0)] * 5
+    t = {r["category"]: r for r in woe.woe_table(woe.fit_woe(spark.createDataFrame(rows, "c string, target int"),
+                                                             "target", [], ["c"])).collect()}
+    assert t["a"]["events"] == 0
+    assert t["a"]["woe"] == round(math.log((0.5 / 5.5) / (10.5 / 15.5)), 4)
+
+
+def test_band_floors_are_inclusive(spark):
+    from lendscope.functions.labels import score_band, score_decision
+    df = spark.createDataFrame([(s,) for s in (449, 450, 549, 550, 649, 650, 749, 750, -3)], "s int")
+    got = [(r[0], r[1]) for r in df.select(score_band(F.col("s")), score_decision(F.col("s"))).collect()]
+    assert got == [("Very High Risk", "Auto Decline"), ("High Risk", "Decline"), ("High Risk", "Decline"),
+                   ("Medium Risk", "Manual Review"), ("Medium Risk", "Manual Review"), ("Low Risk", "Approve"),
+                   ("Low Risk", "Approve"), ("Very Low Risk", "Auto Approve"), ("Very High Risk", "Auto Decline")]
+
+
+def test_policy_with_no_approved_loans_is_empty(spark):
+    from lendscope.operators import risk
+    df = spark.createDataFrame([(i, 0.3, 100.0) for i in range(50)], "k long, p double, e double")
+    sc = risk.policy_scenarios(thresholds=(0.1,))
+    losses = risk.simulate_losses(df, "k", "p", "e", sc, n_sims=20).collect()
+    assert len(losses) == 20 and all(r["loss"] == 0.0 for r in losses)
