@@ -275,8 +275,11 @@ def simulate_losses_md5(df: DataFrame, key: str, pd_col: str, ead_col: str, n_si
     """Checkable Monte Carlo: u = md5(sim-key) / 2^48, constant LGD.  Each
     loan expands to its n_sims cells inside one stage and is summed by a
     partial aggregate before the shuffle, so only (task, sim) partial sums
-    move."""
-    cells = df.select(F.col(key).alias("k"), F.col(pd_col).alias("p"), F.col(ead_col).cast("double").alias("e"),
+    move.  Money is summed exactly as DECIMAL (EAD in cents x LGD to 4
+    places), so the loss does not depend on summation order."""
+    cells = df.select(F.col(key).alias("k"), F.col(pd_col).alias("p"),
+                      (F.col(ead_col).cast("decimal(18,2)") * F.lit(lgd).cast("decimal(6,4)")).alias("el"),
                       F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim_id"))
     u = md5_uniform(F.col("sim_id"), F.col("k"))
-    return cells.groupBy("sim_id").agg(F.sum(F.when(u < F.col("p"), F.col("e") * lgd).otherwise(0.0)).alias("loss"))
+    hit = F.when(u < F.col("p"), F.col("el")).otherwise(F.lit(0).cast("decimal(18,2)"))
+    return cells.groupBy("sim_id").agg(F.sum(hit).cast("double").alias("loss"))

@@ -138,10 +138,11 @@ _cal_case = "CASE " + " ".join(f"WHEN score <= {e!r} THEN {i}" for i, e in enume
 
 
 @query("calibration", with_loan_book(ML_SQL + f"""
-SELECT model, {_cal_case} AS bin, AVG(score) AS mean_pred, AVG(CAST(target AS DOUBLE)) AS frac_pos, CAST(COUNT(*) AS BIGINT) AS n
+SELECT model, {_cal_case} AS bin, ROUNDX(AVG(score), 6) AS mean_pred, AVG(CAST(target AS DOUBLE)) AS frac_pos, CAST(COUNT(*) AS BIGINT) AS n
 FROM ml WHERE score IS NOT NULL GROUP BY model, {_cal_case}"""))
 def calibration_q(spark, sf_dir):
-    return ev.calibration_curve(models_long(spark, sf_dir), "score", "target", 10, ["model"])
+    out = ev.calibration_curve(models_long(spark, sf_dir), "score", "target", 10, ["model"])
+    return out.withColumn("mean_pred", ev.np_round("mean_pred", 6))
 
 
 HL_SQL = ML_SQL + f"""
@@ -157,10 +158,11 @@ HL_SQL = ML_SQL + f"""
 
 
 @query("hl_table", with_loan_book(HL_SQL + """
-SELECT model, CAST(decile AS INTEGER) AS decile, CAST(n AS BIGINT) AS n, CAST(obs_1 AS BIGINT) AS obs_1, exp_1,
-       CAST(obs_0 AS BIGINT) AS obs_0, exp_0 FROM hlt"""))
+SELECT model, CAST(decile AS INTEGER) AS decile, CAST(n AS BIGINT) AS n, CAST(obs_1 AS BIGINT) AS obs_1,
+       ROUNDX(exp_1, 6) AS exp_1, CAST(obs_0 AS BIGINT) AS obs_0, ROUNDX(exp_0, 6) AS exp_0 FROM hlt"""))
 def hl_table_q(spark, sf_dir):
-    return ev.hosmer_lemeshow_table(models_long(spark, sf_dir), "score", "target", 10, ["model"])
+    t = ev.hosmer_lemeshow_table(models_long(spark, sf_dir), "score", "target", 10, ["model"])
+    return t.withColumn("exp_1", ev.np_round("exp_1", 6)).withColumn("exp_0", ev.np_round("exp_0", 6))
 
 
 @query("hosmer_lemeshow", with_loan_book(HL_SQL + f"""

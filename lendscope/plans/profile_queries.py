@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.numeric import np_round
 from ..operators import stats_basic as sb
 from ..sources.loan_book import CATEGORICAL_FEATURES, NUMERIC_FEATURES, loan_book
 from .registry import query
@@ -51,10 +52,11 @@ _pairs = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
 
 
 @query("corr_matrix", with_loan_book(" UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM loan_book"
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, ROUNDX(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM loan_book"
     for a, b in _pairs)))
 def corr_matrix_q(spark, sf_dir):
-    return sb.corr_pairs(loan_book(spark, sf_dir), CORR_COLS)
+    out = sb.corr_pairs(loan_book(spark, sf_dir), CORR_COLS)
+    return out.select("feature_a", "feature_b", np_round("r", 6).alias("r"))
 
 
 @query("describe", with_loan_book(f"""
@@ -103,10 +105,11 @@ def histogram_by_class_q(spark, sf_dir):
 , qq AS (SELECT feature, target, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
                 quantile_cont(x, 0.75) AS q3 FROM t GROUP BY feature, target)
 SELECT qq.feature, qq.target, CAST(COUNT(t.x) AS BIGINT) AS n, MIN(t.x) AS min, qq.q1, qq.median, qq.q3, MAX(t.x) AS max,
-       AVG(t.x) AS mean,
+       ROUNDX(AVG(t.x), 6) AS mean,
        MIN(CASE WHEN t.x >= qq.q1 - 1.5 * (qq.q3 - qq.q1) THEN t.x END) AS whisker_lo,
        MAX(CASE WHEN t.x <= qq.q3 + 1.5 * (qq.q3 - qq.q1) THEN t.x END) AS whisker_hi
 FROM t JOIN qq ON t.feature = qq.feature AND t.target = qq.target
 GROUP BY qq.feature, qq.target, qq.q1, qq.median, qq.q3"""))
 def box_stats_q(spark, sf_dir):
-    return sb.box_stats(loan_book(spark, sf_dir, materialize=True), NUM, "target")
+    out = sb.box_stats(loan_book(spark, sf_dir, materialize=True), NUM, "target")
+    return out.withColumn("mean", np_round("mean", 6))

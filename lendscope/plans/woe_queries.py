@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import sql_iv_strength
+from ..functions.numeric import np_round
 from ..operators import binning, woe
 from ..operators.models import stratified_split
 from ..operators.stats_basic import corr_pairs
@@ -122,9 +123,9 @@ _pairs = [(a, b) for i, a in enumerate(WOE_COLS) for b in WOE_COLS[i + 1:]]
 @query("woe_corr_pairs", with_loan_book(woe_ctes() + f"""
 , enc AS (SELECT {_encode_sql_select()} FROM loan_book lb)
 , pairs AS ({" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM enc" for a, b in _pairs)})
-SELECT feature_a, feature_b, r FROM pairs WHERE abs(r) > 0.7"""))
+SELECT feature_a, feature_b, ROUNDX(r, 6) AS r FROM pairs WHERE abs(r) > 0.7"""))
 def woe_corr_pairs_q(spark, sf_dir):
     """Pairs of WoE columns whose |Pearson r| exceeds the threshold."""
     book, m = fitted(spark, sf_dir)
     enc = woe.encode(book, m, keep=[])
-    return corr_pairs(enc, WOE_COLS, min_abs=0.7)
+    return corr_pairs(enc, WOE_COLS, min_abs=0.7).select("feature_a", "feature_b", np_round("r", 6).alias("r"))
