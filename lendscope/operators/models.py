@@ -62,9 +62,17 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
     return pre.select(*[F.col(c) for c in df.columns], (F.col("cum__one") <= n_test).alias("is_test"))
 
 
-def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """fold id from the key's hash."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
+def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, label: str | None = None,
+          local_limit: int | None = None) -> DataFrame:
+    """add ``fold`` (0..k-1).  With ``label``: stratified -- rows ranked
+    within their class in md5 order and dealt round-robin, so every fold
+    holds the same class shares (to one row).  Without: the key's hash."""
+    if label is None:
+        return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
+    ranked = df.select("*", hash_order(key, seed).alias("_h"), F.lit(1).cast("bigint").alias("_one"))
+    ranked = ranked.withColumn("_ord", F.struct("_h", key))
+    pre = prefix_sums(ranked, [label], "_ord", ["_one"], local_limit=local_limit)
+    return pre.select(*[F.col(c) for c in df.columns], ((F.col("cum__one") - 1) % k).cast("int").alias("fold"))
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -267,7 +275,7 @@ def cv_search(df: DataFrame, features: list[str], label: str, key: str, n_trials
            if kind == "forest" else
            GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed))
     maps = [{est.getParam(name): v for name, v in draw_params(space, rng).items()} for _ in range(n_trials)]
-    data = _assemble(kfold(balanced_weights(df, label), key, k, seed), features)
+    data = _assemble(kfold(balanced_weights(df, label), key, k, seed, label=label), features)
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps or ParamGridBuilder().build(), evaluator=ev,
                         foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)

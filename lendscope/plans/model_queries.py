@@ -36,11 +36,14 @@ def _woe_split(spark, sf_dir):
     return split, [f + "_woe" for f in feats]
 
 
-@query("kfold_balance")
+@query("kfold_balance", with_loan_book(f"""
+, h AS (SELECT loan_id, target, ('0x' || substr(md5('{SEED}-' || CAST(loan_id AS VARCHAR)), 1, 15))::BIGINT AS hh FROM loan_book)
+, r AS (SELECT target, CAST((row_number() OVER (PARTITION BY target ORDER BY hh, loan_id) - 1) % 5 AS INTEGER) AS fold FROM h)
+SELECT fold, CAST(COUNT(*) AS BIGINT) AS n, AVG(CAST(target AS DOUBLE)) AS default_rate FROM r GROUP BY fold"""))
 def kfold_balance_q(spark, sf_dir):
-    """hash folds; rows and default rate per fold."""
-    k = md.kfold(loan_book(spark, sf_dir).select("loan_id", "target"), "loan_id", 5, SEED)
-    return k.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("target").alias("default_rate"))
+    """stratified 5-fold assignment; rows and default rate per fold."""
+    k = md.kfold(loan_book(spark, sf_dir).select("loan_id", "target"), "loan_id", 5, SEED, label="target")
+    return k.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("target").cast("double")).alias("default_rate"))
 
 
 @query("logit_coefficients")

@@ -238,3 +238,12 @@ def test_policy_with_no_approved_loans_is_empty(spark):
     sc = risk.policy_scenarios(thresholds=(0.1,))
     losses = risk.simulate_losses(df, "k", "p", "e", sc, n_sims=20).collect()
     assert len(losses) == 20 and all(r["loss"] == 0.0 for r in losses)
+
+
+def test_key_value_sink_roundtrip(spark, tmp_path):
+    from lendscope.sources.io import write_key_values
+    df = spark.createDataFrame([("var_99", 1.5), ("n_simulations", 10000.0)], "metric string, value double")
+    out = str(tmp_path / "kv")
+    write_key_values(df, out)
+    back = spark.read.schema("k string, v double").csv(out).collect()
+    assert sorted((r["k"], r["v"]) for r in back) == [("n_simulations", 10000.0), ("var_99", 1.5)]
