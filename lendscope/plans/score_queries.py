@@ -155,8 +155,8 @@ def score_breakdown_q(spark, sf_dir):
 
 
 @query("reason_codes", with_loan_book(TRAIN_MODEL_SQL + _enc_long("new_book", True) + f"""
-, pts AS (SELECT el.loan_id, el.feature, ROUNDX(-(1.0 * el.woe + (SELECT b0 / k FROM icp)) * {FACTOR!r}, 1) AS points,
-                 {" ".join([]) or "0"} AS z FROM el)
+, pts AS (SELECT el.loan_id, el.feature, ROUNDX(-(1.0 * el.woe + (SELECT b0 / k FROM icp)) * {FACTOR!r}, 1) AS points
+         FROM el)
 , ord AS (SELECT loan_id, feature, points, row_number() OVER (PARTITION BY loan_id ORDER BY points,
                  CASE feature {" ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(NUM + CAT))} END) AS rank FROM pts)
 SELECT loan_id, CAST(rank AS INTEGER) AS rank, feature, points FROM ord WHERE rank <= 3"""))
