@@ -1,4 +1,4 @@
-"""Goldens from the published result files (tests/golden/*.csv).
+"""Goldens from published results (tests/golden/*.csv, fixed values).
 
 The published scorecard lists, per (feature, bin), the row count and the
 default rate of the 1,000-row training table.  Expanding those counts back
@@ -20,7 +20,7 @@ GOLD = os.path.join(os.path.dirname(__file__), "golden")
 
 
 def _card():
-    with open(os.path.join(GOLD, "credit_scorecard.csv"), newline="", encoding="utf-8") as fh:
+    with open(os.path.join(GOLD, "published_scorecard_bins.csv"), newline="", encoding="utf-8") as fh:
         return list(csv.DictReader(fh))
 
 
@@ -67,7 +67,7 @@ def test_iv_matches_published(spark, feature):
 
 
 def _published_chi():
-    with open(os.path.join(GOLD, "hypothesis_categorical_results.csv"), newline="", encoding="utf-8") as fh:
+    with open(os.path.join(GOLD, "published_chi_square.csv"), newline="", encoding="utf-8") as fh:
         return list(csv.reader(fh))[1:]
 
 
