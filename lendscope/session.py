@@ -37,11 +37,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a scratch one only
-    when the cluster has not named one (local runs and tests)."""
+    when the cluster has not named one (local runs and tests).
+
+    Materialized intermediates (the loan book, stream sources and sinks,
+    saved tree models) go to ``<checkpoint dir>/lendscope-scratch/``, one
+    fresh folder per use; it can be removed when the session ends."""
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
