@@ -53,7 +53,7 @@ METRICS_SQL = ROC_SQL + PT_SQL + """
 , mt AS (SELECT rk.model, ROUNDX(auc, 4) AS roc_auc, ROUNDX(ks, 4) AS ks_statistic, ROUNDX(ROUNDX(auc * 2 - 1, 4), 4) AS gini,
                 ROUNDX(ap, 4) AS pr_auc, ROUNDX(brier, 4) AS brier_score, ROUNDX(log_loss, 4) AS log_loss,
                 ROUNDX(CASE WHEN TP * 2 + FP + FN > 0 THEN TP * 2.0 / (TP * 2 + FP + FN) ELSE 0 END, 4) AS f1_score,
-                0.5 AS threshold, TP, TN, FP, FN,
+                CAST(0.5 AS DOUBLE) AS threshold, TP, TN, FP, FN,
                 ROUNDX(CASE WHEN TP + FP > 0 THEN CAST(TP AS DOUBLE) / (TP + FP) ELSE 0 END, 4) AS precision,
                 ROUNDX(CASE WHEN TP + FN > 0 THEN CAST(TP AS DOUBLE) / (TP + FN) ELSE 0 END, 4) AS recall
          FROM rk JOIN pt ON rk.model = pt.model)

@@ -90,7 +90,7 @@ TRAIN_MODEL_SQL = SPLIT_SQL + _model_sql("train_book")
 
 
 @query("scorecard", with_loan_book(BOOK_MODEL_SQL + f"""
-SELECT w.feature, w.bin_id, w.lo, w.hi, w.category, w.total AS count, w.default_rate, w.woe, 1.0 AS beta,
+SELECT w.feature, w.bin_id, w.lo, w.hi, w.category, w.total AS count, w.default_rate, w.woe, CAST(1.0 AS DOUBLE) AS beta,
        ROUNDX(-(1.0 * w.woe + (SELECT b0 / k FROM icp)) * {FACTOR!r}, 1) AS points
 FROM woe_r w JOIN sel ON sel.feature = w.feature"""))
 def scorecard_q(spark, sf_dir):

@@ -14,6 +14,10 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_duckdb(spark, duck, name):
     sdf = QUERIES[name](spark, SMOKE)
@@ -21,6 +25,8 @@ def test_query_matches_duckdb(spark, duck, name):
     rel = duck.sql(ORACLE[name])
     drows, dcols = rel.fetchall(), rel.columns
     assert sorted(scols) == sorted(dcols)
+    stypes = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in sdf.schema.fields}
+    assert stypes == {c: str(t) for c, t in zip(dcols, rel.types)}
     assert len(srows) == len(drows)
     assert canon(srows, scols) == canon(drows, dcols)
 
