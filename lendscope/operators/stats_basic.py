@@ -69,6 +69,8 @@ def corr_pairs(df: DataFrame, cols: list[str], min_abs: float | None = None) ->
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double")
+    if len(pairs) > MAX_PAIR_AGGREGATES:
+        return _corr_pairs_ml(df, cols, min_abs)
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
                     for i, (a, b) in enumerate(pairs)])
     stack = ", ".join(f"'{a}', '{b}', p{i}" for i, (a, b) in enumerate(pairs))
@@ -78,6 +80,24 @@ def corr_pairs(df: DataFrame, cols: list[str], min_abs: float | None = None) ->
     return out
 
 
+MAX_PAIR_AGGREGATES = 2_000
+
+
+def _corr_pairs_ml(df: DataFrame, cols: list[str], min_abs: float | None) -> DataFrame:
+    """Many columns: one distributed pass of Spark ML's ``Correlation`` over
+    an assembled vector (rows with a null in any column are skipped, as
+    ``Correlation`` requires); the k x k result is bounded by the columns."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    m = Correlation.corr(vec, "_v").first()[0].toArray()
+    rows = [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
+    rows = [r for r in rows if min_abs is None or abs(r[2]) > min_abs]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+
+
 def describe(df: DataFrame, numeric_cols: list[str], local_limit: int | None = None) -> DataFrame:
     """(feature, count, mean, std, min, q25, q50, q75, max), 2 dp, exact
     quartiles (linear interpolation)."""

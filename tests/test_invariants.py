@@ -107,3 +107,14 @@ def test_ranged_paths_have_no_single_partition_exchange(book):
 def test_loan_book_scans_are_pruned(spark):
     plan = loan_book(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderdate" not in plan and "l_extendedprice" not in plan
+
+
+def test_wide_correlation_branch_agrees(book, monkeypatch):
+    from lendscope.operators import stats_basic as sb
+    cols = ["credit_amount", "acct_balance", "n_lines", "total_qty", "target"]
+    a = {(r[0], r[1]): r[2] for r in sb.corr_pairs(book, cols).collect()}
+    monkeypatch.setattr(sb, "MAX_PAIR_AGGREGATES", 1)
+    b = {(r[0], r[1]): r[2] for r in sb.corr_pairs(book, cols).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], abs=1e-9)
