@@ -247,3 +247,24 @@ def test_key_value_sink_roundtrip(spark, tmp_path):
     write_key_values(df, out)
     back = spark.read.schema("k string, v double").csv(out).collect()
     assert sorted((r["k"], r["v"]) for r in back) == [("n_simulations", 10000.0), ("var_99", 1.5)]
+
+
+def test_prep_helpers(spark):
+    from lendscope.sources import german_credit as gc
+    df = spark.createDataFrame([(1, 2, None), (2, None, 1)], "laufkont int, verm int, kredit int")
+    r = prep.rename_columns(df, gc.COLUMN_MAPPING)
+    assert r.columns == ["checking_account", "property", "target"]
+    filled = prep.with_defaults(r, gc.HIDDEN_DEFAULTS).collect()
+    assert [x["property"] for x in filled] == [2, 2] and all(x["other_debtors"] == 1 for x in filled)
+    dec = prep.decode(r, "checking_account", gc.LABEL_MAPS["checking_account"]).collect()
+    assert [x["checking_account_label"] for x in dec] == ["< 0 DM (negative)", "0–200 DM"]
+    num, cat = prep.feature_groups(r, gc.NUMERIC_COLS, gc.CATEGORICAL_COLS)
+    assert num == [] and cat == ["checking_account", "property"]
+
+
+def test_beta_parameters():
+    from lendscope.operators.risk import beta_params
+    a, b = beta_params(0.45, 0.10)
+    assert a == pytest.approx(10.6875) and b == pytest.approx(13.0625)
+    a2, b2 = beta_params(0.45, 0.10, adjust=True)
+    assert a2 == pytest.approx(10.6975) and b2 == pytest.approx(13.0725)
