@@ -51,16 +51,15 @@ def loan_book(spark: SparkSession, sf_dir: str, materialize: bool = False) -> Da
     from ..session import ensure_checkpoint_dir
 
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lendscope-scratch/loan-book-{uuid.uuid4().hex[:12]}"
-    book.write.mode("overwrite").parquet(root)
-    out = spark.read.parquet(root)
-    # A small book may land in a single file after adaptive coalescing;
-    # rewrite it spread over the cores so per-row CPU work runs in parallel.
-    # Large books already have many files: no second write.
+    # A small orders table (fewer file splits than cores) gives a book in a
+    # handful of partitions; spread it on write so per-row CPU work runs in
+    # parallel.  Counting file splits runs no job.  Large inputs already
+    # have many partitions and are written as they are (no extra shuffle).
     par = spark.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < par:
-        out.repartition(par, "loan_id").write.mode("overwrite").parquet(root + "-spread")
-        out = spark.read.parquet(root + "-spread")
-    return out
+    if read_table(spark, sf_dir, "orders", ["o_orderkey"]).rdd.getNumPartitions() < par:
+        book = book.repartition(par, "loan_id")
+    book.write.mode("overwrite").parquet(root)
+    return spark.read.parquet(root)
 
 
 def _loan_book(spark: SparkSession, sf_dir: str) -> DataFrame:
