@@ -266,17 +266,19 @@ def draw_params(space: dict, rng: random.Random) -> dict:
 
 
 def cv_search(df: DataFrame, features: list[str], label: str, key: str, n_trials: int = 50, k: int = 5,
-              seed: int = 42, parallelism: int = 4, kind: str = "forest"):
-    """seeded random draws from the search space, k-fold CV on a hash
-    fold column, AUC maximised.  Returns (best model, [(params, auc)])."""
+              seed: int = 42, parallelism: int = 4, kind: str = "forest", space: dict | None = None):
+    """seeded random draws from the search space (default: the
+    reference's ranges for the model kind), stratified k-fold CV, AUC
+    maximised.  Returns (best model, [(params, auc)])."""
     rng = random.Random(seed)
-    space = FOREST_SPACE if kind == "forest" else BOOST_SPACE
+    space = space or (FOREST_SPACE if kind == "forest" else BOOST_SPACE)
     est = (RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed)
            if kind == "forest" else
            GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed))
     maps = [{est.getParam(name): v for name, v in draw_params(space, rng).items()} for _ in range(n_trials)]
     data = _assemble(kfold(balanced_weights(df, label), key, k, seed, label=label), features)
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC",
+                                       numBins=0)   # exact AUC, no score down-sampling
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps or ParamGridBuilder().build(), evaluator=ev,
                         foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)
     cvm = cv.fit(data)

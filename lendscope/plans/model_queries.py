@@ -159,3 +159,20 @@ def risk_row_explanation_q(spark, sf_dir):
     top = md.highest_risk(scored.select("loan_id", "p"), "p", "loan_id")
     return expl.join(top, "loan_id").select("loan_id", "p", "feature", "value", "shap",
                                             F.lit(ens.expected_value()).alias("expected_value"))
+
+
+@query("fitted_model_comparison")
+def fitted_model_comparison_q(spark, sf_dir):
+    """G12 on fitted models: logistic, random forest and boosted trees are
+    fitted on the same training rows; their hold-out scores are stacked with
+    a ``model`` key and evaluated in one job, best AUC first."""
+    split, cols = _woe_split(spark, sf_dir)
+    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    logit = md.fit_logit(train, cols, "target")
+    parts = [md.predict_pd(test, logit, "p").select("loan_id", "target", "p", F.lit("logistic").alias("model"))]
+    for name, model in (("random_forest", md.fit_forest(train, cols, "target")),
+                        ("boosted_trees", md.fit_boosted(train, cols, "target"))):
+        parts.append(md.positive_prob(model, test, cols, "p").select("loan_id", "target", "p",
+                                                                   F.lit(name).alias("model")))
+    stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ev.model_comparison(ev.all_metrics(stacked, "p", "target", 0.5, ["model"]))

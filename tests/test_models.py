@@ -81,3 +81,16 @@ def test_cv_search_returns_every_trial(spark, data):
     df, _, _ = data
     best, results = md.cv_search(df, ["a", "b", "c"], "y", "k", n_trials=2, k=3, parallelism=2)
     assert len(results) == 2 and all(0.5 < auc <= 1.0 for _, auc in results)
+
+
+def test_boosted_search_space(spark, data):
+    import random
+    for _ in range(50):
+        p = md.draw_params(md.BOOST_SPACE, random.Random(_))
+        assert 50 <= p["maxIter"] <= 500 and 0.01 <= p["stepSize"] <= 0.30 and 3 <= p["maxDepth"] <= 10
+    df, _, _ = data
+    small = {"maxIter": ("int", 3, 5), "maxDepth": ("int", 2, 3), "stepSize": ("log", 0.05, 0.3)}
+    _, results = md.cv_search(df, ["a", "b", "c"], "y", "k", n_trials=1, k=2, parallelism=1, kind="boosted",
+                              space=small)
+    (params, auc), = results
+    assert 3 <= params["maxIter"] <= 5 and auc > 0.5
