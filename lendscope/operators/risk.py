@@ -33,6 +33,18 @@ from ..functions.numeric import np_round
 from .binning import with_equal_width_bins
 from .ordered import exact_quantiles, prefix_sums
 
+# Functions of this module run inside Python workers (mapInPandas); ship them
+# by value so executors need only NumPy/pandas, not this package.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover
+    pass
+
+
 LGD_MEAN, LGD_STD = 0.45, 0.10
 N_SIMULATIONS = 10_000
 
