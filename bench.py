@@ -26,6 +26,14 @@ HEADLINE = [
 ]
 
 
+def _sf_value(sf_dir: str):
+    found = re.findall(r"sf([0-9.]+)", sf_dir)
+    try:
+        return float(found[0].rstrip("."))
+    except (IndexError, ValueError):
+        return sf_dir
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -46,7 +54,7 @@ def main():
         times[name] = round(time.time() - t0, 3)
     n_loans = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-           "queries": times, "sf": (re.findall(r"sf([0-9.]+)", sf_dir) or [sf_dir])[0], "cpus": int(cpus),
+           "queries": times, "sf": _sf_value(sf_dir), "cpus": int(cpus),
            "n_loans": n_loans}
     if "mc_risk_metrics" in times:
         out["mc_cells_per_sec"] = round(10_000 * n_loans / times["mc_risk_metrics"])
