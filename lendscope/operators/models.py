@@ -170,23 +170,42 @@ def predict_pd(df: DataFrame, fit: LogitFit, out: str = "pd") -> DataFrame:
     return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-fit.log_odds())))
 
 
+VIF_AGGREGATE_LIMIT = 60
+
+
+def _gram(data: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(X'X, column sums, n) in one distributed pass."""
+    k = len(cols)
+    x = {c: F.col(c).cast("double") for c in cols}
+    if k <= VIF_AGGREGATE_LIMIT:
+        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x[c]).alias(f"s_{i}") for i, c in enumerate(cols)]
+        aggs += [F.sum(x[a] * x[b]).alias(f"g_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+        r = data.agg(*aggs).first()
+        g = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                g[i, j] = g[j, i] = r[f"g_{i}_{j}"]
+        return g, np.array([r[f"s_{i}"] for i in range(k)]), int(r["n"])
+    # many columns: a Gramian over assembled row vectors (tree-aggregated)
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    assembled = VectorAssembler(inputCols=cols, outputCol="_v").transform(data.select(*[x[c].alias(c) for c in cols]))
+    rows = assembled.select("_v").rdd.map(lambda r: r[0].toArray())
+    rm = RowMatrix(rows)
+    g = rm.computeGramianMatrix().toArray()
+    stats = rm.computeColumnSummaryStatistics()
+    return g, np.asarray(stats.mean()) * stats.count(), int(stats.count())
+
+
 def vif(df: DataFrame, cols: list[str], centered: bool = False) -> DataFrame:
     """VIF of each column against the others, uncentered by default
-    (no constant).  One aggregate of all k(k+1)/2 cross-products; the k x k
-    matrix is inverted on the driver (k = number of model features)."""
+    (no constant).  One distributed pass builds the k x k cross-product
+    matrix (aggregate expressions for up to 60 columns, a Gramian beyond);
+    it is inverted on the driver (k = number of model features)."""
     data = df.na.drop(subset=cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x[c]).alias(f"s_{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(x[a] * x[b]).alias(f"g_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    r = data.agg(*aggs).first()
-    k = len(cols)
-    g = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            g[i, j] = g[j, i] = r[f"g_{i}_{j}"]
+    g, s, n = _gram(data, cols)
     if centered:
-        s = np.array([r[f"s_{i}"] for i in range(k)])
-        g = g - np.outer(s, s) / r["n"]
+        g = g - np.outer(s, s) / n
     inv = np.linalg.pinv(g)
     vals = [(c, float(g[i, i] * inv[i, i])) for i, c in enumerate(cols)]
     out = df.sparkSession.createDataFrame(vals, "feature string, vif double")

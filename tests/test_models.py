@@ -94,3 +94,12 @@ def test_boosted_search_space(spark, data):
                               space=small)
     (params, auc), = results
     assert 3 <= params["maxIter"] <= 5 and auc > 0.5
+
+
+def test_vif_gramian_branch_agrees(spark, data, monkeypatch):
+    df, _, _ = data
+    a = {r["feature"]: r["vif"] for r in md.vif(df, ["a", "b", "c"]).collect()}
+    monkeypatch.setattr(md, "VIF_AGGREGATE_LIMIT", 1)
+    b = {r["feature"]: r["vif"] for r in md.vif(df, ["a", "b", "c"]).collect()}
+    c = {r["feature"]: r["vif"] for r in md.vif(df, ["a", "b", "c"], centered=True).collect()}
+    assert a == b and all(v >= 1.0 for v in c.values())
