@@ -118,3 +118,16 @@ def test_wide_correlation_branch_agrees(book, monkeypatch):
     assert a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k], abs=1e-9)
+
+
+def test_woe_and_metrics_independent_of_partitioning(book):
+    from lendscope.operators import woe
+    from lendscope.sources.loan_book import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+
+    def run(df):
+        m = woe.fit_woe(df, "target", NUMERIC_FEATURES, CATEGORICAL_FEATURES)
+        ivs = sorted(tuple(r) for r in woe.iv_summary(m).collect())
+        met = sorted(tuple(r) for r in ev.all_metrics(df, "pd_fine", "target").collect())
+        return ivs, met
+
+    assert run(book.repartition(1)) == run(book.repartition(6, "region"))
