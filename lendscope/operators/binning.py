@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import quantile_columns
+from .ordered import CacheScope, quantile_columns
 
 
 def qcut_probs(bins: int) -> list[float]:
@@ -70,8 +70,9 @@ def fit_quantile_edges(df: DataFrame, numeric_cols: list[str], bins: int = 10,
     """Exact quantile edges for all numeric columns in one job."""
     if not numeric_cols:
         return BinEdges({})
-    q = quantile_columns(df, numeric_cols, qcut_probs(bins), local_limit=local_limit)
-    rows = q.select("feature", "q_idx", "q").collect()  # <= features x (bins + 1) rows
+    with CacheScope():
+        q = quantile_columns(df, numeric_cols, qcut_probs(bins), local_limit=local_limit)
+        rows = q.select("feature", "q_idx", "q").collect()  # <= features x (bins + 1) rows
     edges: dict[str, list[float]] = {f: [] for f in numeric_cols}
     for r in sorted(rows, key=lambda r: (r["feature"], r["q_idx"])):
         edges[r["feature"]].append(float(r["q"]))

@@ -17,7 +17,7 @@ from ..functions.labels import ks_grade
 from ..functions.numeric import clip, np_round
 from ..functions.pvalues import chi2_sf
 from .binning import qcut_probs
-from .ordered import exact_quantiles, prefix_sums
+from .ordered import CacheScope, exact_quantiles, prefix_sums
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (log-loss clipping)
 
@@ -181,8 +181,9 @@ def calibration_curve(df: DataFrame, score: str, label: str, n_bins: int = 10,
 def _decile_bins(df, score, group_cols, n_bins, local_limit):
     """Quantile edges of the score per group -> bin id expression."""
     g = group_cols or []
-    q = exact_quantiles(df.where(F.col(score).isNotNull()), g, score, qcut_probs(n_bins), local_limit)
-    rows = q.collect()  # groups x (n_bins + 1)
+    with CacheScope():
+        q = exact_quantiles(df.where(F.col(score).isNotNull()), g, score, qcut_probs(n_bins), local_limit)
+        rows = q.collect()  # groups x (n_bins + 1)
     per: dict = {}
     for r in rows:
         per.setdefault(tuple(r[c] for c in g), set()).add(float(r["q"]))

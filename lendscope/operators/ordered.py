@@ -26,6 +26,30 @@ from ..session import ensure_checkpoint_dir
 
 LOCAL_LIMIT = 1_000_000
 ROWS_PER_RANGE = 2_000_000
+_SCOPES: list = []
+
+
+class CacheScope:
+    """Unpersist the intermediate tables cached inside the block once the
+    caller's action has run (for operators that collect a small result)."""
+
+    def __enter__(self):
+        self.frames = []
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *exc):
+        _SCOPES.remove(self)
+        for f in self.frames:
+            f.unpersist()
+        return False
+
+
+def _persist(df: DataFrame) -> DataFrame:
+    df = df.persist()
+    if _SCOPES:
+        _SCOPES[-1].frames.append(df)
+    return df
 
 
 def _order_col(name: str, ascending: bool):
@@ -40,7 +64,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
     ``df`` must hold at most one row per (group_cols, order_col).
     """
     limit = LOCAL_LIMIT if local_limit is None else local_limit
-    df = df.persist()
+    df = _persist(df)
     # the window path puts one group in one task: decide on the largest group
     sizes = df.groupBy(*group_cols).count().agg(F.max("count").alias("mx"), F.sum("count").alias("n")).first()
     n, largest = int(sizes["n"] or 0), int(sizes["mx"] or 0)

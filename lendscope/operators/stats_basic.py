@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
 
-from .ordered import exact_quantiles, unpivot_numeric
+from .ordered import CacheScope, exact_quantiles, unpivot_numeric
 
 
 def basic_info(df: DataFrame, target: str) -> DataFrame:
@@ -120,10 +120,11 @@ def iqr_outliers(df: DataFrame, numeric_cols: list[str], k: float = 1.5,
     Pass 1 computes quartiles for all columns; pass 2 counts outliers of all
     columns in one aggregate against the bounds (features x 2 literals)."""
     long = unpivot_numeric(df, numeric_cols)
-    q = exact_quantiles(long, ["feature"], "value", [0.25, 0.75], local_limit)
     qs = {}
-    for r in q.collect():  # 2 rows per feature
-        qs.setdefault(r["feature"], {})[r["q_idx"]] = r["q"]
+    with CacheScope():
+        q = exact_quantiles(long, ["feature"], "value", [0.25, 0.75], local_limit)
+        for r in q.collect():  # 2 rows per feature
+            qs.setdefault(r["feature"], {})[r["q_idx"]] = r["q"]
     n_total = F.count(F.lit(1))
     aggs, rows = [], []
     for c in numeric_cols:
