@@ -63,6 +63,7 @@ METRICS_SQL = ROC_SQL + PT_SQL + """
 @query("roc_curve", with_loan_book(ROC_SQL + """
 SELECT model, threshold, tp, fp, CAST(fp AS DOUBLE) / N AS fpr, CAST(tp AS DOUBLE) / P AS tpr FROM roc"""))
 def roc_curve_q(spark, sf_dir):
+    """G1: true and false positive rates at every distinct score of both PD columns."""
     return ev.roc_table(models_long(spark, sf_dir), "score", "target", ["model"]).select(
         "model", "threshold", "tp", "fp", "fpr", "tpr")
 
@@ -70,6 +71,7 @@ def roc_curve_q(spark, sf_dir):
 @query("pr_curve", with_loan_book(ROC_SQL + """
 SELECT model, threshold, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / P AS recall FROM roc"""))
 def pr_curve_q(spark, sf_dir):
+    """Precision and recall at every distinct threshold."""
     r = ev.roc_table(models_long(spark, sf_dir), "score", "target", ["model"])
     return r.select("model", "threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                     (F.col("tp") / F.col("P")).alias("recall"))
@@ -79,12 +81,14 @@ def pr_curve_q(spark, sf_dir):
 SELECT model, ROUNDX(auc, 4) AS roc_auc, ROUNDX(ks, 4) AS ks_statistic, ROUNDX(auc * 2 - 1, 4) AS gini,
        {sql_ks_grade('ks')} AS ks_grade FROM rk"""))
 def auc_ks_gini_q(spark, sf_dir):
+    """ROC-AUC, KS (one-sided) and Gini with KS grade for both PD columns."""
     return ev.auc_ks_gini(models_long(spark, sf_dir), "score", "target", ["model"])
 
 
 @query("average_precision", with_loan_book(ROC_SQL + """
 SELECT model, ROUNDX(ap, 4) AS pr_auc FROM rk"""))
 def average_precision_q(spark, sf_dir):
+    """Average precision as a step sum over distinct thresholds."""
     r = ev.ranking_metrics(ev.roc_table(models_long(spark, sf_dir), "score", "target", ["model"]), ["model"])
     return r.select("model", ev.np_round("ap", 4).alias("pr_auc"))
 
@@ -92,18 +96,21 @@ def average_precision_q(spark, sf_dir):
 @query("brier_logloss", with_loan_book(ML_SQL + PT_SQL + """
 SELECT model, ROUNDX(brier, 4) AS brier_score, ROUNDX(log_loss, 4) AS log_loss FROM pt"""))
 def brier_logloss_q(spark, sf_dir):
+    """Brier score and log loss for both PD columns."""
     p = ev.pointwise_metrics(models_long(spark, sf_dir), "score", "target", 0.5, ["model"])
     return p.select("model", ev.np_round("brier", 4).alias("brier_score"), ev.np_round("log_loss", 4).alias("log_loss"))
 
 
 @query("model_metrics", with_loan_book(METRICS_SQL + "SELECT * FROM mt"))
 def model_metrics_q(spark, sf_dir):
+    """The full metric row for both PD columns at threshold 0.5."""
     return ev.all_metrics(models_long(spark, sf_dir), "score", "target", 0.5, ["model"])
 
 
 @query("model_comparison", with_loan_book(METRICS_SQL + """
 SELECT model, roc_auc, ks_statistic, gini, pr_auc, brier_score, f1_score FROM mt"""))
 def model_comparison_q(spark, sf_dir):
+    """Metric table of both PD columns, best AUC first."""
     return ev.model_comparison(ev.all_metrics(models_long(spark, sf_dir), "score", "target", 0.5, ["model"]))
 
 
@@ -114,6 +121,7 @@ def model_comparison_q(spark, sf_dir):
 SELECT model, metric, value, (value - MIN(value) OVER (PARTITION BY metric))
        / (MAX(value) OVER (PARTITION BY metric) - MIN(value) OVER (PARTITION BY metric) + 1e-9) AS normalized FROM lg"""))
 def normalized_metrics_q(spark, sf_dir):
+    """Metrics min-max normalised across models."""
     return ev.normalized_metrics(ev.all_metrics(models_long(spark, sf_dir), "score", "target", 0.5, ["model"]))
 
 
@@ -130,6 +138,7 @@ UNION ALL SELECT model, 'macro avg', ROUNDX((p0 + p1) / 2, 4), ROUNDX((r0 + r1)
 UNION ALL SELECT model, 'weighted avg', ROUNDX((p0 * s0 + p1 * s1) / (s0 + s1), 4), ROUNDX((r0 * s0 + r1 * s1) / (s0 + s1), 4),
                  ROUNDX((f0 * s0 + f1 * s1) / (s0 + s1), 4), CAST(s0 + s1 AS BIGINT) FROM f"""))
 def confusion_report_q(spark, sf_dir):
+    """Per-class precision, recall, F1 and support, macro and weighted averages."""
     return ev.classification_report(models_long(spark, sf_dir), "score", "target", 0.5, ["model"])
 
 
@@ -141,6 +150,7 @@ _cal_case = "CASE " + " ".join(f"WHEN score <= {e!r} THEN {i}" for i, e in enume
 SELECT model, {_cal_case} AS bin, ROUNDX(AVG(score), 6) AS mean_pred, AVG(CAST(target AS DOUBLE)) AS frac_pos, CAST(COUNT(*) AS BIGINT) AS n
 FROM ml WHERE score IS NOT NULL GROUP BY model, {_cal_case}"""))
 def calibration_q(spark, sf_dir):
+    """Uniform right-closed probability bins, mean prediction vs observed rate."""
     out = ev.calibration_curve(models_long(spark, sf_dir), "score", "target", 10, ["model"])
     return out.withColumn("mean_pred", ev.np_round("mean_pred", 6))
 
@@ -161,6 +171,7 @@ HL_SQL = ML_SQL + f"""
 SELECT model, CAST(decile AS INTEGER) AS decile, CAST(n AS BIGINT) AS n, CAST(obs_1 AS BIGINT) AS obs_1,
        ROUNDX(exp_1, 6) AS exp_1, CAST(obs_0 AS BIGINT) AS obs_0, ROUNDX(exp_0, 6) AS exp_0 FROM hlt"""))
 def hl_table_q(spark, sf_dir):
+    """Observed and expected defaults per PD decile."""
     t = ev.hosmer_lemeshow_table(models_long(spark, sf_dir), "score", "target", 10, ["model"])
     return t.withColumn("exp_1", ev.np_round("exp_1", 6)).withColumn("exp_0", ev.np_round("exp_0", 6))
 
@@ -174,6 +185,7 @@ SELECT model, ROUNDX(hl, 4) AS hl_statistic, ROUNDX(p, 4) AS p_value, CAST(8 AS
        CAST(n_groups AS BIGINT) AS n_groups, CASE WHEN p > 0.05 THEN 'Well calibrated' ELSE 'Poorly calibrated' END AS result
 FROM s2"""))
 def hosmer_lemeshow_q(spark, sf_dir):
+    """Hosmer-Lemeshow statistic, p-value (dof = bins - 2) and verdict."""
     return ev.hosmer_lemeshow(models_long(spark, sf_dir), "score", "target", 10, ["model"])
 
 
@@ -188,6 +200,7 @@ SELECT loan_id, score, CAST(k AS DOUBLE) / n * 100 AS pct_population, CAST(cb AS
        CAST(cg AS DOUBLE) / n0 * 100 AS cdf_good, abs(CAST(cb AS DOUBLE) / n1 * 100 - CAST(cg AS DOUBLE) / n0 * 100) AS gap
 FROM r"""))
 def ks_curve_q(spark, sf_dir):
+    """Cumulative default and good shares by population share (score descending)."""
     return ev.ks_curve(loan_book(spark, sf_dir), "pd_fine", "target", "loan_id")
 
 
@@ -208,12 +221,14 @@ TC_SQL = f"""
 
 @query("threshold_curve", with_loan_book(TC_SQL + "SELECT threshold, FN, FP, total_cost FROM tc"))
 def threshold_curve_q(spark, sf_dir):
+    """FN, FP and total cost at every grid threshold."""
     return threshold_curve(loan_book(spark, sf_dir), "pd_fine", "target", 5.0, 1.0).drop("j")
 
 
 @query("cost_threshold", with_loan_book(TC_SQL + """
 SELECT threshold AS optimal_threshold, total_cost AS min_cost FROM tc ORDER BY total_cost, j LIMIT 1"""))
 def cost_threshold_q(spark, sf_dir):
+    """the first grid threshold with minimal 5 x FN + 1 x FP."""
     return optimal_threshold(threshold_curve(loan_book(spark, sf_dir), "pd_fine", "target", 5.0, 1.0))
 
 

@@ -25,6 +25,7 @@ SELECT feature, CAST(n AS BIGINT) AS n, ROUNDX(sk, 4) AS skewness, ROUNDX(ku, 4)
        CASE WHEN exp(-jb / 2.0) >= 0.05 THEN 't-test' ELSE 'Mann-Whitney U' END AS test
 FROM j"""))
 def normality_screen_q(spark, sf_dir):
+    """Jarque-Bera screen and the test it selects per numeric feature."""
     return H.normality_screen(loan_book(spark, sf_dir), NUM)
 
 
@@ -49,6 +50,7 @@ MW_SELECT = f"""SELECT feature, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS
 
 @query("mann_whitney", with_loan_book(MW_SQL + MW_SELECT))
 def mann_whitney_q(spark, sf_dir):
+    """Mann-Whitney U of the goods, p-value and rank-biserial r per numeric feature."""
     return H.mann_whitney(loan_book(spark, sf_dir), NUM, "target")
 
 
@@ -65,6 +67,7 @@ SELECT feature, level, CAST(n_good AS BIGINT) AS n_good, CAST(n_default AS BIGIN
        CAST(n_good + n_default AS BIGINT) AS total, ROUNDX(n_good * 100.0 / (n_good + n_default), 2) AS pct_good,
        ROUNDX(n_default * 100.0 / (n_good + n_default), 2) AS pct_default FROM ct"""))
 def contingency_q(spark, sf_dir):
+    """Counts and row percentages of every categorical level by class."""
     return H.contingency(loan_book(spark, sf_dir), CAT, "target")
 
 
@@ -88,6 +91,7 @@ CHI_SELECT = f"""SELECT feature, ROUNDX(chi2, 2) AS chi2, CAST(dof AS BIGINT) AS
 
 @query("chi_square", with_loan_book(CHI_SQL + CHI_SELECT))
 def chi_square_q(spark, sf_dir):
+    """Chi-square (Yates on 2x2), p-value and Cramer's V per categorical feature."""
     return H.chi_square(loan_book(spark, sf_dir, materialize=True), CAT, "target")
 
 
@@ -96,6 +100,7 @@ SELECT feature, 'mann_whitney' AS test, ROUNDX(p, 4) AS p_value, p < 0.05 AS rej
 UNION ALL
 SELECT feature, 'chi_square' AS test, ROUNDX(p, 4) AS p_value, p < 0.05 AS reject_h0 FROM st2"""))
 def confirmed_features_q(spark, sf_dir):
+    """Both tests' rows with p-values and the significance flag."""
     book = loan_book(spark, sf_dir, materialize=True)
     return H.confirmed_features(H.mann_whitney(book, NUM, "target"), H.chi_square(book, CAT, "target"))
 
@@ -104,5 +109,6 @@ def confirmed_features_q(spark, sf_dir):
 SELECT feature, ROUNDX(chi2, 2) AS chi2, ROUNDX(v, 4) AS cramers_v FROM st2 WHERE p < 0.05
 ORDER BY ROUNDX(v, 4) DESC, feature LIMIT 6"""))
 def top_cramers_v_q(spark, sf_dir):
+    """Strongest significant categorical associations by Cramer's V."""
     return H.top_by_cramers_v(H.chi_square(loan_book(spark, sf_dir, materialize=True), CAT, "target"), 6).select(
         "feature", "chi2", "cramers_v")

@@ -21,6 +21,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST({len(BOOK_COLS)} AS BIGINT) AS n
        CAST(SUM(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_default
 FROM loan_book"""))
 def basic_info_q(spark, sf_dir):
+    """Rows, columns, nulls, default rate and class counts in one aggregate."""
     return sb.basic_info(loan_book(spark, sf_dir), "target")
 
 
@@ -28,6 +29,7 @@ def basic_info_q(spark, sf_dir):
 SELECT target AS value, CAST(COUNT(*) AS BIGINT) AS n, COUNT(*) * 100.0 / (SELECT COUNT(*) FROM loan_book) AS share_pct
 FROM loan_book GROUP BY target"""))
 def value_share_q(spark, sf_dir):
+    """Class counts and shares of the target."""
     return sb.value_share(loan_book(spark, sf_dir, materialize=True), "target")
 
 
@@ -35,6 +37,7 @@ def value_share_q(spark, sf_dir):
     f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS level, CAST(COUNT(*) AS BIGINT) AS n, "
     f"AVG(CAST(target AS DOUBLE)) AS default_rate FROM loan_book GROUP BY {c}" for c in CAT)))
 def default_rate_by_category_q(spark, sf_dir):
+    """C4: rows and default rate per level of every categorical feature."""
     return sb.default_rate_by_category(loan_book(spark, sf_dir), "target", CAT)
 
 
@@ -44,6 +47,7 @@ def default_rate_by_category_q(spark, sf_dir):
     f"ROUNDX(AVG(CASE WHEN target = 1 THEN {c} END) - AVG(CASE WHEN target = 0 THEN {c} END), 2) AS difference "
     f"FROM loan_book" for c in NUM)))
 def class_means_diff_q(spark, sf_dir):
+    """Mean of each numeric feature for goods and defaults, and the difference."""
     return sb.class_means_diff(loan_book(spark, sf_dir), "target", NUM)
 
 
@@ -55,6 +59,7 @@ _pairs = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, ROUNDX(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM loan_book"
     for a, b in _pairs)))
 def corr_matrix_q(spark, sf_dir):
+    """Pearson r for every pair of numeric features and the target."""
     out = sb.corr_pairs(loan_book(spark, sf_dir), CORR_COLS)
     return out.select("feature_a", "feature_b", np_round("r", 6).alias("r"))
 
@@ -65,6 +70,7 @@ SELECT feature, CAST(COUNT(x) AS BIGINT) AS count, ROUNDX(AVG(x), 2) AS mean, RO
        ROUNDX(quantile_cont(x, 0.75), 2) AS q75, ROUNDX(MAX(x), 2) AS max
 FROM ({numeric_long()}) t GROUP BY feature"""))
 def describe_q(spark, sf_dir):
+    """Count, mean, std, min, exact quartiles and max per numeric feature."""
     return sb.describe(loan_book(spark, sf_dir, materialize=True), NUM)
 
 
@@ -76,6 +82,7 @@ SELECT b.feature, b.q1, b.q3, ROUNDX(b.lo, 2) AS lower_bound, ROUNDX(b.hi, 2) AS
        ROUNDX(SUM(CASE WHEN t.x < b.lo OR t.x > b.hi THEN 1 ELSE 0 END) * 100.0 / COUNT(*), 2) AS outlier_pct
 FROM ({numeric_long()}) t JOIN b ON t.feature = b.feature GROUP BY b.feature, b.q1, b.q3, b.lo, b.hi"""))
 def iqr_outliers_q(spark, sf_dir):
+    """Quartiles, 1.5 IQR fences and outlier counts per numeric feature."""
     return sb.iqr_outliers(loan_book(spark, sf_dir, materialize=True), NUM)
 
 
@@ -97,6 +104,7 @@ FROM hc JOIN cn ON hc.target = cn.target, ed"""
 
 @query("histogram_by_class", with_loan_book(_hist_sql("credit_amount", 20)))
 def histogram_by_class_q(spark, sf_dir):
+    """Equal-width histogram of the credit amount per class, with densities."""
     return sb.histogram_by_class(loan_book(spark, sf_dir, materialize=True), "credit_amount", "target", 20)
 
 
@@ -111,5 +119,6 @@ SELECT qq.feature, qq.target, CAST(COUNT(t.x) AS BIGINT) AS n, MIN(t.x) AS min,
 FROM t JOIN qq ON t.feature = qq.feature AND t.target = qq.target
 GROUP BY qq.feature, qq.target, qq.q1, qq.median, qq.q3"""))
 def box_stats_q(spark, sf_dir):
+    """Five-number summary, mean and whiskers per numeric feature and class."""
     out = sb.box_stats(loan_book(spark, sf_dir, materialize=True), NUM, "target")
     return out.withColumn("mean", np_round("mean", 6))

@@ -94,12 +94,14 @@ SELECT w.feature, w.bin_id, w.lo, w.hi, w.category, w.total AS count, w.default_
        ROUNDX(-(1.0 * w.woe + (SELECT b0 / k FROM icp)) * {FACTOR!r}, 1) AS points
 FROM woe_r w JOIN sel ON sel.feature = w.feature"""))
 def scorecard_q(spark, sf_dir):
+    """H1/H2: points per (feature, bin) of the WoE-sum scorecard."""
     return sc.build_scorecard(woe_sum_model(loan_book(spark, sf_dir, materialize=True)))
 
 
 @query("score_book", with_loan_book(BOOK_MODEL_SQL + _score_sql("loan_book", False) + """
 SELECT loan_id, target, credit_score, default_prob, score_band, decision FROM scored2"""))
 def score_book_q(spark, sf_dir):
+    """H3/H6: score, PD, band and decision for every loan."""
     book = loan_book(spark, sf_dir, materialize=True)
     return sc.score(book, woe_sum_model(book), keep=["loan_id", "target"]).select(
         "loan_id", "target", "credit_score", "default_prob", "score_band", "decision")
@@ -114,6 +116,7 @@ FROM scored2 GROUP BY score_band"""
 
 @query("band_performance", with_loan_book(BOOK_MODEL_SQL + _score_sql("loan_book", False) + BAND_SQL))
 def band_performance_q(spark, sf_dir):
+    """H7: count, defaults, default rate, mean score and approval rate per score band."""
     book = loan_book(spark, sf_dir, materialize=True)
     return sc.band_performance(sc.score(book, woe_sum_model(book), keep=["loan_id", "target"]))
 
@@ -123,6 +126,7 @@ def band_performance_q(spark, sf_dir):
            FROM woe_r w JOIN sel ON sel.feature = w.feature)
 SELECT feature, ROUNDX(MAX(points) - MIN(points), 1) AS points_range FROM card GROUP BY feature"""))
 def points_range_q(spark, sf_dir):
+    """H8: points range per scorecard feature, widest first."""
     return sc.points_range(sc.build_scorecard(woe_sum_model(loan_book(spark, sf_dir, materialize=True))))
 
 
@@ -132,6 +136,7 @@ SELECT CAST(target AS VARCHAR) AS "group", CAST(COUNT(credit_score) AS BIGINT) A
 UNION ALL
 SELECT 'all', CAST(COUNT(credit_score) AS BIGINT), MIN(credit_score), MAX(credit_score), ROUNDX(AVG(credit_score), 2) FROM scored2"""))
 def score_summary_q(spark, sf_dir):
+    """Score count, range and mean per class and overall."""
     book = loan_book(spark, sf_dir, materialize=True)
     return sc.score_summary(sc.score(book, woe_sum_model(book), keep=["loan_id", "target"]))
 
@@ -161,6 +166,7 @@ def score_breakdown_q(spark, sf_dir):
                  CASE feature {" ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(NUM + CAT))} END) AS rank FROM pts)
 SELECT loan_id, CAST(rank AS INTEGER) AS rank, feature, points FROM ord WHERE rank <= 3"""))
 def reason_codes_q(spark, sf_dir):
+    """H5: the three lowest-point features per hold-out applicant."""
     _, model, new = _split_model(spark, sf_dir)
     return sc.reason_codes(new, model, "loan_id", 3, new_data=True)
 

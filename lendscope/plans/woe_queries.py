@@ -42,6 +42,7 @@ FROM q_bins b LEFT JOIN ({numeric_long()}) nl
   ON nl.feature = b.feature AND nl.x <= b.hi AND (nl.x > b.lo OR (b.bin_id = 1 AND nl.x >= b.lo))
 GROUP BY b.feature, b.bin_id, b.lo, b.hi"""))
 def qcut_bins(spark, sf_dir):
+    """Exact decile edges (duplicates merged) and row counts per bin."""
     return binning.quantile_bin_table(loan_book(spark, sf_dir, materialize=True), NUM, bins=10)
 
 
@@ -49,6 +50,7 @@ def qcut_bins(spark, sf_dir):
 SELECT feature, bin_id, lo, hi, category, total, events, non_events, default_rate, pct_events,
        pct_non_events, woe, iv FROM woe_r"""))
 def woe_table_q(spark, sf_dir):
+    """WoE table of every feature (bins, counts, shares, WoE, IV)."""
     _, m = fitted(spark, sf_dir)
     return woe.woe_table(m)
 
@@ -61,6 +63,7 @@ IV_SUMMARY_SQL = woe_ctes() + f"""
 @query("iv_summary", with_loan_book(IV_SUMMARY_SQL + f"""
 SELECT feature, iv, {sql_iv_strength('iv')} AS strength FROM ivs"""))
 def iv_summary_q(spark, sf_dir):
+    """IV per feature with its strength label (the flagship query)."""
     _, m = fitted(spark, sf_dir)
     return woe.iv_summary(m)
 
@@ -68,6 +71,7 @@ def iv_summary_q(spark, sf_dir):
 @query("iv_selected", with_loan_book(IV_SUMMARY_SQL + """
 SELECT feature, iv, iv >= 0.02 AS selected FROM ivs"""))
 def iv_selected_q(spark, sf_dir):
+    """IV per feature with the IV >= 0.02 selection flag."""
     _, m = fitted(spark, sf_dir)
     return woe.select_by_iv(woe.iv_summary(m), 0.02)
 
@@ -75,6 +79,7 @@ def iv_selected_q(spark, sf_dir):
 @query("iv_top_k", with_loan_book(IV_SUMMARY_SQL + """
 SELECT feature, iv FROM ivs ORDER BY iv DESC, feature LIMIT 6"""))
 def iv_top_k_q(spark, sf_dir):
+    """The six features with the highest IV."""
     _, m = fitted(spark, sf_dir)
     return woe.top_k_by_iv(woe.iv_summary(m), 6).select("feature", "iv")
 
@@ -101,6 +106,7 @@ def _encode_sql_select(src_alias="lb", clamp=False, woe_src="woe_r", bins_src="q
 @query("woe_encoded", with_loan_book(woe_ctes() + f"""
 SELECT lb.loan_id, lb.target, {_encode_sql_select()} FROM loan_book lb"""))
 def woe_encoded_q(spark, sf_dir):
+    """WoE columns of every loan (unmatched values -> null)."""
     book, m = fitted(spark, sf_dir)
     return woe.encode(book, m, keep=["loan_id", "target"])
 
