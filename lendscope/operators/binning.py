@@ -66,12 +66,23 @@ class BinEdges:
 
 
 def fit_quantile_edges(df: DataFrame, numeric_cols: list[str], bins: int = 10,
-                       local_limit: int | None = None) -> BinEdges:
-    """Exact quantile edges for all numeric columns in one job."""
+                       local_limit: int | None = None, method: str = "exact",
+                       accuracy: int = 100_000) -> BinEdges:
+    """Quantile edges for all numeric columns in one job.
+
+    ``method="exact"`` (default): linear interpolation as pandas ``qcut``.
+    ``method="approx"``: one pass of ``percentile_approx`` (edges are data
+    values within rank error 1/accuracy) -- an opt-in when exact edges are not
+    required."""
     if not numeric_cols:
         return BinEdges({})
+    probs = qcut_probs(bins)
+    if method == "approx":
+        r = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c)
+                     for c in numeric_cols]).first()
+        return BinEdges({c: sorted(set(float(v) for v in (r[c] or []))) for c in numeric_cols})
     with CacheScope():
-        q = quantile_columns(df, numeric_cols, qcut_probs(bins), local_limit=local_limit)
+        q = quantile_columns(df, numeric_cols, probs, local_limit=local_limit)
         rows = q.select("feature", "q_idx", "q").collect()  # <= features x (bins + 1) rows
     edges: dict[str, list[float]] = {f: [] for f in numeric_cols}
     for r in sorted(rows, key=lambda r: (r["feature"], r["q_idx"])):

@@ -268,3 +268,14 @@ def test_beta_parameters():
     assert a == pytest.approx(10.6875) and b == pytest.approx(13.0625)
     a2, b2 = beta_params(0.45, 0.10, adjust=True)
     assert a2 == pytest.approx(10.6975) and b2 == pytest.approx(13.0725)
+
+
+def test_approximate_edges_are_close(spark):
+    rng = np.random.default_rng(2)
+    vals = rng.normal(size=2000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    exact = fit_quantile_edges(df, ["x"], 10).edges["x"]
+    approx = fit_quantile_edges(df, ["x"], 10, method="approx").edges["x"]
+    assert len(exact) == len(approx) == 11
+    ranks = np.searchsorted(np.sort(vals), approx) / len(vals)
+    assert np.all(np.abs(ranks - np.linspace(0, 1, 11)) <= 0.002)
