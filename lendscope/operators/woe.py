@@ -145,9 +145,10 @@ def bin_counts(df: DataFrame, target: str, numeric_cols: list[str], categorical_
 
 def fit_woe(df: DataFrame, target: str, numeric_cols: list[str], categorical_cols: list[str],
             bins: int = 10, epsilon: float = 0.5, edges: BinEdges | None = None,
-            local_limit: int | None = None) -> WoeModel:
-    """WoE tables of all features in one job (plus one edge job)."""
-    edges = edges or fit_quantile_edges(df, numeric_cols, bins, local_limit=local_limit)
+            local_limit: int | None = None, edge_method: str = "exact") -> WoeModel:
+    """WoE tables of all features in one job (plus one edge job;
+    ``edge_method="approx"`` fits edges with ``percentile_approx``)."""
+    edges = edges or fit_quantile_edges(df, numeric_cols, bins, local_limit=local_limit, method=edge_method)
     counts = bin_counts(df, target, numeric_cols, categorical_cols, edges)
     table = woe_table_from_counts(counts, numeric_cols, edges, epsilon).persist()
     return WoeModel(edges, table, list(numeric_cols), list(categorical_cols))
