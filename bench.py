@@ -58,6 +58,13 @@ def main():
            "n_loans": n_loans}
     if "mc_risk_metrics" in times:
         out["mc_cells_per_sec"] = round(10_000 * n_loans / times["mc_risk_metrics"])
+    # the reference's own scale: 10,000 simulations of a ~1,000-loan book
+    small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if not only and os.path.isdir(small):
+        t0 = time.time()
+        QUERIES["mc_risk_metrics"](spark, small).write.format("noop").mode("overwrite").save()
+        out["mc_reference_scale_sec"] = round(time.time() - t0, 3)
+        out["mc_reference_scale_loans"] = spark.read.parquet(f"{small}/orders.parquet").count()
     print(json.dumps(out))
     spark.stop()
 
