@@ -6,10 +6,11 @@ task.  Everything here first aggregates to one row per distinct
 
 * small groups (largest group <= ``local_limit`` distinct rows): a window
   partitioned by the group key; the size check bounds what one task holds;
-* large input: range-partition on (group, value), checkpoint so that the
-  partition ids are fixed even if tasks are retried, running sums inside
-  each range partition, and add the totals of all preceding partitions
-  from a tiny table (one row per partition and group).
+* large groups: cut each group into buckets along the order with
+  boundaries from one ``percentile_approx`` aggregate (literals, so bucket
+  ids are deterministic and retries need no checkpoint), run the windows
+  per (group, bucket) -- one hash shuffle -- and add the totals of the
+  preceding buckets from a small broadcast table (groups x buckets rows).
 
 Both paths return identical results.
 """
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fma
-from ..session import ensure_checkpoint_dir
 
 LOCAL_LIMIT = 1_000_000
 ROWS_PER_RANGE = 2_000_000
@@ -77,30 +77,71 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
             *[F.sum(c).over(w_run).alias(f"cum_{c}") for c in sum_cols],
             *[F.sum(c).over(w_all).alias(f"tot_{c}") for c in sum_cols],
         )
-    return _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, n)
-
-
-def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, n):
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = max(2, math.ceil(n / ROWS_PER_RANGE))
-    keys = [F.col(g).asc_nulls_first() for g in group_cols] + [_order_col(order_col, ascending)]
-    ranged = (df.repartitionByRange(n_parts, *keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    w_loc = (Window.partitionBy("_pid", *group_cols).orderBy(_order_col(order_col, ascending))
+    return _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest)
+
+
+def _bucket_key(df: DataFrame, order_col: str, ascending: bool):
+    """A double that never decreases along the requested order: the order
+    column (or its first field for a struct order), negated when
+    descending; nulls and NaN mapped to the end Spark sorts them to."""
+    col = F.col(order_col)
+    dtype = df.schema[order_col].dataType
+    if hasattr(dtype, "fields"):
+        col = col.getField(dtype.fields[0].name)
+    v = col.cast("double")
+    inf = float("inf")
+    if ascending:      # nulls first, NaN last
+        return F.when(v.isNull(), -inf).when(F.isnan(v), inf).otherwise(v)
+    return F.when(v.isNull(), inf).when(F.isnan(v), -inf).otherwise(-v)   # nulls last, NaN first
+
+
+def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest):
+    """Large groups: cut every group into buckets of about ``ROWS_PER_RANGE``
+    rows along the order, run the windows per (group, bucket) -- one hash
+    shuffle -- and add the totals of the preceding buckets from a small
+    broadcast table (groups x buckets rows).  Bucket boundaries come from one
+    ``percentile_approx`` aggregate and enter the plan as literals, so bucket
+    ids are a function of the data: retries and lost executors recompute the
+    same buckets without any checkpoint."""
+    from pyspark.ml.feature import Bucketizer
+
+    n_buckets = max(2, math.ceil(largest / ROWS_PER_RANGE))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    keyed = df.withColumn("_k", _bucket_key(df, order_col, ascending))
+    bounds = keyed.groupBy(*group_cols).agg(
+        F.percentile_approx("_k", probs, max(10_000, 10 * n_buckets)).alias("_bounds")).collect()  # groups x buckets
+    parts = []
+    for row in bounds:
+        sub = keyed
+        for c in group_cols:
+            sub = sub.where(F.col(c).eqNullSafe(F.lit(row[c])))
+        inner = sorted({float(b) for b in row["_bounds"] or [] if b is not None and math.isfinite(b)})
+        if inner:
+            splits = [float("-inf")] + inner + [float("inf")]
+            sub = Bucketizer(splits=splits, inputCol="_k", outputCol="_bd", handleInvalid="keep").transform(sub)
+            sub = sub.withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
+        else:
+            sub = sub.withColumn("_b", F.lit(0))
+        parts.append(sub)
+    bucketed = parts[0]
+    for p in parts[1:]:
+        bucketed = bucketed.unionByName(p)
+    keys = [*group_cols, "_b"]
+    w_loc = (Window.partitionBy(*keys).orderBy(_order_col(order_col, ascending))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("*", *[F.sum(c).over(w_loc).alias(f"_loc_{c}") for c in sum_cols])
-    # one row per (group, partition): at most n_parts + n_groups rows
-    part_tot = ranged.groupBy(*group_cols, "_pid").agg(*[F.sum(c).alias(f"_pt_{c}") for c in sum_cols])
-    w_before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    local = bucketed.select("*", *[F.sum(c).over(w_loc).alias(f"_loc_{c}") for c in sum_cols])
+    b_tot = bucketed.groupBy(*keys).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
+    w_before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     w_grp = Window.partitionBy(*group_cols)
-    offsets = part_tot.select(
-        *group_cols, "_pid",
-        *[F.coalesce(F.sum(f"_pt_{c}").over(w_before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
-        *[F.sum(f"_pt_{c}").over(w_grp).alias(f"tot_{c}") for c in sum_cols],
+    offsets = b_tot.select(
+        *[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_b").alias("_g_b"),
+        *[F.coalesce(F.sum(f"_bt_{c}").over(w_before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+        *[F.sum(f"_bt_{c}").over(w_grp).alias(f"tot_{c}") for c in sum_cols],
     )
-    joined = local.join(F.broadcast(offsets), on=[*group_cols, "_pid"], how="inner")
+    cond = F.col("_b") == F.col("_g_b")
+    for c in group_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    joined = local.join(F.broadcast(offsets), cond, "inner")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols],

@@ -96,12 +96,15 @@ def _plan(df):
 def test_ranged_paths_have_no_single_partition_exchange(book):
     pre = prefix_sums(book.select("loan_id", "target", F.lit(1).alias("one")), [], "loan_id", ["one"],
                       local_limit=0)
+    import re
+
     plan = _plan(pre)
-    row_side, small_side = plan.split("BroadcastExchange", 1)
-    # rows are only hash-partitioned by range id; the single-partition step
-    # runs over the per-partition totals that get broadcast
+    row_side = plan.split("BroadcastExchange", 1)[0]
+    # rows move once, hash-partitioned by bucket; any single-partition step
+    # runs over the small per-bucket totals that get broadcast
     assert "SinglePartition" not in row_side
-    assert "hashpartitioning(_pid" in row_side
+    assert re.search(r"hashpartitioning\(_b#", row_side)
+    assert "checkpoint" not in plan.lower()
 
 
 def test_loan_book_scans_are_pruned(spark):
