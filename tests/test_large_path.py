@@ -8,8 +8,10 @@ from lendscope.operators import ordered
 from tests.conftest import SMOKE
 from tests.helpers import canon
 
-NAMES = ["roc_curve", "auc_ks_gini", "mann_whitney", "ks_curve", "qcut_bins", "describe", "box_stats",
-         "hl_table", "stratified_split", "iv_summary", "mc_md5_metrics"]
+NAMES = ["roc_curve", "pr_curve", "auc_ks_gini", "average_precision", "model_metrics", "mann_whitney",
+         "confirmed_features", "ks_curve", "qcut_bins", "describe", "iqr_outliers", "box_stats", "hl_table",
+         "hosmer_lemeshow", "stratified_split", "kfold_balance", "iv_summary", "woe_encode_new", "reason_codes",
+         "scorecard_validation", "mc_md5_metrics"]
 
 
 @pytest.mark.parametrize("name", NAMES)
