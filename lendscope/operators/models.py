@@ -128,14 +128,29 @@ def fit_logit(df: DataFrame, features: list[str], label: str, max_iter: int = 10
                                       maxIter=max_iter, regParam=0.0, fitIntercept=True)
     if weight:
         glr.setWeightCol(weight)
-    # IRLS makes one pass per iteration plus several for the summary: cache
-    # the assembled rows once
-    assembled = va.transform(data.select(*features, label, *([weight] if weight else []))).persist()
+    # IRLS makes one pass per iteration: cache the assembled rows once
+    cols = [*features, label, *([weight] if weight else [])]
+    assembled = va.transform(data.select(*cols)).persist()
     m = glr.fit(assembled)
     s = m.summary
-    fit = LogitFit(list(features), [float(v) for v in m.coefficients], float(m.intercept),
-                   list(s.coefficientStandardErrors), list(s.pValues), float(s.deviance),
-                   float(s.nullDeviance), float(s.aic), int(s.numInstances), m)
+    se, pv = list(s.coefficientStandardErrors), list(s.pValues)   # from the last IRLS solve, no extra pass
+    # deviances and n in one aggregate instead of one summary job each
+    lin = F.lit(float(m.intercept))
+    for f, b in zip(features, m.coefficients):
+        lin = lin + F.lit(float(b)) * F.col(f)
+    y = F.col(label).cast("double")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-lin))
+    eps = 1e-300
+    r = assembled.agg(
+        F.sum(w * (y * F.ln(F.greatest(p, F.lit(eps))) + (1 - y) * F.ln(F.greatest(1 - p, F.lit(eps))))).alias("llf"),
+        F.sum(w * y).alias("sy"), F.sum(w).alias("sw"), F.count(F.lit(1)).alias("n")).first()
+    ybar = r["sy"] / r["sw"]
+    llnull = r["sy"] * math.log(ybar) + (r["sw"] - r["sy"]) * math.log(1 - ybar) if 0 < ybar < 1 else 0.0
+    k = len(features) + 1
+    deviance, null_deviance = -2.0 * r["llf"], -2.0 * llnull
+    fit = LogitFit(list(features), [float(v) for v in m.coefficients], float(m.intercept), se, pv,
+                   deviance, null_deviance, deviance + 2 * k, int(r["n"]), m)
     assembled.unpersist()
     return fit
 
