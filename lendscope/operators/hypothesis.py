@@ -82,14 +82,22 @@ def contingency(df: DataFrame, categorical_cols: list[str], target: str) -> Data
 def chi_square(df: DataFrame, categorical_cols: list[str], target: str, alpha: float = ALPHA) -> DataFrame:
     """(feature, chi2, dof, p_value, reject_h0, cramers_v, effect_size).
 
-    The contingency table is small (levels x 2); totals come from a window
-    over it.  Yates' correction applies to 2x2 tables only; V uses the
-    corrected statistic and n = all rows."""
-    n_rows = df.count()
-    ct = contingency(df, categorical_cols, target)
+    One pass: the (feature, level) counts also carry the row count of every
+    level (null levels and null targets included), which gives n = all rows
+    for Cramér's V.  The table is small (levels x 2); totals come from a
+    window over it.  Yates' correction applies to 2x2 tables only; V uses
+    the corrected statistic."""
+    long = df.select(F.col(target).alias("_y"), *[F.col(c).cast("string").alias(c) for c in categorical_cols]) \
+        .unpivot(["_y"], categorical_cols, "feature", "level")
+    y = F.col("_y")
+    raw = long.groupBy("feature", "level").agg(
+        F.sum((y == 0).cast("bigint")).alias("n_good"), F.sum((y == 1).cast("bigint")).alias("n_default"),
+        F.count(F.lit(1)).alias("n_rows"))
     w = Window.partitionBy("feature")
+    ct = raw.withColumn("_all_rows", F.sum("n_rows").over(w)).where(F.col("level").isNotNull()) \
+        .withColumn("total", F.col("n_good") + F.col("n_default"))
     cells = ct.select(
-        "feature", "level", "n_good", "n_default", "total",
+        "feature", "level", "n_good", "n_default", "total", "_all_rows",
         F.sum("total").over(w).alias("n"), F.sum("n_good").over(w).alias("c0"),
         F.sum("n_default").over(w).alias("c1"), F.count(F.lit(1)).over(w).alias("r"))
     c_classes = (F.when(F.col("c0") > 0, 1).otherwise(0) + F.when(F.col("c1") > 0, 1).otherwise(0))
@@ -103,13 +111,14 @@ def chi_square(df: DataFrame, categorical_cols: list[str], target: str, alpha: f
 
     stat = cells.groupBy("feature").agg(
         F.sum(term("n_good", "c0") + term("n_default", "c1")).alias("chi2"),
-        F.first("dof").alias("dof"), F.first("r").alias("r"), F.first("k").alias("k"))
+        F.first("dof").alias("dof"), F.first("r").alias("r"), F.first("k").alias("k"),
+        F.first("_all_rows").alias("n_all"))
     kmin = F.least(F.col("r"), F.col("k"))
-    raw = stat.where(F.col("dof") >= 1).select(
+    raw_out = stat.where(F.col("dof") >= 1).select(
         "feature", F.col("chi2").alias("_chi2"), F.col("dof").alias("_dof"),
         chi2_sf(F.col("chi2"), F.col("dof")).alias("_p"),
-        F.sqrt(F.col("chi2") / (F.lit(float(n_rows)) * (kmin - 1))).alias("_v"))
-    return raw.select(
+        F.sqrt(F.col("chi2") / (F.col("n_all").cast("double") * (kmin - 1))).alias("_v"))
+    return raw_out.select(
         "feature", np_round("_chi2", 2).alias("chi2"), F.col("_dof").cast("bigint").alias("dof"),
         np_round("_p", 4).alias("p_value"), (F.col("_p") < alpha).alias("reject_h0"),
         np_round("_v", 4).alias("cramers_v"), effect_size(F.col("_v")).alias("effect_size"))

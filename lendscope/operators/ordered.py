@@ -98,11 +98,11 @@ def _bucket_key(df: DataFrame, order_col: str, ascending: bool):
 def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest):
     """Large groups: cut every group into buckets of about ``ROWS_PER_RANGE``
     rows along the order, run the windows per (group, bucket) -- one hash
-    shuffle -- and add the totals of the preceding buckets from a small
-    broadcast table (groups x buckets rows).  Bucket boundaries come from one
-    ``percentile_approx`` aggregate and enter the plan as literals, so bucket
-    ids are a function of the data: retries and lost executors recompute the
-    same buckets without any checkpoint."""
+    shuffle -- and add the totals of the preceding buckets, computed from the
+    collected bucket totals (groups x buckets rows) and broadcast.  Bucket
+    boundaries come from one ``percentile_approx`` aggregate and enter the
+    plan as literals, so bucket ids are a function of the data: retries and
+    lost executors recompute the same buckets without any checkpoint."""
     from pyspark.ml.feature import Bucketizer
 
     n_buckets = max(2, math.ceil(largest / ROWS_PER_RANGE))
@@ -110,34 +110,54 @@ def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest)
     keyed = df.withColumn("_k", _bucket_key(df, order_col, ascending))
     bounds = keyed.groupBy(*group_cols).agg(
         F.percentile_approx("_k", probs, max(10_000, 10 * n_buckets)).alias("_bounds")).collect()  # groups x buckets
-    parts = []
-    for row in bounds:
-        sub = keyed
+    # one Bucketizer per group, applied as columns of the same frame (binary
+    # search per row and group), and a CASE picking the row's own group: one
+    # linear plan over the cached input, no union of filtered copies
+    b_expr, tmp = None, []
+    for i, row in enumerate(bounds):
+        cond = F.lit(True)
         for c in group_cols:
-            sub = sub.where(F.col(c).eqNullSafe(F.lit(row[c])))
+            cond = cond & F.col(c).eqNullSafe(F.lit(row[c]))
         inner = sorted({float(b) for b in row["_bounds"] or [] if b is not None and math.isfinite(b)})
         if inner:
-            splits = [float("-inf")] + inner + [float("inf")]
-            sub = Bucketizer(splits=splits, inputCol="_k", outputCol="_bd", handleInvalid="keep").transform(sub)
-            sub = sub.withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
+            out = f"_bk{i}"
+            keyed = Bucketizer(splits=[float("-inf")] + inner + [float("inf")], inputCol="_k", outputCol=out,
+                               handleInvalid="keep").transform(keyed)
+            val = F.col(out).cast("int")
+            tmp.append(out)
         else:
-            sub = sub.withColumn("_b", F.lit(0))
-        parts.append(sub)
-    bucketed = parts[0]
-    for p in parts[1:]:
-        bucketed = bucketed.unionByName(p)
+            val = F.lit(0)
+        b_expr = F.when(cond, val) if b_expr is None else b_expr.when(cond, val)
+    bucketed = keyed.withColumn("_b", b_expr if b_expr is not None else F.lit(0)).drop(*tmp)
     keys = [*group_cols, "_b"]
     w_loc = (Window.partitionBy(*keys).orderBy(_order_col(order_col, ascending))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = bucketed.select("*", *[F.sum(c).over(w_loc).alias(f"_loc_{c}") for c in sum_cols])
+    # per-(group, bucket) totals: groups x buckets rows, collected; the
+    # offsets (totals of the preceding buckets) go back as a local table so
+    # the big side is not joined with its own lineage (which would re-run it)
     b_tot = bucketed.groupBy(*keys).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
-    w_before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_grp = Window.partitionBy(*group_cols)
-    offsets = b_tot.select(
-        *[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_b").alias("_g_b"),
-        *[F.coalesce(F.sum(f"_bt_{c}").over(w_before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
-        *[F.sum(f"_bt_{c}").over(w_grp).alias(f"tot_{c}") for c in sum_cols],
-    )
+    schema = b_tot.schema
+    tot_rows = b_tot.collect()
+    by_group: dict = {}
+    for r in tot_rows:
+        by_group.setdefault(tuple(r[c] for c in group_cols), []).append(r)
+    off_rows = []
+    for g, rows in by_group.items():
+        rows.sort(key=lambda r: r["_b"])
+        totals = {c: sum(r[f"_bt_{c}"] or 0 for r in rows) for c in sum_cols}
+        run = {c: 0 for c in sum_cols}
+        for r in rows:
+            off_rows.append((*g, r["_b"], *[run[c] for c in sum_cols], *[totals[c] for c in sum_cols]))
+            for c in sum_cols:
+                run[c] += r[f"_bt_{c}"] or 0
+    from pyspark.sql.types import StructField, StructType
+
+    fields = [StructField(f"_g_{c}", schema[c].dataType, True) for c in group_cols]
+    fields.append(StructField("_g_b", schema["_b"].dataType, True))
+    fields += [StructField(f"_off_{c}", schema[f"_bt_{c}"].dataType, True) for c in sum_cols]
+    fields += [StructField(f"tot_{c}", schema[f"_bt_{c}"].dataType, True) for c in sum_cols]
+    offsets = df.sparkSession.createDataFrame(off_rows, StructType(fields))
     cond = F.col("_b") == F.col("_g_b")
     for c in group_cols:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))

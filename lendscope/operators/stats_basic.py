@@ -8,7 +8,7 @@ jobs.  Quantiles are exact (see ``ordered.exact_quantiles``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
@@ -159,9 +159,9 @@ def histogram_by_class(df: DataFrame, col: str, target: str, bins: int = 20) ->
     b = (b.otherwise(bins - 1) if b is not None else F.lit(0))
     counted = df.where(x.isNotNull()).groupBy(F.col(target).alias("target"), b.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
-    class_n = df.where(x.isNotNull()).groupBy(F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("n_class"))
     e_arr = F.array(*[F.lit(e) for e in edges])
-    out = counted.join(F.broadcast(class_n), "target")  # one row per class
+    # class sizes from the (bins x classes) counts: no second pass over rows
+    out = counted.withColumn("n_class", F.sum("n").over(Window.partitionBy("target")))
     lo = F.element_at(e_arr, F.col("bin") + 1)
     hi = F.element_at(e_arr, F.col("bin") + 2)
     return out.select("target", F.col("bin").cast("int").alias("bin"), lo.alias("lo"), hi.alias("hi"), "n",
