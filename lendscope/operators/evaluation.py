@@ -75,12 +75,33 @@ def _safe_div(a, b):
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def pointwise_from_roc(roc: DataFrame, threshold: float = 0.5, group_cols: list[str] | None = None) -> DataFrame:
+    """G7-G9 from the distinct-score table instead of the rows: Brier, log
+    loss and the confusion counts at ``p >= t`` are sums over distinct
+    scores weighted by their positive / negative counts."""
+    g = group_cols or []
+    s = F.col("threshold").cast("double")
+    sc = clip(s, EPS, 1 - EPS)
+    pos, neg = F.col("pos"), F.col("neg")
+    hit = s >= threshold
+    n = F.sum(pos + neg)
+    return roc.groupBy(*g).agg(
+        (F.sum(pos * (s - 1) * (s - 1) + neg * s * s) / n).alias("brier"),
+        (F.sum(pos * -F.ln(sc) + neg * -F.ln(1 - sc)) / n).alias("log_loss"),
+        F.sum(F.when(hit, pos).otherwise(0)).alias("TP"),
+        F.sum(F.when(~hit, neg).otherwise(0)).alias("TN"),
+        F.sum(F.when(hit, neg).otherwise(0)).alias("FP"),
+        F.sum(F.when(~hit, pos).otherwise(0)).alias("FN"))
+
+
 def all_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5,
                 group_cols: list[str] | None = None, local_limit: int | None = None) -> DataFrame:
-    """The full metric row per model, rounded to 4 dp."""
+    """The full metric row per model, rounded to 4 dp.  The rows are
+    read once: every metric is a sum over the distinct-score table."""
     g = group_cols or []
-    rk = ranking_metrics(roc_table(df, score, label, g, local_limit), g)
-    pt = pointwise_metrics(df, score, label, threshold, g)
+    roc = roc_table(df, score, label, g, local_limit)
+    rk = ranking_metrics(roc, g)
+    pt = pointwise_from_roc(roc, threshold, g)
     if g:
         j = rk.join(pt, g, "inner")
     else:  # one row each side
@@ -94,7 +115,9 @@ def all_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5,
         *g, np_round("auc", 4).alias("roc_auc"), np_round("ks", 4).alias("ks_statistic"),
         np_round(gini, 4).alias("gini"), np_round("ap", 4).alias("pr_auc"), np_round("brier", 4).alias("brier_score"),
         np_round("log_loss", 4).alias("log_loss"), np_round(f1, 4).alias("f1_score"),
-        F.lit(float(threshold)).alias("threshold"), "TP", "TN", "FP", "FN",
+        F.lit(float(threshold)).alias("threshold"), F.col("TP").cast("bigint").alias("TP"),
+        F.col("TN").cast("bigint").alias("TN"), F.col("FP").cast("bigint").alias("FP"),
+        F.col("FN").cast("bigint").alias("FN"),
         np_round(precision, 4).alias("precision"), np_round(recall, 4).alias("recall"))
 
 
