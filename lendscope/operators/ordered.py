@@ -170,7 +170,7 @@ def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest)
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    local_limit: int | None = None) -> DataFrame:
+                    local_limit: int | None = None, weight_col: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (pandas / ``quantile_cont`` rule), exact.
 
     Returns one row per (group, q_idx) with columns group..., q_idx, prob,
@@ -180,8 +180,9 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
     value emits only the quantile positions it covers.
     """
     v = F.col(value_col)
+    n_rows = F.sum(weight_col) if weight_col else F.count(F.lit(1))   # weight: rows per (pre-counted) value
     counts = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-              .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("cnt")))
+              .groupBy(*group_cols, value_col).agg(n_rows.cast("bigint").alias("cnt")))
     pre = prefix_sums(counts, group_cols, value_col, ["cnt"], local_limit=local_limit)
     n = F.col("tot_cnt")
     before = F.col("cum_cnt") - F.col("cnt")
