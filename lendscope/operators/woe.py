@@ -50,6 +50,12 @@ class WoeModel:
             self._lookup = look
         return self._lookup
 
+    def class_totals(self) -> tuple[int, int]:
+        """(events, rows with a target) of the fitting table, known from the
+        fit (no pass over the rows)."""
+        r = self.table.select("_te", "_tnn").first()
+        return int(r["_te"]), int(r["_tnn"])
+
     def needs_join(self, feature: str) -> bool:
         return feature in self.categorical_cols and len(self.lookup().get(feature, {})) > MAP_LITERAL_LIMIT
 
@@ -94,6 +100,7 @@ def woe_table_from_counts(counts: DataFrame, numeric_cols: list[str], edges: Bin
         "*",
         F.sum("events").over(w).alias("_te"),
         F.sum("rows").over(w).alias("_n"),
+        F.sum("total").over(w).alias("_tnn"),
     ).where(F.col("bin_key").isNotNull())
     te = F.col("_te").cast("double")
     tne = (F.col("_n") - F.col("_te")).cast("double")
@@ -113,6 +120,7 @@ def woe_table_from_counts(counts: DataFrame, numeric_cols: list[str], edges: Bin
         pct_e.alias("pct_events"),
         pct_ne.alias("pct_non_events"),
         F.ln(pct_e / pct_ne).alias("woe_raw"),
+        "_te", "_tnn",
     ).withColumn("iv_raw", (F.col("pct_events") - F.col("pct_non_events")) * F.col("woe_raw"))
     edge_df = F.broadcast(edges.to_df(spark))  # features x bins rows
     t = t.join(edge_df, ["feature", "bin_id"], "left")
@@ -123,7 +131,7 @@ def woe_table_from_counts(counts: DataFrame, numeric_cols: list[str], edges: Bin
         np_round("pct_non_events", 4).alias("pct_non_events"),
         np_round("woe_raw", 4).alias("woe"),
         np_round("iv_raw", 4).alias("iv"),
-        "iv_raw",
+        "iv_raw", "_te", "_tnn",
     )
 
 
@@ -195,7 +203,7 @@ def fit_woe(df: DataFrame, target: str, numeric_cols: list[str], categorical_col
 
 
 def woe_table(model: WoeModel) -> DataFrame:
-    return model.table.drop("iv_raw")
+    return model.table.drop("iv_raw", "_te", "_tnn")
 
 
 def iv_summary(model: WoeModel) -> DataFrame:

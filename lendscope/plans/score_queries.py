@@ -30,8 +30,8 @@ def woe_sum_model(fit_rows, target="target"):
     m = woe.fit_woe(fit_rows, target, NUM, CAT)
     chosen = set(woe.selected_features(woe.iv_summary(m), IV_MIN))
     feats = [f for f in NUM + CAT if f in chosen]   # model order: numeric, then categorical
-    r = fit_rows.agg(F.sum(F.col(target)).alias("e"), F.sum(F.lit(1) - F.col(target)).alias("ne")).first()
-    intercept = math.log(r["e"] / r["ne"])
+    events, with_target = m.class_totals()
+    intercept = math.log(events / (with_target - events))
     return sc.build_model(intercept, {f: 1.0 for f in feats}, m)
 
 
