@@ -95,6 +95,18 @@ def _bucket_key(df: DataFrame, order_col: str, ascending: bool):
     return F.when(v.isNull(), inf).when(F.isnan(v), -inf).otherwise(-v)   # nulls last, NaN first
 
 
+def _second_key(df: DataFrame, order_col: str, ascending: bool):
+    """Second field of a struct order as a non-decreasing double (or None)."""
+    dtype = df.schema[order_col].dataType
+    if not hasattr(dtype, "fields") or len(dtype.fields) < 2:
+        return None
+    v = F.col(order_col).getField(dtype.fields[1].name).cast("double")
+    inf = float("inf")
+    if ascending:
+        return F.when(v.isNull(), -inf).when(F.isnan(v), inf).otherwise(v)
+    return F.when(v.isNull(), inf).when(F.isnan(v), -inf).otherwise(-v)
+
+
 def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest):
     """Large groups: cut every group into buckets of about ``ROWS_PER_RANGE``
     rows along the order, run the windows per (group, bucket) -- one hash
@@ -110,15 +122,33 @@ def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest)
     keyed = df.withColumn("_k", _bucket_key(df, order_col, ascending))
     bounds = keyed.groupBy(*group_cols).agg(
         F.percentile_approx("_k", probs, max(10_000, 10 * n_buckets)).alias("_bounds")).collect()  # groups x buckets
+    # Tied first-field values holding more than a bucket's worth of rows (a
+    # hot score) are isolated in their own first-level bucket and split again
+    # along the struct's second field, so no tie group lands in one task.
+    second = _second_key(df, order_col, ascending)
+    heavy = {}
+    if second is not None:
+        keyed = keyed.withColumn("_k2", second)
+        hot = keyed.groupBy(*group_cols, "_k").count().where(F.col("count") > ROWS_PER_RANGE)
+        n_sub = F.greatest(F.lit(2), F.ceil(F.col("count") / ROWS_PER_RANGE)).cast("int")
+        for r in hot.select(*group_cols, "_k", n_sub.alias("m")).collect():   # <= rows / ROWS_PER_RANGE values
+            heavy.setdefault(tuple(r[c] for c in group_cols), []).append((float(r["_k"]), int(r["m"])))
     # one Bucketizer per group, applied as columns of the same frame (binary
     # search per row and group), and a CASE picking the row's own group: one
     # linear plan over the cached input, no union of filtered copies
     b_expr, tmp = None, []
+    sub_expr = None
+    max_sub = 1 + max([m for hv in heavy.values() for _, m in hv] or [1])
     for i, row in enumerate(bounds):
         cond = F.lit(True)
         for c in group_cols:
             cond = cond & F.col(c).eqNullSafe(F.lit(row[c]))
-        inner = sorted({float(b) for b in row["_bounds"] or [] if b is not None and math.isfinite(b)})
+        inner = {float(b) for b in row["_bounds"] or [] if b is not None and math.isfinite(b)}
+        gkey = tuple(row[c] for c in group_cols)
+        for v, _ in heavy.get(gkey, []):
+            if math.isfinite(v):
+                inner |= {v, math.nextafter(v, math.inf)}   # [v, next(v)) holds only v
+        inner = sorted(inner)
         if inner:
             out = f"_bk{i}"
             keyed = Bucketizer(splits=[float("-inf")] + inner + [float("inf")], inputCol="_k", outputCol=out,
@@ -128,7 +158,21 @@ def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest)
         else:
             val = F.lit(0)
         b_expr = F.when(cond, val) if b_expr is None else b_expr.when(cond, val)
-    bucketed = keyed.withColumn("_b", b_expr if b_expr is not None else F.lit(0)).drop(*tmp)
+        for j, (v, m) in enumerate(heavy.get(gkey, [])):
+            sub_bounds = keyed.where(cond & (F.col("_k") == v)).agg(
+                F.percentile_approx("_k2", [x / m for x in range(1, m)], max(10_000, 10 * m)).alias("b")).first()["b"]
+            sub_splits = sorted({float(b) for b in sub_bounds or [] if b is not None and math.isfinite(b)})
+            if sub_splits:
+                out = f"_bs{i}_{j}"
+                keyed = Bucketizer(splits=[float("-inf")] + sub_splits + [float("inf")], inputCol="_k2",
+                                   outputCol=out, handleInvalid="keep").transform(keyed)
+                tmp.append(out)
+                hit = cond & (F.col("_k") == v)
+                sub_expr = (F.when(hit, F.col(out).cast("int")) if sub_expr is None
+                            else sub_expr.when(hit, F.col(out).cast("int")))
+    first_level = b_expr if b_expr is not None else F.lit(0)
+    sub = sub_expr.otherwise(0) if sub_expr is not None else F.lit(0)
+    bucketed = keyed.withColumn("_b", first_level * max_sub + sub).drop(*tmp, *(["_k2"] if second is not None else []))
     keys = [*group_cols, "_b"]
     w_loc = (Window.partitionBy(*keys).orderBy(_order_col(order_col, ascending))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
