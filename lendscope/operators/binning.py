@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import CacheScope, quantile_columns
+from .ordered import CacheScope, _persist, exact_quantiles, quantile_columns, unpivot_numeric
 
 
 def qcut_probs(bins: int) -> list[float]:
@@ -92,15 +92,29 @@ def fit_quantile_edges(df: DataFrame, numeric_cols: list[str], bins: int = 10,
 
 def quantile_bin_table(df: DataFrame, numeric_cols: list[str], bins: int = 10,
                        edges: BinEdges | None = None) -> DataFrame:
-    """D1 as a table: (feature, bin_id, lo, hi, n) with row counts per bin."""
-    edges = edges or fit_quantile_edges(df, numeric_cols, bins)
+    """D1 as a table: (feature, bin_id, lo, hi, n) with row counts per bin.
+    The rows are read once: counts per distinct value give both the exact
+    edges and the bin counts."""
     spark = df.sparkSession
-    binned = df.select(*[edges.bin_id(f, F.col(f)).alias(f) for f in numeric_cols])
-    long = binned.unpivot([], numeric_cols, "feature", "bin_id")
-    counts = long.where(F.col("bin_id").isNotNull()).groupBy("feature", "bin_id").agg(
-        F.count(F.lit(1)).alias("n"))
-    return edges.to_df(spark).join(counts, ["feature", "bin_id"], "left").select(
-        "feature", "bin_id", "lo", "hi", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    with CacheScope():
+        dist = _persist(unpivot_numeric(df, numeric_cols).groupBy("feature", "value").agg(
+            F.count(F.lit(1)).alias("rows")))
+        if edges is None:
+            q = exact_quantiles(dist, ["feature"], "value", qcut_probs(bins), weight_col="rows")
+            found: dict[str, list[float]] = {f: [] for f in numeric_cols}
+            for r in q.select("feature", "q").collect():   # <= features x (bins + 1) rows
+                found[r["feature"]].append(float(r["q"]))
+            edges = BinEdges({f: sorted(set(v)) for f, v in found.items()})
+        bin_of = None
+        for f in numeric_cols:
+            b = edges.bin_id(f, F.col("value"))
+            bin_of = F.when(F.col("feature") == f, b) if bin_of is None else bin_of.when(F.col("feature") == f, b)
+        counts = dist.where(bin_of.isNotNull()).groupBy("feature", bin_of.alias("bin_id")).agg(
+            F.sum("rows").alias("n"))
+        out = edges.to_df(spark).join(counts, ["feature", "bin_id"], "left").select(
+            "feature", "bin_id", "lo", "hi", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).persist()
+        out.count()   # small result, materialized before the distinct counts are released
+    return out
 
 
 def equal_width_edges(x_min: Column, x_max: Column, bins: int) -> list[Column]:
