@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
 
-from .ordered import CacheScope, exact_quantiles, unpivot_numeric
+from .ordered import CacheScope, _persist, exact_quantiles, unpivot_numeric
 
 
 def basic_info(df: DataFrame, target: str) -> DataFrame:
@@ -117,29 +117,32 @@ def iqr_outliers(df: DataFrame, numeric_cols: list[str], k: float = 1.5,
                  local_limit: int | None = None) -> DataFrame:
     """Q1/Q3 (exact, linear), bounds Q -/+ k IQR, strict outlier counts.
 
-    Pass 1 computes quartiles for all columns; pass 2 counts outliers of all
-    columns in one aggregate against the bounds (features x 2 literals)."""
-    long = unpivot_numeric(df, numeric_cols)
-    qs = {}
+    The rows are read once: counts per distinct value (nulls included, for
+    the row total) give the quartiles and then the outlier counts against
+    the bounds (features x 2 literals)."""
+    spark = df.sparkSession
     with CacheScope():
-        q = exact_quantiles(long, ["feature"], "value", [0.25, 0.75], local_limit)
+        dist = _persist(unpivot_numeric(df, numeric_cols).groupBy("feature", "value").agg(
+            F.count(F.lit(1)).alias("rows")))
+        q = exact_quantiles(dist, ["feature"], "value", [0.25, 0.75], local_limit, weight_col="rows")
+        qs = {}
         for r in q.collect():  # 2 rows per feature
             qs.setdefault(r["feature"], {})[r["q_idx"]] = r["q"]
-    n_total = F.count(F.lit(1))
-    aggs, rows = [], []
-    for c in numeric_cols:
-        q1, q3 = qs[c][0], qs[c][1]
-        lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-        x = F.col(c).cast("double")
-        aggs.append(F.sum(((x < lo) | (x > hi)).cast("bigint")).alias(f"o_{len(rows)}"))
-        rows.append((c, q1, q3, lo, hi))
-    counts = df.agg(n_total.alias("n"), *aggs)
-    stack = ", ".join(f"'{c}', {q1!r}D, {q3!r}D, {lo!r}D, {hi!r}D, o_{i}" for i, (c, q1, q3, lo, hi) in enumerate(rows))
-    long_out = counts.selectExpr("n", f"stack({len(rows)}, {stack}) as (feature, q1, q3, lower, upper, outliers)")
-    return long_out.select("feature", "q1", "q3", np_round("lower", 2).alias("lower_bound"),
-                           np_round("upper", 2).alias("upper_bound"),
-                           F.coalesce("outliers", F.lit(0)).cast("bigint").alias("outliers"),
-                           np_round(F.coalesce("outliers", F.lit(0)) * 100.0 / F.col("n"), 2).alias("outlier_pct"))
+        bounds = []
+        for c in numeric_cols:
+            q1, q3 = qs[c][0], qs[c][1]
+            bounds.append((c, q1, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1)))
+        b = spark.createDataFrame(bounds, "feature string, q1 double, q3 double, lower double, upper double")
+        v = F.col("value")
+        out_flag = (v < F.col("lower")) | (v > F.col("upper"))
+        counts = dist.join(F.broadcast(b), "feature").groupBy("feature", "q1", "q3", "lower", "upper").agg(
+            F.sum(F.when(out_flag, F.col("rows")).otherwise(0)).alias("outliers"), F.sum("rows").alias("n"))
+        res = counts.select(
+            "feature", "q1", "q3", np_round("lower", 2).alias("lower_bound"), np_round("upper", 2).alias("upper_bound"),
+            F.col("outliers").cast("bigint").alias("outliers"),
+            np_round(F.col("outliers") * 100.0 / F.col("n"), 2).alias("outlier_pct")).persist()
+        res.count()   # small result, materialized before the distinct counts are released
+    return res
 
 
 def histogram_by_class(df: DataFrame, col: str, target: str, bins: int = 20) -> DataFrame:
