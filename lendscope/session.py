@@ -2,16 +2,18 @@
 
 The library never creates its own session inside operators; these helpers
 are for scripts, tests and the bench.  A cluster names a shared checkpoint
-folder in ``spark.checkpoint.dir``; we only fill that setting in when it is
-unset (local tests), and then with a fresh scratch folder.
+folder in ``spark.checkpoint.dir``; a scratch folder of our own is used only
+in local mode (tests), and a session on a cluster without a shared folder is
+refused.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -36,12 +38,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only
-    when the cluster has not named one (local runs and tests).
-
-    Materialized intermediates (the loan book, stream sources and sinks,
-    saved tree models) go to ``<checkpoint dir>/lendscope-scratch/``, one
-    fresh folder per use; it can be removed when the session ends."""
+    """The session's checkpoint folder.  In local mode a scratch folder is
+    made when none is named; on a cluster a missing shared folder is an
+    error, because a machine-local folder would lose rows there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -50,6 +49,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    master = sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="lendscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lendscope-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder
+    and read it back: a lost executor recomputes nothing upstream of it."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -46,11 +46,9 @@ def loan_book(spark: SparkSession, sf_dir: str, materialize: bool = False) -> Da
     book = _loan_book(spark, sf_dir)
     if not materialize:
         return book
-    import uuid
+    from ..session import scratch_path
 
-    from ..session import ensure_checkpoint_dir
-
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lendscope-scratch/loan-book-{uuid.uuid4().hex[:12]}"
+    root = scratch_path(spark, "loan-book")
     # A small orders table (fewer file splits than cores) gives a book in a
     # handful of partitions; spread it on write so per-row CPU work runs in
     # parallel.  Counting file splits runs no job.  Large inputs already
