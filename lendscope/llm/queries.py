@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import langid, line_dedup, mixing, neardup, ngram_join, packing, quality, topk, toxicity
+from . import langid, line_dedup, lm_scoring, mixing, neardup, ngram_join, packing, quality, topk, toxicity
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,13 @@ def op6_embedding_near_dedup(spark, sf_dir):
     """Links and components of embeddings of equal label with a cosine of
     0.93 or more."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]), 0.93)
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark, sf_dir):
+    """Cross-entropy difference of every document: documents labelled good
+    and not toxic as the target, all documents as the background."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    good = lm_scoring.good_ids(read_table(spark, sf_dir, "labels"))
+    count = lm_scoring.counts(docs.join(good, docs.doc_id == good["__good"], "left"), F.col("__good").isNotNull())
+    return lm_scoring.score(docs, count, carry=["doc_id"])
