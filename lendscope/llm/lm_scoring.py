@@ -125,9 +125,9 @@ def score(docs: DataFrame, count: np.ndarray, carry: list[str] | None = None) ->
         for lo, hi in tb.slices(views):
             word, before, pair, first = slots(views[lo:hi])
             n[lo:hi] = np.diff(first)
+            doc = np.repeat(np.arange(hi - lo), np.diff(first))
             for k in range(2):
-                run_sum = np.concatenate([[0.0], np.cumsum(losses(model[k], n_words[k], word, before, pair))])
-                ce[k, lo:hi] = run_sum[first[1:]] - run_sum[first[:-1]]
+                ce[k, lo:hi] = np.bincount(doc, losses(model[k], n_words[k], word, before, pair), hi - lo)
         none = n == 0
         mean = ce / np.maximum(n, 1)
         return [pa.array(n), *[pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]]

@@ -7,8 +7,8 @@ misspellings share most vectors with the words they are made from.  Runs of
 ``WINDOW`` words of a text are averaged to one vector each and a linear
 softmax over the two classes reads it; a document's log-odds are those of its
 most toxic run, so a long clean text doesn't hide a short passage.  Vectors
-and softmax weights are trained together (Adagrad, in numpy, on a bounded
-labelled sample): the loss of a document is that of its most toxic run.
+and softmax weights are trained together (in numpy, on a bounded labelled
+sample).
 
 As the softmax is linear, a run's log-odds are the mean of one number per
 n-gram: scoring needs a table of ``BUCKETS`` numbers and cumulative sums over
@@ -36,6 +36,8 @@ BUCKETS = 1 << 16
 SHORTEST, LONGEST = 3, 6
 WINDOW = 4
 DIM = 8
+TOP, CLEAN = 2, 6
+UNIT = float(1 << 32)
 
 _word_char = None
 
@@ -94,8 +96,9 @@ def ngrams(views):
 
 def log_odds(model: Model, views) -> np.ndarray:
     buckets, begin, end, first, n = ngrams(views)
-    padded = np.append(model.table, 0.0)
-    value, count = np.zeros(n + 1), np.zeros(n + 1)
+    # whole numbers, so that a text's sums don't depend on what stands before it
+    padded = np.append(np.rint(model.table * UNIT), 0).astype(np.int64)
+    value, count = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     for b in buckets:
         value[1:len(b) + 1] += padded[b]
         count[1:len(b) + 1] += b >= 0
@@ -112,15 +115,20 @@ def log_odds(model: Model, views) -> np.ndarray:
     hi = np.minimum(lo + WINDOW, first[1:][doc]) - 1
     a, z = begin[lo], end[hi]
     k = count[z] - count[a]
-    odds = np.where(k > 0, (value[z] - value[a]) / np.maximum(k, 1), 0.0) + model.bias
+    odds = np.where(k > 0, (value[z] - value[a]) / (UNIT * np.maximum(k, 1)), 0.0) + model.bias
     best = np.full(len(words), -np.inf)
     np.maximum.at(best, doc, odds)
     return np.where(np.isfinite(best), best, model.bias)
 
 
-def fit_rows(rows: list, steps: int = 40_000, rate: float = 0.3, seed: int = 5) -> Model:
-    """rows: (y, buckets, run sizes); joint Adagrad of vectors and softmax,
-    about ``steps`` documents seen, in 10 to 60 rounds over the rows."""
+def fit_rows(rows: list, steps: int = 30_000, rate: float = 20.0, seed: int = 5) -> Model:
+    """rows: (y, buckets, run sizes); vectors and softmax trained jointly by
+    gradient steps, about ``steps`` documents seen in 10 to 60 rounds.
+
+    A toxic document teaches by its ``TOP`` most toxic runs, a clean one by
+    its most toxic run and ``CLEAN`` runs chosen at random.  Plain steps for
+    the vectors (falling rate): n-grams that many toxic documents share move
+    further than those of one document."""
     ones = sum(r[0] for r in rows)
     if not 0 < ones < len(rows):
         share = min(max(ones / len(rows) if rows else 1e-6, 1e-6), 1 - 1e-6)
@@ -128,33 +136,32 @@ def fit_rows(rows: list, steps: int = 40_000, rate: float = 0.3, seed: int = 5)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     soft = rng.normal(0, 0.5, (2, DIM))
-    b, gb = np.zeros(2), np.full(2, 1e-2)
-    ge, gs = np.full((BUCKETS, DIM), 1e-6), np.full((2, DIM), 1e-2)
-    for _ in range(max(10, min(60, steps // len(rows)))):
+    b, gb, gs = np.zeros(2), np.full(2, 1e-2), np.full((2, DIM), 1e-2)
+    rounds = max(10, min(60, steps // len(rows)))
+    for e in range(rounds):
+        now = rate * (1 - e / rounds)
         for i in rng.permutation(len(rows)):
             y, ids, sizes = rows[i]
             if not len(ids):
                 continue
             cuts = np.cumsum(sizes) - sizes
-            # the most toxic run, found through one number per n-gram
             odds = np.add.reduceat(emb[ids] @ (soft[1] - soft[0]), cuts) / sizes
-            k = int(np.argmax(odds))
-            own = ids[cuts[k]:cuts[k] + sizes[k]]
-            x = emb[own].mean(axis=0)
-            z = soft @ x + b
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            g = p - np.array([1 - y, y])
-            dx = g @ soft / len(own)
-            ds = np.outer(g, x)
-            uniq, times = np.unique(own, return_counts=True)
-            de = times[:, None] * dx
-            ge[uniq] += de * de
-            emb[uniq] -= rate * 0.2 * de / np.sqrt(ge[uniq])
-            gs += ds * ds
-            soft -= rate * ds / np.sqrt(gs)
-            gb += g * g
-            b -= rate * 0.2 * g / np.sqrt(gb)
+            if y:
+                runs = np.argsort(-odds, kind="stable")[:TOP]
+            else:
+                runs = np.unique(np.append(rng.integers(0, len(sizes), CLEAN), np.argmax(odds)))
+            for k in runs:
+                own = ids[cuts[k]:cuts[k] + sizes[k]]
+                x = emb[own].mean(axis=0)
+                z = soft @ x + b
+                p = np.exp(z - z.max())
+                g = p / p.sum() - np.array([1 - y, y])
+                ds = np.outer(g, x)
+                emb[own] -= now * (g @ soft) / len(own)
+                gs += ds * ds
+                soft -= 0.3 * ds / np.sqrt(gs)
+                gb += g * g
+                b -= 0.06 * g / np.sqrt(gb)
     return Model(float(b[1] - b[0]), emb @ (soft[1] - soft[0]))
 
 
