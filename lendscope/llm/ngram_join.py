@@ -9,7 +9,7 @@ when 100 * |A and B| >= percent * |A or B|.
 the sizes.  With more than d fragments at least one fragment is equal on both
 sides, so each set emits one key per non-empty fragment: a hash of the
 fragment's shingles.  The number of fragments depends on the size class (steps
-of ``STEP``); a set near the border of a class emits the keys of both.  A set
+of ``STEP``, or 100 / percent if that is more); a set near the border of a class emits the keys of both.  A set
 with so many empty fragments that the rest wouldn't prove the link emits its
 empty fragments as well, so no link is lost.  A common passage alone doesn't
 make a key: the whole fragment must be equal.
@@ -66,17 +66,21 @@ def max_difference(a, b, percent: int):
     return a + b - 2 * least
 
 
+def most_difference(total, percent: int):
+    """The largest symmetric difference of linked sets whose sizes sum up to
+    ``total`` at most (it grows with the sum but for parity)."""
+    return np.maximum(max_difference(total, 0, percent), max_difference(total - 1, 0, percent))
+
+
 def _levels(percent: int):
     """(size limits, fragments): class k has sizes below limits[k]; pairs whose
     larger set is in class k are found with fragments[k] fragments."""
     limits, fragments, at = [], [], 1
     while at < 1 << 62:
-        nxt = max(at + 1, math.ceil(at * STEP))
+        nxt = max(at + 1, math.ceil(at * max(STEP, 100 / percent)))
         limits.append(nxt)
         big = nxt - 1
-        # the smaller set of a link may be as small as percent of the larger one
-        most = max_difference(big, big, percent)
-        fragments.append(int(max(most, big - -(-(percent * big) // 100))) + 1)
+        fragments.append(int(most_difference(2 * big, percent)) + 1)
         at = nxt
     return np.array(limits, dtype=np.int64), np.array(fragments, dtype=np.int64)
 
@@ -115,7 +119,7 @@ def keys_of_sets(tokens, offsets, percent: int):
         # too few non-empty fragments to prove a link: the empty ones too
         filled = np.bincount(owner, minlength=len(use))
         largest = np.minimum(limits[level] - 1, (n * 100) // percent)
-        need = np.maximum(max_difference(n, n, percent), max_difference(n, largest, percent))
+        need = most_difference(n + largest, percent)
         for i in np.flatnonzero((filled <= need) & (filled < k)):
             empty = np.setdiff1d(np.arange(k[i]), part[owner == i].astype(np.int64)).astype(U64)
             keys.append(tb.mix(tb.mix(empty * U64(0xA24BAED4963EE407) + U64((int(k[i]) * 0x9FB21C651E98DF25) & 0xFFFFFFFFFFFFFFFF)) + U64(7)))
