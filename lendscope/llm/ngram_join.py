@@ -336,26 +336,51 @@ def _may_link(percent: int):
 
 
 def _block_pairs(percent: int):
-    """A pair of blocks of a key's members: pairs of different components
-    that sizes and sketches allow."""
-    def run(table):
-        side = table["side"].to_numpy()
-        left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-        get = lambda t: (t["doc_id"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy().astype(np.int64),
-                         np.frombuffer(b"".join(t["sketch"].to_pylist()), U64).reshape(-1, SKETCH_WORDS))
-        ia, ca, na, sa = get(left)
-        ib, cb, nb, sb = get(right)
-        a, b = [], []
-        for i in range(len(ia)):
-            j = np.flatnonzero((cb != ca[i]) & (ib != ia[i]) & (np.minimum(nb, na[i]) * 100 >= percent * np.maximum(nb, na[i])))
-            if len(j):
-                j = j[np.bitwise_count(sb[j] ^ sa[i]).sum(axis=1) <= max_difference(na[i], nb[j], percent)]
-                a += [min(int(ia[i]), int(x)) for x in ib[j]]
-                b += [max(int(ia[i]), int(x)) for x in ib[j]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    """Sorted rows (key, i, j, side, doc_id, comp, n, sketch): of each pair of
+    blocks of a key's members, the pairs of different components that sizes
+    and sketches allow.  Holds one pair of blocks at a time."""
+    def pairs(ids, comp, n, sketch, left, right):
+        near = (comp[left][:, None] != comp[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
+        low, high = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+        x, y = np.nonzero(near & (low * 100 >= percent * high))
+        a, b = left[x], right[y]
+        keep = np.empty(len(a), dtype=bool)
+        for lo in range(0, len(a), 1 << 15):
+            p, q = a[lo:lo + (1 << 15)], b[lo:lo + (1 << 15)]
+            keep[lo:lo + (1 << 15)] = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1) <= max_difference(n[p], n[q], percent)
+        a, b = ids[a[keep]], ids[b[keep]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches):
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                own = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
+                own.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), U64).reshape(-1, SKETCH_WORDS))
+                held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+            if held is None or not len(held[0]):
+                continue
+            key, i, j = held[:3]
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+            last = len(cut) - 1 if batch is None else len(cut) - 2   # the last group may go on
+            out = []
+            for lo, hi in zip(cut[:last], cut[1:last + 1]):
+                side = held[3][lo:hi]
+                middle = int(np.searchsorted(side, 1))
+                out.append(pairs(*(x[lo:hi] for x in (held[4], held[5], held[6].astype(np.int64), held[7])),
+                                 np.arange(middle), np.arange(middle, hi - lo)))
+            held = [x[cut[last]:] for x in held]
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(rows, links' components): rows has doc_id and n_shingles of every row
     with a non-null doc_id; components (id, component) of linked ids."""
@@ -412,8 +437,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Data
     # block pairs (i, j), i <= j: a row is on the left of those with its block as i and on the right of those with it as j
     sides = F.expr("""concat(transform(sequence(block, blocks - 1), x -> struct(0 as side, block as i, x as j)),
                              transform(sequence(0, block), x -> struct(1 as side, x as i, block as j)))""")
-    pairs = (rows_.withColumn("s", F.explode(sides)).select("key", "s.side", "s.i", "s.j", "doc_id", "comp", "n", "sketch")
-             .groupBy("key", "i", "j").applyInArrow(_block_pairs(percent), "a long, b long").distinct())
+    pairs = (rows_.withColumn("s", F.explode(sides)).select("key", "s.i", "s.j", "s.side", "doc_id", "comp", "n", "sketch")
+             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+             .mapInArrow(_block_pairs(percent), "a long, b long").distinct())
     pairs = materialize(spark, pairs.join(star, ["a", "b"], "left_anti"), "ngram-rest")
     links = links.unionByName(verified(pairs, texts, words, percent))
     found = connected_components(links.unionByName(equal))
