@@ -25,6 +25,8 @@ equal scores.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,6 +58,22 @@ def slots(views):
     return word, before, pair, first
 
 
+def encode(x: np.ndarray) -> bytes:
+    """Counts as one byte each (255: see the list of larger ones), compressed."""
+    x = x.ravel()
+    large = np.flatnonzero(x >= 255)
+    head = np.array([len(large)], np.int64).tobytes()
+    return zlib.compress(head + large.astype(np.int64).tobytes() + x[large].tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes(), 1)
+
+
+def decode(blob: bytes) -> np.ndarray:
+    data = zlib.decompress(blob)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    x = np.frombuffer(data, np.uint8, offset=8 + 16 * n).astype(np.int64)
+    x[np.frombuffer(data, np.int64, n, 8)] = np.frombuffer(data, np.int64, n, 8 + 8 * n)
+    return x.reshape(2, _EACH)
+
+
 def _count(batches):
     """Per task: counts of the target (row 0) and of all documents (row 1)."""
     total = np.zeros((2, _EACH * PARTS), dtype=np.int64)
@@ -72,7 +90,7 @@ def _count(batches):
     if total.any():
         for p in range(PARTS):
             piece = total[:, p * _EACH:(p + 1) * _EACH]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([encode(piece)], pa.binary())], names=["part", "counts"])
 
 
 def _add(batches):
@@ -80,10 +98,10 @@ def _add(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for p, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = np.frombuffer(c.as_py(), np.int64)
-            sums[p] = sums[p] + x if p in sums else x.copy()
+            x = decode(c.as_py())
+            sums[p] = sums[p] + x if p in sums else x
     for p, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([encode(x)], pa.binary())], names=["part", "counts"])
 
 
 def counts(docs: DataFrame, target: Column) -> np.ndarray:
@@ -93,7 +111,7 @@ def counts(docs: DataFrame, target: Column) -> np.ndarray:
             .repartition(PARTS, "part").mapInArrow(_add, schema).collect())
     out = np.zeros((2, _EACH * PARTS), dtype=np.int64)
     for r in rows:
-        out[:, r["part"] * _EACH:(r["part"] + 1) * _EACH] = np.frombuffer(r["counts"], np.int64).reshape(2, _EACH)
+        out[:, r["part"] * _EACH:(r["part"] + 1) * _EACH] = decode(r["counts"])
     return out[:, :SIZE]
 
 

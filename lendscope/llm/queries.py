@@ -154,5 +154,7 @@ def op2_lm_scoring(spark, sf_dir):
     and not toxic as the target, all documents as the background."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     good = lm_scoring.good_ids(read_table(spark, sf_dir, "labels"))
-    count = lm_scoring.counts(docs.join(good, docs.doc_id == good["__good"], "left"), F.col("__good").isNotNull())
+    # a merge join at every size: the ids grow with the labels and are never broadcast
+    marked = docs.join(good.hint("merge"), docs.doc_id == good["__good"], "left")
+    count = lm_scoring.counts(marked, F.col("__good").isNotNull())
     return lm_scoring.score(docs, count, carry=["doc_id"])
