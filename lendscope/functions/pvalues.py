@@ -6,7 +6,10 @@
 * ``chi2_sf``: upper tail of chi-square with integer degrees of freedom in
   closed form: even k -> exp(-s) sum_{i<k/2} s^i/i!; odd k ->
   erfc(sqrt s) + exp(-s) sum_{i=1}^{(k-1)/2} s^(i-1/2)/Gamma(i+1/2),
-  s = x/2.  Terms are built by recursion inside ``aggregate``.
+  s = x/2.  Terms are built by recursion inside ``aggregate``.  Over
+  ``SERIES_DOF`` degrees of freedom the Wilson-Hilferty normal form is used
+  (the cube root of x/k is close to normal; error below 1e-5 there), and
+  within the series a tail with s > 700 is 0 (it is under 1e-100).
 
 Fixed values: the ten coefficients of the erfc formula, in order:
     -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
@@ -24,13 +27,6 @@ ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
                0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
 
-def _horner(t, coeffs, mul):
-    acc = coeffs[-1]
-    for c in reversed(coeffs[:-1]):
-        acc = mul(t, acc, c)
-    return acc
-
-
 def erfc(x: Column) -> Column:
     z = F.abs(x)
     t = F.lit(1.0) / (F.lit(1.0) + z * 0.5)
@@ -50,6 +46,9 @@ def sql_erfc(x: str) -> str:
             f"(SELECT xx, 1.0 / (1.0 + abs(xx) * 0.5) AS t FROM (SELECT CAST({x} AS DOUBLE) AS xx))))")
 
 
+SERIES_DOF = 400
+
+
 def normal_sf(z: Column) -> Column:
     """P(Z > z)."""
     return erfc(z / math.sqrt(2.0)) * 0.5
@@ -61,8 +60,10 @@ def sql_normal_sf(z: str) -> str:
 
 def chi2_sf(x: Column, k: Column) -> Column:
     """Upper tail of chi-square(x; k), k a positive integer column."""
-    s = x / 2.0
-    k = k.cast("int")
+    x, n = x.cast("double"), k.cast("double")
+    wide = normal_sf((F.cbrt(x / n) - (F.lit(1.0) - F.lit(2.0) / (n * 9.0))) / F.sqrt(F.lit(2.0) / (n * 9.0)))
+    s = F.least(x / 2.0, F.lit(700.0))
+    k = F.least(k, F.lit(SERIES_DOF)).cast("int")
     init = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("acc"))
     # even: 1 + sum_{i=1}^{k/2-1} s^i / i!
     m_even = F.floor(k / 2).cast("int") - 1
@@ -82,16 +83,18 @@ def chi2_sf(x: Column, k: Column) -> Column:
     odd_terms = F.when(m_odd >= 1, odd_sum["acc"]).otherwise(0.0)
     even_p = F.exp(-s) * even_terms
     odd_p = erfc(F.sqrt(s)) + F.exp(-s) * odd_terms
-    p = F.when(k % 2 == 0, even_p).otherwise(odd_p)
+    p = F.when(n > SERIES_DOF, wide).when(x > 1400, 0.0).when(k % 2 == 0, even_p).otherwise(odd_p)
     return F.when(x <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
 def sql_chi2_sf(x: str, k: str) -> str:
-    s = f"(({x}) / 2.0)"
-    kk = f"CAST({k} AS INTEGER)"
+    s = f"least(({x}) / 2.0, 700.0)"
+    kk = f"CAST(least({k}, {SERIES_DOF}) AS INTEGER)"
+    n = f"CAST({k} AS DOUBLE)"
+    wide = sql_normal_sf(f"(cbrt(({x}) / {n}) - (1.0 - 2.0 / ({n} * 9.0))) / sqrt(2.0 / ({n} * 9.0))")
     even = (f"exp(-{s}) * (1.0 + COALESCE(list_sum(list_transform(range(1, {kk} // 2), "
             f"lambda i: exp(i * ln({s}) - lgamma(i + 1)))), 0.0))")
     odd = (f"{sql_erfc(f'sqrt({s})')} + exp(-{s}) * COALESCE(list_sum(list_transform(range(1, ({kk} - 1) // 2 + 1), "
            f"lambda i: exp((i - 0.5) * ln({s}) - lgamma(i + 0.5)))), 0.0)")
     return (f"(CASE WHEN ({x}) <= 0 THEN 1.0 ELSE least(greatest("
-            f"CASE WHEN {kk} % 2 = 0 THEN {even} ELSE {odd} END, 0.0), 1.0) END)")
+            f"CASE WHEN {n} > {SERIES_DOF} THEN {wide} WHEN ({x}) > 1400 THEN 0.0 WHEN {kk} % 2 = 0 THEN {even} ELSE {odd} END, 0.0), 1.0) END)")

@@ -48,8 +48,10 @@ def ranking_metrics(roc: DataFrame, group_cols: list[str] | None = None) -> Data
     """G2-G6 (unrounded): auc, ks, ap per group."""
     g = group_cols or []
     P, N = F.col("P").cast("double"), F.col("N").cast("double")
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
     return roc.groupBy(*g).agg(
-        (F.sum(F.col("neg") * (F.col("tp") * 2 - F.col("pos"))) / (F.first(P) * F.first(N) * 2)).alias("auc"),
+        # whole numbers, exact and without overflow at any class size
+        (F.sum(whole("neg") * (whole("tp") * 2 - whole("pos"))).cast("double") / (F.first(P) * F.first(N) * 2)).alias("auc"),
         F.greatest(F.max(F.col("tpr") - F.col("fpr")), F.lit(0.0)).alias("ks"),
         F.sum(F.col("pos") / P * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"),
         F.first("P").alias("P"), F.first("N").alias("N"))

@@ -104,7 +104,7 @@ def chi_square(df: DataFrame, categorical_cols: list[str], target: str, alpha: f
     cells = cells.withColumn("k", c_classes).withColumn("dof", (F.col("r") - 1) * (F.col("k") - 1))
 
     def term(obs, col_total):
-        e = F.col("total") * F.col(col_total) / F.col("n")
+        e = F.col("total").cast("double") * F.col(col_total) / F.col("n")
         d = F.abs(F.col(obs) - e)
         d = F.when(F.col("dof") == 1, d - F.least(F.lit(0.5), d)).otherwise(d)
         return F.when(e > 0, d * d / e).otherwise(0.0)

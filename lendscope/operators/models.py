@@ -24,13 +24,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import or_direction
 from ..functions.numeric import np_round
 from ..functions.pvalues import chi2_sf
-from .ordered import prefix_sums
 
 Z975 = 1.959963984540054
 
@@ -48,31 +48,92 @@ def unit_hash(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
+RANK_BUCKETS = 4096
+
+
+def _bucket(h: Column) -> Column:
+    """The leading 12 of the 60 bits of ``hash_order``."""
+    return F.shiftright(h, 48).cast("int")
+
+
+def _bucket_counts(df: DataFrame, key: str, label: str, seed: int) -> dict:
+    """class -> rows in each bucket of the hash order (classes x 4,096 rows)."""
+    rows = (df.select(F.col(label).alias("y"), _bucket(hash_order(key, seed)).alias("b"))
+            .groupBy("y", "b").agg(F.count(F.lit(1)).alias("n")).collect())
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["y"], [0] * RANK_BUCKETS)[0 if r["b"] is None else r["b"]] += r["n"]
+    return out
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42,
-                     exact: bool = True, local_limit: int | None = None) -> DataFrame:
-    """add ``is_test``.  ``exact``: per class, rows ranked by the md5
-    order and the first round(test_size * n_c) go to test (class shares
-    kept exactly).  Otherwise a per-row hash threshold (no shuffle at all)."""
+                     exact: bool = True) -> DataFrame:
+    """add ``is_test``.  ``exact``: per class, the first
+    round(test_size * n_c) rows in md5 order go to test (class shares kept
+    exactly).  Otherwise a per-row hash threshold (no shuffle at all).
+
+    No row is sorted or moved: one aggregate counts the rows of each class in
+    4,096 ranges of the hash, the rows of the one range that holds a class's
+    cut are ranked, and the cut enters the plan as a literal."""
     if not exact:
         return df.withColumn("is_test", unit_hash(key, seed) < test_size)
-    ranked = df.select("*", hash_order(key, seed).alias("_h"), F.lit(1).cast("bigint").alias("_one"))
-    ranked = ranked.withColumn("_ord", F.struct("_h", key))
-    pre = prefix_sums(ranked, [label], "_ord", ["_one"], local_limit=local_limit)
-    n_test = F.bround(F.col("tot__one") * test_size, 0)
-    return pre.select(*[F.col(c) for c in df.columns], (F.col("cum__one") <= n_test).alias("is_test"))
-
-
-def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, label: str | None = None,
-          local_limit: int | None = None) -> DataFrame:
+    counts = _bucket_counts(df, key, label, seed)
+    y, h = F.col(label), hash_order(key, seed)
+    want, spot = {}, F.lit(False)
+    for c, n in counts.items():
+        left = int(round(sum(n) * test_size))   # half to even, as NumPy
+        at = 0
+        while at < RANK_BUCKETS and left > n[at]:
+            left -= n[at]
+            at += 1
+        want[c] = (at, left)
+        if left > 0:
+            spot = spot | (y.eqNullSafe(F.lit(c)) & (_bucket(h) == at))
+    order = Window.partitionBy("y").orderBy("h", "k")
+    last = (df.where(spot).select(y.alias("y"), h.alias("h"), F.col(key).alias("k"))
+            .withColumn("r", F.row_number().over(order)))
+    hit = F.lit(False)
+    for c, (_, left) in want.items():
+        hit = hit | (F.col("y").eqNullSafe(F.lit(c)) & (F.col("r") == left))
+    cut = {r["y"]: (r["h"], r["k"]) for r in last.where(hit).collect()}   # one row a class
+    test = F.lit(False)
+    for c, (at, left) in want.items():
+        inside = _bucket(h) < at
+        if c in cut:
+            th, tk = cut[c]
+            inside = inside | ((_bucket(h) == at) & ((h < th) | ((h == th) & (F.col(key) <= F.lit(tk)))))
+        test = test | (y.eqNullSafe(F.lit(c)) & inside)
+    return df.withColumn("is_test", F.coalesce(test, F.lit(False)))
+
+
+def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, label: str | None = None) -> DataFrame:
     """add ``fold`` (0..k-1).  With ``label``: stratified -- rows ranked
     within their class in md5 order and dealt round-robin, so every fold
-    holds the same class shares (to one row).  Without: the key's hash."""
+    holds the same class shares (to one row).  Without: the key's hash.
+
+    Ranks come from windows over 4,096 ranges of the hash of each class (a
+    class is never one task), shifted by the counts of the ranges before;
+    only (key, label) move, other columns are joined back by key."""
     if label is None:
         return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
-    ranked = df.select("*", hash_order(key, seed).alias("_h"), F.lit(1).cast("bigint").alias("_one"))
-    ranked = ranked.withColumn("_ord", F.struct("_h", key))
-    pre = prefix_sums(ranked, [label], "_ord", ["_one"], local_limit=local_limit)
-    return pre.select(*[F.col(c) for c in df.columns], ((F.col("cum__one") - 1) % k).cast("int").alias("fold"))
+    before = []
+    for c, n in _bucket_counts(df, key, label, seed).items():
+        total = 0
+        for b, m in enumerate(n):
+            if m:
+                before.append((b, total % k, c))
+            total += m
+    slim = df.select(F.col(key), F.col(label), hash_order(key, seed).alias("_h")).withColumn("_b", _bucket(F.col("_h")))
+    schema = T.StructType([T.StructField("_ob", T.IntegerType()), T.StructField("_before", T.IntegerType()),
+                           T.StructField("_oy", df.schema[label].dataType)])
+    start = df.sparkSession.createDataFrame(before, schema)
+    order = Window.partitionBy(label, "_b").orderBy("_h", key)
+    ranked = (slim.withColumn("_r", F.row_number().over(order))
+              .join(F.broadcast(start), (F.col("_b") == F.col("_ob")) & F.col(label).eqNullSafe(F.col("_oy"))))
+    ranked = ranked.withColumn("fold", ((F.col("_before") + F.col("_r") - 1) % k).cast("int"))
+    if set(df.columns) == {key, label}:
+        return ranked.select(*df.columns, "fold")
+    return df.join(ranked.select(F.col(key), "fold").dropDuplicates([key]), key, "left").select(*df.columns, "fold")
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -185,38 +246,26 @@ def predict_pd(df: DataFrame, fit: LogitFit, out: str = "pd") -> DataFrame:
     return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-fit.log_odds())))
 
 
-VIF_AGGREGATE_LIMIT = 60
-
-
 def _gram(data: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(X'X, column sums, n) in one distributed pass."""
+    """(X'X, column sums, n) in one distributed pass for any number of
+    columns: each row gives its products inside the stage, the partial
+    aggregate keyed by (i, j) keeps k^2 / 2 rows a task; the k x k result is
+    collected (k = number of model features)."""
     k = len(cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    if k <= VIF_AGGREGATE_LIMIT:
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x[c]).alias(f"s_{i}") for i, c in enumerate(cols)]
-        aggs += [F.sum(x[a] * x[b]).alias(f"g_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-        r = data.agg(*aggs).first()
-        g = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = r[f"g_{i}_{j}"]
-        return g, np.array([r[f"s_{i}"] for i in range(k)]), int(r["n"])
-    # many columns: a Gramian over assembled row vectors (tree-aggregated)
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    assembled = VectorAssembler(inputCols=cols, outputCol="_v").transform(data.select(*[x[c].alias(c) for c in cols]))
-    rows = assembled.select("_v").rdd.map(lambda r: r[0].toArray())
-    rm = RowMatrix(rows)
-    g = rm.computeGramianMatrix().toArray()
-    stats = rm.computeColumnSummaryStatistics()
-    return g, np.asarray(stats.mean()) * stats.count(), int(stats.count())
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols])
+    long = (data.select(x.alias("x")).select("x", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
+            .select("x", "i", F.explode(F.sequence(F.col("i"), F.lit(k))).alias("j")))
+    got = long.groupBy("i", "j").agg(F.sum(F.get("x", F.col("i")) * F.get("x", F.col("j"))).alias("s")).collect()
+    g = np.zeros((k + 1, k + 1))
+    for r in got:
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["s"]
+    return g[1:, 1:], g[0, 1:], int(g[0, 0])
 
 
 def vif(df: DataFrame, cols: list[str], centered: bool = False) -> DataFrame:
     """VIF of each column against the others, uncentered by default
     (no constant).  One distributed pass builds the k x k cross-product
-    matrix (aggregate expressions for up to 60 columns, a Gramian beyond);
-    it is inverted on the driver (k = number of model features)."""
+    matrix; it is inverted on the driver (k = number of model features)."""
     data = df.na.drop(subset=cols)
     g, s, n = _gram(data, cols)
     if centered:

@@ -95,16 +95,29 @@ def _bucket_key(df: DataFrame, order_col: str, ascending: bool):
     return F.when(v.isNull(), inf).when(F.isnan(v), -inf).otherwise(-v)   # nulls last, NaN first
 
 
-def _second_key(df: DataFrame, order_col: str, ascending: bool):
-    """Second field of a struct order as a non-decreasing double (or None)."""
+def _second_key(df: DataFrame, order_col: str):
+    """Second field of a struct order, in its own type (or None)."""
     dtype = df.schema[order_col].dataType
     if not hasattr(dtype, "fields") or len(dtype.fields) < 2:
         return None
-    v = F.col(order_col).getField(dtype.fields[1].name).cast("double")
-    inf = float("inf")
-    if ascending:
-        return F.when(v.isNull(), -inf).when(F.isnan(v), inf).otherwise(v)
-    return F.when(v.isNull(), inf).when(F.isnan(v), -inf).otherwise(-v)
+    return F.col(order_col).getField(dtype.fields[1].name)
+
+
+def _cuts(rows: DataFrame, key: str, n_rows: int, parts: int, ascending: bool):
+    """A column with the bucket (0..parts-1) of ``key`` among ``parts`` along
+    its own order, for a key of any orderable type: boundaries are quantiles
+    of a hash sample of about 200 values a bucket, so they depend on the data
+    only.  Nulls come first in ascending order, last otherwise."""
+    every = max(1, n_rows // (200 * parts))
+    sample = sorted(r[0] for r in rows.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(key).collect()
+                    if r[0] is not None and r[0] == r[0])   # about 200 x parts values
+    bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    if not bounds:
+        return None
+    arr = F.array(*[F.lit(b) for b in bounds])
+    above = F.size(F.filter(arr, lambda b: b <= F.col(key)))
+    v = F.when(F.col(key).isNull(), 0).otherwise(above)
+    return v if ascending else F.when(F.col(key).isNull(), len(bounds)).otherwise(F.lit(len(bounds)) - above)
 
 
 def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest):
@@ -125,7 +138,7 @@ def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest)
     # Tied first-field values holding more than a bucket's worth of rows (a
     # hot score) are isolated in their own first-level bucket and split again
     # along the struct's second field, so no tie group lands in one task.
-    second = _second_key(df, order_col, ascending)
+    second = _second_key(df, order_col)
     heavy = {}
     if second is not None:
         keyed = keyed.withColumn("_k2", second)
@@ -159,17 +172,10 @@ def _prefix_sums_ranged(df, group_cols, order_col, sum_cols, ascending, largest)
             val = F.lit(0)
         b_expr = F.when(cond, val) if b_expr is None else b_expr.when(cond, val)
         for j, (v, m) in enumerate(heavy.get(gkey, [])):
-            sub_bounds = keyed.where(cond & (F.col("_k") == v)).agg(
-                F.percentile_approx("_k2", [x / m for x in range(1, m)], max(10_000, 10 * m)).alias("b")).first()["b"]
-            sub_splits = sorted({float(b) for b in sub_bounds or [] if b is not None and math.isfinite(b)})
-            if sub_splits:
-                out = f"_bs{i}_{j}"
-                keyed = Bucketizer(splits=[float("-inf")] + sub_splits + [float("inf")], inputCol="_k2",
-                                   outputCol=out, handleInvalid="keep").transform(keyed)
-                tmp.append(out)
-                hit = cond & (F.col("_k") == v)
-                sub_expr = (F.when(hit, F.col(out).cast("int")) if sub_expr is None
-                            else sub_expr.when(hit, F.col(out).cast("int")))
+            hit = cond & (F.col("_k") == v)
+            cut = _cuts(keyed.where(hit), "_k2", m * ROWS_PER_RANGE, m, ascending)
+            if cut is not None:
+                sub_expr = F.when(hit, cut) if sub_expr is None else sub_expr.when(hit, cut)
     first_level = b_expr if b_expr is not None else F.lit(0)
     sub = sub_expr.otherwise(0) if sub_expr is not None else F.lit(0)
     bucketed = keyed.withColumn("_b", first_level * max_sub + sub).drop(*tmp, *(["_k2"] if second is not None else []))

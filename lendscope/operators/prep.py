@@ -18,10 +18,14 @@ def encode_target(df: DataFrame, target: str = "target", good_value=None) -> Dat
     Raw {1, 2}: 1 -> 0, 2 -> 1.  Raw {0, 1}: assumed 1 = good, so flipped
     (calling it twice undoes it).  ``good_value`` overrides the rule: that
     value becomes 0 and the other becomes 1.  Any other value set (including
-    a single class) raises.  The distinct-value probe reads at most three
-    values (a limit, so it stops early)."""
-    vals = {r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().limit(3).collect()}
+    a single class) raises.  The values are known from one aggregate: the
+    smallest, the largest, and how many rows have neither."""
     y = F.col(target)
+    low, high = F.min(y), F.max(y)
+    ends = df.agg(low.alias("lo"), high.alias("hi")).first()
+    vals = {v for v in (ends["lo"], ends["hi"]) if v is not None}
+    if df.agg(F.sum((~y.isin(*vals)).cast("bigint")).alias("n")).first()["n"] if vals else False:
+        raise ValueError(f"Unexpected target values: more than {sorted(vals)}.")
     if good_value is not None:
         if len(vals) != 2 or good_value not in vals:
             raise ValueError(f"Unexpected target values {vals} for good_value={good_value!r}.")
@@ -47,11 +51,6 @@ def decode(df: DataFrame, col: str, labels: dict, out: str | None = None) -> Dat
     return df.withColumn(out or f"{col}_label", F.try_element_at(m, F.col(col)))
 
 
-def drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
-    """B6."""
-    return df.na.drop(subset=cols)
-
-
 def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
     """A4: fill hidden applicant fields with fixed defaults."""
     return df.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)

@@ -45,6 +45,7 @@ except (ImportError, AttributeError, ValueError):  # pragma: no cover
     pass
 
 
+# LGD mean and standard deviation, number of simulations.
 LGD_MEAN, LGD_STD = 0.45, 0.10
 N_SIMULATIONS = 10_000
 
@@ -86,6 +87,7 @@ def lgd_sensitivity_scenarios(lgds=(0.25, 0.35, 0.45, 0.55, 0.65, 0.75), sd=LGD_
     return out
 
 
+# PD multipliers of the stress scenarios, PD thresholds of the credit policies.
 STRESS = [("Base Case", 1.0), ("Mild Stress", 1.25), ("Moderate", 1.50), ("Severe", 2.00), ("Extreme", 3.00)]
 POLICY_THRESHOLDS = (0.10, 0.20, 0.30, 0.40, 0.50)
 
@@ -211,7 +213,7 @@ def simulate_losses(df: DataFrame, key: str, pd_col: str, ead_col: str, scenario
     # partition; an explicit count is not coalesced by AQE (blocks are
     # CPU-heavy although their input is small).  The count only spreads the
     # work: draws are keyed by block, so results do not depend on it.
-    n_parts = max(1, min(n_blocks, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    n_parts = max(1, -(-n_blocks // 4))   # about four blocks a task, whatever the size of the book
     ordered = loans.repartitionByRange(n_parts, "block").sortWithinPartitions("block", "key")
     partial = ordered.mapInPandas(fn, "scenario string, sim_id long, partial double")
     return partial.groupBy("scenario", "sim_id").agg(F.sum("partial").alias("loss"))

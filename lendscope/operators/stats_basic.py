@@ -64,50 +64,46 @@ def class_means_diff(df: DataFrame, target: str, numeric_cols: list[str]) -> Dat
 
 
 def corr_pairs(df: DataFrame, cols: list[str], min_abs: float | None = None) -> DataFrame:
-    """Pearson r for every pair i < j in one aggregate; long output
-    (feature_a, feature_b, r).  With ``min_abs`` only |r| > min_abs."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    """Pearson r for every pair i < j over the rows where both are
+    not null; long output (feature_a, feature_b, r).  With ``min_abs`` only
+    |r| > min_abs.
+
+    One pass for any number of columns: each row gives its pairs inside the
+    stage and the partial aggregate keyed by pair keeps one row per pair and
+    task before the shuffle."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double")
-    if len(pairs) > MAX_PAIR_AGGREGATES:
-        return _corr_pairs_ml(df, cols, min_abs)
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', p{i}" for i, (a, b) in enumerate(pairs))
-    out = wide.selectExpr(f"stack({len(pairs)}, {stack}) as (feature_a, feature_b, r)")
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    others = F.expr(f"sequence(i + 1, {len(cols) - 1})")
+    long = (df.select(values.alias("x")).select("x", F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 2))).alias("i"))
+            .select("x", "i", F.explode(others).alias("j"))
+            .select("i", "j", F.get("x", F.col("i")).alias("a"), F.get("x", F.col("j")).alias("b")))
+    names = F.array(*[F.lit(c) for c in cols])
+    out = (long.groupBy("i", "j").agg(F.corr("a", "b").alias("r"))
+           .select(F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"), "r"))
     if min_abs is not None:
         out = out.where(F.abs("r") > min_abs)
     return out
 
 
-MAX_PAIR_AGGREGATES = 2_000
-
-
-def _corr_pairs_ml(df: DataFrame, cols: list[str], min_abs: float | None) -> DataFrame:
-    """Many columns: one distributed pass of Spark ML's ``Correlation`` over
-    an assembled vector (rows with a null in any column are skipped, as
-    ``Correlation`` requires); the k x k result is bounded by the columns."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    m = Correlation.corr(vec, "_v").first()[0].toArray()
-    rows = [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
-    rows = [r for r in rows if min_abs is None or abs(r[2]) > min_abs]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
-
-
 def describe(df: DataFrame, numeric_cols: list[str], local_limit: int | None = None) -> DataFrame:
     """(feature, count, mean, std, min, q25, q50, q75, max), 2 dp, exact
-    quartiles (linear interpolation)."""
-    long = unpivot_numeric(df, numeric_cols).where(F.col("value").isNotNull())
-    moments = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75], local_limit)
+    quartiles (linear interpolation).  The rows are read once: moments and
+    quartiles both come from the counts per distinct value."""
+    dist = (unpivot_numeric(df, numeric_cols).where(F.col("value").isNotNull())
+            .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows")))
+    dist = _persist(dist)
+    v, n = F.col("value"), F.col("rows")
+    first = dist.groupBy("feature").agg(F.sum("rows").alias("count"), (F.sum(v * n) / F.sum("rows")).alias("mean"),
+                                        F.min("value").alias("min"), F.max("value").alias("max"))
+    # squares around the mean (features x 1 rows, so the join is a broadcast)
+    dev = dist.join(F.broadcast(first.select("feature", "mean")), "feature").groupBy("feature").agg(
+        F.sum((v - F.col("mean")) * (v - F.col("mean")) * n).alias("ss"))
+    q = exact_quantiles(dist, ["feature"], "value", [0.25, 0.5, 0.75], local_limit, weight_col="rows")
     qw = q.groupBy("feature").pivot("q_idx", [0, 1, 2]).agg(F.first("q"))
-    j = moments.join(qw, "feature")
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("ss") / (F.col("count") - 1)))
+    j = first.join(dev, "feature").join(qw, "feature").withColumn("std", std)
     return j.select("feature", "count", *[np_round(c, 2).alias(c) for c in ["mean", "std", "min"]],
                     np_round(F.col("0"), 2).alias("q25"), np_round(F.col("1"), 2).alias("q50"),
                     np_round(F.col("2"), 2).alias("q75"), np_round("max", 2).alias("max"))
@@ -173,18 +169,21 @@ def histogram_by_class(df: DataFrame, col: str, target: str, bins: int = 20) ->
 
 def box_stats(df: DataFrame, numeric_cols: list[str], target: str, local_limit: int | None = None) -> DataFrame:
     """Per (feature, class): min, q1, median, q3, max, mean and
-    1.5-IQR whisker ends (most extreme data inside the fences)."""
-    long = unpivot_numeric(df, numeric_cols, ids=[target]).where(F.col("value").isNotNull())
-    q = exact_quantiles(long, ["feature", target], "value", [0.25, 0.5, 0.75], local_limit)
+    1.5-IQR whisker ends (most extreme data inside the fences).  The rows are
+    read once, into counts per distinct value."""
+    dist = (unpivot_numeric(df, numeric_cols, ids=[target]).where(F.col("value").isNotNull())
+            .groupBy("feature", target, "value").agg(F.count(F.lit(1)).alias("rows")))
+    dist = _persist(dist)
+    q = exact_quantiles(dist, ["feature", target], "value", [0.25, 0.5, 0.75], local_limit, weight_col="rows")
     qw = q.groupBy("feature", target).pivot("q_idx", [0, 1, 2]).agg(F.first("q")).select(
         "feature", target, F.col("0").alias("q1"), F.col("1").alias("median"), F.col("2").alias("q3"))
     # fences per (feature, class): features x classes rows -> broadcast
     fences = qw.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lf"),
                        (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_uf"))
-    j = long.join(F.broadcast(fences), ["feature", target])
-    v = F.col("value")
+    j = dist.join(F.broadcast(fences), ["feature", target])
+    v, n = F.col("value"), F.col("rows")
     agg = j.groupBy("feature", target, "q1", "median", "q3").agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.count(v).alias("n"),
+        F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.sum(n).alias("n"),
         F.min(F.when(v >= F.col("_lf"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("_uf"), v)).alias("whisker_hi"))
     return agg.select("feature", F.col(target).alias("target"), "n", "min", "q1", "median", "q3", "max",

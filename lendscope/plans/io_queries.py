@@ -64,6 +64,6 @@ def score_stream_q(spark, sf_dir):
     src, out, ck = scratch_dir(spark, "applicants"), scratch_dir(spark, "scored"), scratch_dir(spark, "stream-ckpt")
     applicants = book.select(*cols)
     applicants.write.mode("overwrite").parquet(src)
-    q = score_stream(spark, src, applicants.schema, model, ["loan_id", "target"], out, ck, max_files_per_trigger=4)
+    q = score_stream(spark, src, applicants.schema, model, ["loan_id", "target"], out, ck)
     run_to_completion(q)
     return read_scored(spark, out)

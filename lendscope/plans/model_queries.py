@@ -72,7 +72,7 @@ def vif_q(spark, sf_dir):
 def box_tidwell_q(spark, sf_dir):
     """F7 on the raw numeric features."""
     book = loan_book(spark, sf_dir, materialize=True)
-    return md.box_tidwell(book, ["credit_amount", "n_lines", "total_qty"], "target")
+    return md.box_tidwell(book, NUM, "target")
 
 
 @query("logit_test_metrics")
