@@ -15,11 +15,6 @@ def np_round(c, digits: int) -> Column:
     return F.bround(c * s, 0) / s
 
 
-def sql_round(x: str, digits: int) -> str:
-    s = repr(float(10 ** digits))
-    return f"(round_even(({x}) * {s}, 0) / {s})"
-
-
 def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
     """Clip to [lo, hi] (None = open)."""
     if lo is not None:

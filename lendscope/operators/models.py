@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import or_direction
+from ..functions.labels import mcfadden_grade, or_direction
 from ..functions.numeric import np_round
 from ..functions.pvalues import chi2_sf
 
@@ -216,12 +216,18 @@ def fit_logit(df: DataFrame, features: list[str], label: str, max_iter: int = 10
     return fit
 
 
+def term_label(term: Column) -> Column:
+    """A readable term: without ``_woe``, blanks for underscores, each
+    word with a capital."""
+    return F.initcap(F.replace(F.replace(term, F.lit("_woe"), F.lit("")), F.lit("_"), F.lit(" ")))
+
+
 def coefficient_table(spark, fit: LogitFit, alpha: float = 0.05) -> DataFrame:
-    """(term, beta, se, z, p_value, ci_lower, ci_upper, odds_ratio,
+    """(term, label, beta, se, z, p_value, ci_lower, ci_upper, odds_ratio,
     or_ci_lower, or_ci_upper, significant, direction), sorted by p."""
     df = spark.createDataFrame(fit.coefficient_rows(), "term string, beta double, se double, z double, p_value double")
     lo, hi = F.col("beta") - Z975 * F.col("se"), F.col("beta") + Z975 * F.col("se")
-    return df.select("term", np_round("beta", 4).alias("beta"), np_round("se", 4).alias("se"),
+    return df.select("term", term_label(F.col("term")).alias("label"), np_round("beta", 4).alias("beta"), np_round("se", 4).alias("se"),
                      np_round("z", 4).alias("z"), np_round("p_value", 4).alias("p_value"),
                      np_round(lo, 4).alias("ci_lower"), np_round(hi, 4).alias("ci_upper"),
                      np_round(F.exp("beta"), 4).alias("odds_ratio"), np_round(F.exp(lo), 4).alias("or_ci_lower"),
@@ -230,7 +236,7 @@ def coefficient_table(spark, fit: LogitFit, alpha: float = 0.05) -> DataFrame:
 
 
 def fit_statistics(spark, fit: LogitFit) -> DataFrame:
-    """llf, llnull, McFadden R2, AIC, BIC, LLR and its p-value."""
+    """llf, llnull, McFadden R2 and its grade, AIC, BIC, LLR and its p-value."""
     k = len(fit.features) + 1
     llf, lln = -fit.deviance / 2.0, -fit.null_deviance / 2.0
     llr = fit.null_deviance - fit.deviance
@@ -238,7 +244,8 @@ def fit_statistics(spark, fit: LogitFit) -> DataFrame:
             fit.deviance + k * math.log(fit.n), llr, k - 1)]
     df = spark.createDataFrame(row, "n bigint, k bigint, llf double, llnull double, mcfadden_r2 double, "
                                     "aic double, bic double, llr double, llr_dof bigint")
-    return df.select("*", chi2_sf(F.col("llr"), F.col("llr_dof")).alias("llr_p_value"))
+    return df.select("*", chi2_sf(F.col("llr"), F.col("llr_dof")).alias("llr_p_value"),
+                     mcfadden_grade(F.col("mcfadden_r2")).alias("grade"))
 
 
 def predict_pd(df: DataFrame, fit: LogitFit, out: str = "pd") -> DataFrame:

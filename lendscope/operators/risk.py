@@ -116,6 +116,24 @@ def expected_loss(df: DataFrame, key: str, pd_col: str, ead_col: str, lgd: float
                      (F.col(pd_col) * lgd * F.col(ead_col)).alias("EL"))
 
 
+def scenario_moments(df: DataFrame, pd_col: str, ead_col: str, scenarios: list[tuple]) -> DataFrame:
+    """I8-I10, I12 in closed form: (scenario, mult, pd_max, l1, n_loans, ead,
+    mean_pd, el, std) for scenarios (name, PD multiplier, largest PD approved,
+    mean and second moment of LGD).
+
+    Defaults and LGD are independent across loans, so the loss has the mean
+    sum p m ead and the variance sum ead^2 (p m2 - (p m)^2).  One pass: the
+    scenarios expand inside the stage and are summed before the shuffle."""
+    s = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(m).alias("mult"), F.lit(t).alias("pd_max"),
+                           F.lit(l1).alias("l1"), F.lit(l2).alias("l2")) for n, m, t, l1, l2 in scenarios])
+    rows = df.select(F.col(pd_col).alias("pd"), F.col(ead_col).cast("double").alias("ead"), F.explode(s).alias("s")).select("pd", "ead", "s.*")
+    p, e = F.least(F.col("pd") * F.col("mult"), F.lit(1.0)), F.col("ead")
+    m1 = p * F.col("l1")
+    return rows.where("pd <= pd_max").groupBy("scenario", "mult", "pd_max", "l1").agg(
+        F.count(F.lit(1)).alias("n_loans"), F.sum(e).alias("ead"), F.avg(p).alias("mean_pd"), F.sum(m1 * e).alias("el"),
+        F.sqrt(F.sum(e * e * (p * F.col("l2") - m1 * m1))).alias("std"))
+
+
 def portfolio_summary(port: DataFrame) -> DataFrame:
     """I2."""
     return port.agg(F.count(F.lit(1)).alias("n_loans"), F.sum("EAD").alias("total_exposure"),
@@ -254,15 +272,6 @@ def tail_losses(losses: DataFrame, metrics: DataFrame, group_cols: list[str] | N
         .select(*g, "sim_id", "loss")
 
 
-def risk_summary_record(total_exposure: float, metrics_row) -> list[tuple[str, float]]:
-    """The 8 named values (key, value)."""
-    el = metrics_row["el"]
-    return [("total_exposure", float(total_exposure)), ("expected_loss", float(el)),
-            ("el_pct", float(el / total_exposure)), ("var_95", float(metrics_row["var_95"])),
-            ("var_99", float(metrics_row["var_99"])), ("cvar_99", float(metrics_row["cvar_99"])),
-            ("economic_capital_99", float(metrics_row["ec_99"])), ("n_simulations", float(metrics_row["n_sims"]))]
-
-
 def risk_summary(port: DataFrame, metrics: DataFrame, scenario: str = "base") -> DataFrame:
     """I12 as a DataFrame (metric, value): one aggregate row unpivoted."""
     tot = port.agg(F.sum("EAD").alias("total_exposure"))

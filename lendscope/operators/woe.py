@@ -39,12 +39,23 @@ class WoeModel:
     numeric_cols: list[str]
     categorical_cols: list[str]
     _lookup: dict | None = None
-
-    # -- small driver-side view of the fitted table (features x bins rows)
+    _levels: dict | None = None
+
+    def levels(self) -> dict[str, int]:
+        """Rows of the fitted table per feature (features rows collected)."""
+        if self._levels is None:
+            self._levels = {r["feature"]: r["n"] for r in
+                            self.table.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return self._levels
+
+    # -- small driver-side view of the fitted table: numeric bins and the
+    # categorical features of at most MAP_LITERAL_LIMIT levels; wider ones
+    # are joined and never collected
     def lookup(self) -> dict[str, dict]:
         if self._lookup is None:
             look: dict[str, dict] = {}
-            for r in self.table.select("feature", "bin_id", "category", "woe").collect():
+            small = [f for f in self.levels() if not self.needs_join(f)]
+            for r in self.table.where(F.col("feature").isin(small)).select("feature", "bin_id", "category", "woe").collect():
                 key = r["bin_id"] if r["feature"] in self.numeric_cols else r["category"]
                 look.setdefault(r["feature"], {})[key] = float(r["woe"])
             self._lookup = look
@@ -57,12 +68,11 @@ class WoeModel:
         return int(r["_te"]), int(r["_tnn"])
 
     def needs_join(self, feature: str) -> bool:
-        return feature in self.categorical_cols and len(self.lookup().get(feature, {})) > MAP_LITERAL_LIMIT
+        return feature in self.categorical_cols and self.levels().get(feature, 0) > MAP_LITERAL_LIMIT
 
     @property
     def features(self) -> list[str]:
-        look = self.lookup()
-        return [f for f in self.numeric_cols + self.categorical_cols if f in look]
+        return [f for f in self.numeric_cols + self.categorical_cols if f in self.levels()]
 
     def woe_column(self, feature: str, new_data: bool = False) -> Column:
         """WoE of one feature as a column expression.
@@ -83,7 +93,7 @@ class WoeModel:
             if expr is None:
                 return F.lit(0.0 if new_data else None).cast("double")
             return expr.otherwise(F.lit(0.0 if new_data else None)).cast("double")
-        if len(look) > MAP_LITERAL_LIMIT:
+        if self.needs_join(feature):
             raise ValueError("too many levels for a literal map; encode() joins instead")
         m = F.create_map(*[v for k, w in look.items() for v in (F.lit(k), F.lit(w))])
         val = F.try_element_at(m, x.cast("string"))

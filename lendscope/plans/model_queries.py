@@ -28,7 +28,7 @@ def stratified_split_q(spark, sf_dir):
 
 def _woe_split(spark, sf_dir):
     """WoE on all rows (as the reference does), selected features, split."""
-    book = loan_book(spark, sf_dir)
+    book = loan_book(spark, sf_dir, materialize=True)
     m = woe.fit_woe(book, "target", NUM, CAT)
     feats = woe.selected_features(woe.iv_summary(m), 0.02)
     enc = woe.encode(book, m, feats, keep=["loan_id", "target", "pd", "credit_amount"])
@@ -36,6 +36,20 @@ def _woe_split(spark, sf_dir):
     return split, [f + "_woe" for f in feats]
 
 
+def _raw_split(spark, sf_dir):
+    """The same split of the rows with raw features, as the tree models use
+    them: numerics as they are, categoricals as codes in alphabetical order
+    (levels not seen in training share one further code)."""
+    from pyspark.ml.feature import StringIndexer
+
+    split = md.stratified_split(loan_book(spark, sf_dir, materialize=True), "loan_id", "target", 0.2, SEED)
+    codes = [f"{c}_code" for c in CAT]
+    index = StringIndexer(inputCols=CAT, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc")
+    coded = index.fit(split.where(~F.col("is_test"))).transform(split)
+    raw = coded.select("loan_id", "target", "is_test", *NUM, *[F.col(c).alias(c, metadata={}) for c in codes])
+    return raw, NUM + codes
+
+
 @query("kfold_balance", with_loan_book(f"""
 , h AS (SELECT loan_id, target, ('0x' || substr(md5('{SEED}-' || CAST(loan_id AS VARCHAR)), 1, 15))::BIGINT AS hh FROM loan_book)
 , r AS (SELECT target, CAST((row_number() OVER (PARTITION BY target ORDER BY hh, loan_id) - 1) % 5 AS INTEGER) AS fold FROM h)
@@ -85,7 +99,7 @@ def logit_test_metrics_q(spark, sf_dir):
 
 
 def _tree_metrics(spark, sf_dir, kind):
-    split, cols = _woe_split(spark, sf_dir)
+    split, cols = _raw_split(spark, sf_dir)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     model = md.fit_forest(train, cols, "target") if kind == "forest" else md.fit_boosted(train, cols, "target")
     scored = md.positive_prob(model, test, cols, "p").withColumn("model", F.lit(kind))
@@ -107,9 +121,9 @@ def boosted_pd_q(spark, sf_dir):
 @query("cv_search")
 def cv_search_q(spark, sf_dir):
     """seeded random search over the forest space, 5-fold CV AUC.
-    Three trials keep the registered check short; the operator takes any
-    number."""
-    split, cols = _woe_split(spark, sf_dir)
+    ``n_trials`` is a parameter of the search (the reference's setting is
+    50); this query draws 3."""
+    split, cols = _raw_split(spark, sf_dir)
     _, results = md.cv_search(split.where(~F.col("is_test")), cols, "target", "loan_id", n_trials=3, k=5, parallelism=8)
     rows = [(str(sorted(p.items())), float(a)) for p, a in results]
     return spark.createDataFrame(rows, "params string, cv_auc double").orderBy(F.desc("cv_auc"))
@@ -135,29 +149,29 @@ def _boosted_explanations(spark, sf_dir):
     from ..operators import attribution as A
     from ..session import ensure_checkpoint_dir
 
-    split, cols = _woe_split(spark, sf_dir)
+    split, cols = _raw_split(spark, sf_dir)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     model = md.fit_boosted(train, cols, "target")
     ens = A.ensemble_from_model(model, ensure_checkpoint_dir(spark))
-    return A, ens, A.explain(test, ens, cols, "loan_id"), test, model, cols
+    return A, ens, test, model, cols
 
 
 @query("tree_attribution")
 def tree_attribution_q(spark, sf_dir):
     """TreeSHAP of the boosted model on the hold-out rows; mean |SHAP|
     per feature (log-odds units)."""
-    A, _, expl, _, _, _ = _boosted_explanations(spark, sf_dir)
-    return A.global_importance(expl)
+    A, ens, test, _, cols = _boosted_explanations(spark, sf_dir)
+    return A.global_importance(A.explain(test, ens, cols, "loan_id"))
 
 
 @query("risk_row_explanation")
 def risk_row_explanation_q(spark, sf_dir):
     """the hold-out applicant with the highest boosted PD and the
     signed SHAP value of each feature."""
-    A, ens, expl, test, model, cols = _boosted_explanations(spark, sf_dir)
+    A, ens, test, model, cols = _boosted_explanations(spark, sf_dir)
     scored = md.positive_prob(model, test, cols, "p")
-    top = md.highest_risk(scored.select("loan_id", "p"), "p", "loan_id")
-    return expl.join(top, "loan_id").select("loan_id", "p", "feature", "value", "shap",
+    top = md.highest_risk(scored.select("loan_id", "p", *cols), "p", "loan_id")   # one row, explained alone
+    return A.explain(top, ens, cols, "loan_id").join(top.select("loan_id", "p"), "loan_id").select("loan_id", "p", "feature", "value", "shap",
                                             F.lit(ens.expected_value()).alias("expected_value"))
 
 
@@ -170,9 +184,11 @@ def fitted_model_comparison_q(spark, sf_dir):
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     logit = md.fit_logit(train, cols, "target")
     parts = [md.predict_pd(test, logit, "p").select("loan_id", "target", "p", F.lit("logistic").alias("model"))]
-    for name, model in (("random_forest", md.fit_forest(train, cols, "target")),
-                        ("boosted_trees", md.fit_boosted(train, cols, "target"))):
-        parts.append(md.positive_prob(model, test, cols, "p").select("loan_id", "target", "p",
+    raw, raw_cols = _raw_split(spark, sf_dir)
+    raw_train, raw_test = raw.where(~F.col("is_test")), raw.where(F.col("is_test"))
+    for name, model in (("random_forest", md.fit_forest(raw_train, raw_cols, "target")),
+                        ("boosted_trees", md.fit_boosted(raw_train, raw_cols, "target"))):
+        parts.append(md.positive_prob(model, raw_test, raw_cols, "p").select("loan_id", "target", "p",
                                                                    F.lit(name).alias("model")))
     stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return ev.model_comparison(ev.all_metrics(stacked, "p", "target", 0.5, ["model"]))

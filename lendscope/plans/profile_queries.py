@@ -71,7 +71,7 @@ SELECT feature, CAST(COUNT(x) AS BIGINT) AS count, ROUNDX(AVG(x), 2) AS mean, RO
 FROM ({numeric_long()}) t GROUP BY feature"""))
 def describe_q(spark, sf_dir):
     """Count, mean, std, min, exact quartiles and max per numeric feature."""
-    return sb.describe(loan_book(spark, sf_dir, materialize=True), NUM)
+    return sb.describe(loan_book(spark, sf_dir), NUM)
 
 
 @query("iqr_outliers", with_loan_book(f"""
@@ -83,7 +83,7 @@ SELECT b.feature, b.q1, b.q3, ROUNDX(b.lo, 2) AS lower_bound, ROUNDX(b.hi, 2) AS
 FROM ({numeric_long()}) t JOIN b ON t.feature = b.feature GROUP BY b.feature, b.q1, b.q3, b.lo, b.hi"""))
 def iqr_outliers_q(spark, sf_dir):
     """Quartiles, 1.5 IQR fences and outlier counts per numeric feature."""
-    return sb.iqr_outliers(loan_book(spark, sf_dir, materialize=True), NUM)
+    return sb.iqr_outliers(loan_book(spark, sf_dir), NUM)
 
 
 def _hist_sql(col: str, bins: int) -> str:
@@ -120,5 +120,5 @@ FROM t JOIN qq ON t.feature = qq.feature AND t.target = qq.target
 GROUP BY qq.feature, qq.target, qq.q1, qq.median, qq.q3"""))
 def box_stats_q(spark, sf_dir):
     """Five-number summary, mean and whiskers per numeric feature and class."""
-    out = sb.box_stats(loan_book(spark, sf_dir, materialize=True), NUM, "target")
+    out = sb.box_stats(loan_book(spark, sf_dir), NUM, "target")
     return out.withColumn("mean", np_round("mean", 6))

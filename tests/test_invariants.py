@@ -112,15 +112,48 @@ def test_loan_book_scans_are_pruned(spark):
     assert "o_orderdate" not in plan and "l_extendedprice" not in plan
 
 
-def test_wide_correlation_branch_agrees(book, monkeypatch):
+def test_correlation_with_nulls_in_65_columns(spark):
+    """Each pair uses the rows where both are there, at any number of columns."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 65))
+    x[:, 1] += x[:, 0]
+    x[rng.random(x.shape) < 0.03] = np.nan
+    cols = [f"c{i}" for i in range(65)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{c} double" for c in cols))
     from lendscope.operators import stats_basic as sb
-    cols = ["credit_amount", "acct_balance", "n_lines", "total_qty", "target"]
-    a = {(r[0], r[1]): r[2] for r in sb.corr_pairs(book, cols).collect()}
-    monkeypatch.setattr(sb, "MAX_PAIR_AGGREGATES", 1)
-    b = {(r[0], r[1]): r[2] for r in sb.corr_pairs(book, cols).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k] == pytest.approx(b[k], abs=1e-9)
+    got = {(r[0], r[1]): r[2] for r in sb.corr_pairs(df, cols).collect()}
+    assert len(got) == 65 * 64 // 2
+    for i, j in [(0, 1), (0, 64), (3, 40), (63, 64)]:
+        ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got[(cols[i], cols[j])] == pytest.approx(np.corrcoef(x[ok, i], x[ok, j])[0, 1], abs=1e-9)
+
+
+def test_auc_of_classes_of_four_billion(spark):
+    from lendscope.operators import evaluation as ev
+
+    big = 4_000_000_000
+    roc = spark.createDataFrame([(0.9, big // 2, 0, big // 2, 0, big, big, 0.0, 0.5), (0.5, big // 2, big // 2, big, big // 2, big, big, 0.5, 1.0),
+                                 (0.1, 0, big // 2, big, big, big, big, 1.0, 1.0)],
+                                "threshold double, pos long, neg long, tp long, fp long, P long, N long, fpr double, tpr double")
+    assert ev.ranking_metrics(roc).first()["auc"] == pytest.approx(0.875, abs=1e-12)
+
+
+def test_chi_square_of_four_billion_rows_and_its_tail(spark):
+    from pyspark.sql import functions as F
+
+    from lendscope.functions.pvalues import chi2_sf, sql_chi2_sf
+    # upper tails of chi-square: (x, dof, value), values from published tables and the Poisson sum
+    known = [(3.841458820694124, 1, 0.05), (18.307038053275146, 10, 0.05), (124.34211340400407, 100, 0.05),
+             (553.1268089, 500, 0.05), (499.3333779, 500, 0.5), (1999.333, 2000, 0.5), (2105.15, 2000, 0.05), (100736.0, 100000, 0.05), (3000.0, 2000, 0.0),
+             (5000.0, 300, 0.0), (100.0, 2000, 1.0)]
+    df = spark.createDataFrame([(float(x), k, p) for x, k, p in known], "x double, k int, p double")
+    for r in df.select("p", chi2_sf(F.col("x"), F.col("k")).alias("q"), "x", "k").collect():
+        assert r["q"] == pytest.approx(r["p"], abs=2e-4), r
+    import duckdb
+    for x, k, p in known:
+        assert duckdb.execute(f"SELECT {sql_chi2_sf(repr(float(x)), repr(k))}").fetchall()[0][0] == pytest.approx(p, abs=2e-4)
 
 
 def test_woe_and_metrics_independent_of_partitioning(book):

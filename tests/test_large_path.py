@@ -36,3 +36,16 @@ def test_hot_tie_group_is_split(spark, monkeypatch):
     res = ordered.prefix_sums(df, [], "o", ["one"], local_limit=0)
     got = {r["k"]: r["cum_one"] for r in res.collect()}
     assert got == want
+
+
+def test_hot_tie_group_with_string_keys(spark, monkeypatch):
+    """Ties of any key type are split: text keys that don't cast to numbers."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"LOAN-{i:07d}", 0.5 if i % 10 else float(i % 7) / 10, 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, s double, one long").select(
+        "k", "one", F.struct((-F.col("s")).alias("a"), F.col("k").alias("b")).alias("o"))
+    want = {r["k"]: r["cum_one"] for r in ordered.prefix_sums(df, [], "o", ["one"]).collect()}
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 200)
+    got = {r["k"]: r["cum_one"] for r in ordered.prefix_sums(df, [], "o", ["one"], local_limit=0).collect()}
+    assert got == want
