@@ -108,7 +108,7 @@ def counts(docs: DataFrame, target: Column) -> np.ndarray:
     """2 x SIZE counts: marked documents, all documents."""
     schema = "part int, counts binary"
     rows = (docs.select(F.col("text").cast("string"), F.coalesce(target, F.lit(False)).alias("t")).mapInArrow(_count, schema)
-            .repartition(PARTS, "part").mapInArrow(_add, schema).collect())
+            .repartitionById(PARTS, "part").mapInArrow(_add, schema).collect())
     out = np.zeros((2, _EACH * PARTS), dtype=np.int64)
     for r in rows:
         out[:, r["part"] * _EACH:(r["part"] + 1) * _EACH] = decode(r["counts"])

@@ -388,7 +388,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Data
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     total = src.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = max(1, int(total * 0.07 / KEYS_PER_TASK) + 1)
-    made = (src.mapInArrow(_map_task(words, percent, parts), _MAP).repartition(parts, "part")
+    made = (src.mapInArrow(_map_task(words, percent, parts), _MAP).repartitionById(parts, "part")
             .mapInArrow(_reduce_task(), _MAP))
     made = materialize(spark, made, "ngram-keys")
     rows = made.where("kind = 'd'").select("doc_id", F.col("n").alias("n_shingles"), "fp1", "fp2", "sketch")
