@@ -65,6 +65,9 @@ def main():
         QUERIES["mc_risk_metrics"](spark, small).write.format("noop").mode("overwrite").save()
         out["mc_reference_scale_sec"] = round(time.time() - t0, 3)
         out["mc_reference_scale_loans"] = spark.read.parquet(f"{small}/orders.parquet").count()
+    from lendscope.sources.loan_book import release_books
+
+    release_books(spark)
     print(json.dumps(out))
     spark.stop()
 

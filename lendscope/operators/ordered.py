@@ -45,13 +45,26 @@ class CacheScope:
         return False
 
 
+_LOOSE: list = []
+
+
 def _persist(df: DataFrame) -> DataFrame:
+    """Cache an intermediate table: until the enclosing scope ends or, for an
+    operator that returns a lazy result, until ``release_cached``."""
     df = df.persist()
-    if _SCOPES:
-        _SCOPES[-1].frames.append(df)
+    (_SCOPES[-1].frames if _SCOPES else _LOOSE).append(df)
     return df
 
 
+def release_cached() -> None:
+    """Unpersist what earlier operators of this process left cached for their
+    lazy results (a result that is still used is computed again)."""
+    while _LOOSE:
+        frame = _LOOSE.pop()
+        if frame.sparkSession.sparkContext._jsc is not None:
+            frame.unpersist()
+
+
 def _order_col(name: str, ascending: bool):
     return F.col(name).asc_nulls_first() if ascending else F.col(name).desc_nulls_last()
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
 from .binning import with_equal_width_bins
-from .ordered import exact_quantiles, prefix_sums
+from .ordered import _persist, exact_quantiles, prefix_sums
 
 # Functions of this module run inside Python workers (mapInPandas); ship them
 # by value so executors need only NumPy/pandas, not this package.
@@ -242,7 +242,7 @@ def risk_metrics(losses: DataFrame, group_cols: list[str] | None = None,
     """EL (mean), population std, VaR95/99 (linear percentile), CVaR95/99
     (mean of losses >= VaR), EC95/99 = VaR - EL."""
     g = group_cols or ["scenario"]
-    losses = losses.persist()   # used twice below; the simulation runs once
+    losses = _persist(losses)   # used twice below; the simulation runs once
     q = exact_quantiles(losses, g, "loss", [0.95, 0.99], local_limit)
     qw = q.groupBy(*g).pivot("q_idx", [0, 1]).agg(F.first("q")).select(
         *g, F.col("0").alias("var_95"), F.col("1").alias("var_99"))

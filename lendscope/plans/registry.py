@@ -8,10 +8,13 @@ engine can reproduce exactly.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ordered import release_cached
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -45,8 +48,13 @@ def expand_round(sql: str) -> str:
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            release_cached()   # a query keeps no more than its own tables in memory
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = expand_round(sql)
-        return fn
+        return run
     return deco

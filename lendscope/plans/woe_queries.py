@@ -27,7 +27,7 @@ SPLIT_SQL = f"""
 
 def holdout(book):
     """(train, new): the exact stratified 80/20 split of the book."""
-    s = stratified_split(book, "loan_id", "target", 0.2, SPLIT_SEED).persist()
+    s = stratified_split(book, "loan_id", "target", 0.2, SPLIT_SEED)
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
