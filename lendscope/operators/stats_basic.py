@@ -167,6 +167,27 @@ def histogram_by_class(df: DataFrame, col: str, target: str, bins: int = 20) ->
                       (F.col("n") / (F.col("n_class") * (hi - lo))).alias("density"))
 
 
+def histograms_by_class(df: DataFrame, cols: list[str], target: str, bins: int = 20) -> DataFrame:
+    """C8 for many columns: (feature, target, bin, lo, hi, n, density), the
+    rule of ``histogram_by_class``.  The rows are read once, into counts per
+    distinct value, which give the ranges and then the bins."""
+    dist = _persist(unpivot_numeric(df, cols, ids=[target]).where(F.col("value").isNotNull())
+                    .groupBy("feature", target, "value").agg(F.count(F.lit(1)).alias("rows")))
+    mn, mx = F.min("value"), F.max("value")
+    flat = mn == mx
+    ranges = dist.groupBy("feature").agg(F.when(flat, mn - 0.5).otherwise(mn).alias("mn"), F.when(flat, mx + 0.5).otherwise(mx).alias("mx"))
+    step = (F.col("mx") - F.col("mn")) / bins
+    edge = lambda i: i * step + F.col("mn")
+    inner = F.filter(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.col("value") >= edge(i)) if bins > 1 else F.array()
+    b = (dist.join(F.broadcast(ranges), "feature").withColumn("bin", F.size(inner))   # features x 1 rows
+         .groupBy("feature", F.col(target).alias("target"), "bin", "mn", "mx").agg(F.sum("rows").alias("n")))
+    w = Window.partitionBy("feature", "target")   # bins x classes rows
+    lo = edge(F.col("bin"))
+    hi = F.when(F.col("bin") == bins - 1, F.col("mx")).otherwise(edge(F.col("bin") + 1))
+    return (b.select("feature", "target", "bin", lo.alias("lo"), hi.alias("hi"), "n", F.sum("n").over(w).alias("n_class"))
+            .select("feature", "target", "bin", "lo", "hi", "n", (F.col("n") / (F.col("n_class") * (F.col("hi") - F.col("lo")))).alias("density")))
+
+
 def box_stats(df: DataFrame, numeric_cols: list[str], target: str, local_limit: int | None = None) -> DataFrame:
     """Per (feature, class): min, q1, median, q3, max, mean and
     1.5-IQR whisker ends (most extreme data inside the fences).  The rows are

@@ -108,6 +108,21 @@ def histogram_by_class_q(spark, sf_dir):
     return sb.histogram_by_class(loan_book(spark, sf_dir, materialize=True), "credit_amount", "target", 20)
 
 
+@query("histograms_by_class", with_loan_book(f"""
+, t AS ({numeric_long(extra='target')})
+, mm AS (SELECT feature, CASE WHEN MIN(x) = MAX(x) THEN MIN(x) - 0.5 ELSE MIN(x) END AS mn,
+                CASE WHEN MIN(x) = MAX(x) THEN MAX(x) + 0.5 ELSE MAX(x) END AS mx FROM t WHERE x IS NOT NULL GROUP BY feature)
+, b AS (SELECT t.feature, t.target, mn, mx, len(list_filter(range(1, 20), lambda i: x >= i * ((mx - mn) / 20) + mn)) AS bin
+        FROM t JOIN mm ON t.feature = mm.feature WHERE x IS NOT NULL)
+, c AS (SELECT feature, target, bin, mn, mx, COUNT(*) AS n FROM b GROUP BY ALL)
+, e AS (SELECT feature, target, bin, n, SUM(n) OVER (PARTITION BY feature, target) AS n_class, bin * ((mx - mn) / 20) + mn AS lo,
+               CASE WHEN bin = 19 THEN mx ELSE (bin + 1) * ((mx - mn) / 20) + mn END AS hi FROM c)
+SELECT feature, target, CAST(bin AS INTEGER) AS bin, lo, hi, CAST(n AS BIGINT) AS n, CAST(n AS DOUBLE) / (n_class * (hi - lo)) AS density FROM e"""))
+def histograms_by_class_q(spark, sf_dir):
+    """C8 for every numeric column: equal-width histograms per class with densities."""
+    return sb.histograms_by_class(loan_book(spark, sf_dir), NUM, "target", 20)
+
+
 @query("box_stats", with_loan_book(f"""
 , t AS ({numeric_long(extra='target')})
 , qq AS (SELECT feature, target, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
