@@ -167,3 +167,17 @@ def test_woe_and_metrics_independent_of_partitioning(book):
         return ivs, met
 
     assert run(book.repartition(1)) == run(book.repartition(6, "region"))
+
+
+def test_wide_categorical_is_joined_and_not_collected(spark):
+    from lendscope.operators import woe
+
+    df = spark.range(14_000).select(F.col("id").alias("k"), (F.col("id") % 7_000).cast("string").alias("shop"),
+                                    (F.col("id") % 2).cast("string").alias("kind"), (F.col("id") % 3 == 0).cast("int").alias("target"))
+    m = woe.fit_woe(df, "target", [], ["shop", "kind"])
+    assert m.needs_join("shop") and not m.needs_join("kind")
+    assert set(m.features) == {"shop", "kind"} and "shop" not in m.lookup()
+    got = woe.encode(df, m, keep=["k", "shop"])
+    want = {r["category"]: r["woe"] for r in m.table.where("feature = 'shop'").select("category", "woe").collect()}
+    rows = got.collect()
+    assert len(rows) == 14_000 and all(r["shop_woe"] == want[r["shop"]] for r in rows)
