@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf as tb
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session hand tasks Arrow batches of at most ``BATCH_BYTES``
+    (unless it is set lower): executors hold a batch several times over in
+    memory outside the heap, on its way to Python and back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """crc32(doc_id as text) mod ``mod`` is ``rest``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
@@ -26,6 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     bounded at any size of the tables.  Of rows that repeat an id, one text
     (the smallest) is taken.
     """
+    bounded_batches(docs.sparkSession)
     lab = (labels.select("doc_id", F.col(label).cast("int").alias("y"))
            .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & train)
            .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z"))
@@ -50,6 +63,7 @@ def map_texts(docs: DataFrame, fn, out: str, inputs: list[str], carry: list[str]
     (default: all); columns that clash with the new ones, or are in ``drop``,
     are replaced.
     """
+    bounded_batches(docs.sparkSession)
     new = T.StructType.fromDDL(out)
     gone = {f.name.lower() for f in new.fields} | {c.lower() for c in drop or []}
     keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in gone]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import map_texts
+from .common import bounded_batches, map_texts
 
 VOCABULARY = 1 << 18
 BIGRAMS = 1 << 20
@@ -106,6 +106,7 @@ def _add(batches):
 
 def counts(docs: DataFrame, target: Column) -> np.ndarray:
     """2 x SIZE counts: marked documents, all documents."""
+    bounded_batches(docs.sparkSession)
     schema = "part int, counts binary"
     rows = (docs.select(F.col("text").cast("string"), F.coalesce(target, F.lit(False)).alias("t")).mapInArrow(_count, schema)
             .repartitionById(PARTS, "part").mapInArrow(_add, schema).collect())

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import textbuf as tb
+from .common import bounded_batches
 from .components import connected_components
 
 STEP = 1.6
@@ -385,6 +386,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Data
     """(rows, links' components): rows has doc_id and n_shingles of every row
     with a non-null doc_id; components (id, component) of linked ids."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     total = src.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = max(1, int(total * 0.07 / KEYS_PER_TASK) + 1)

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 
 class Bins:
     """Open bins of one batch, ordered by residual."""
@@ -102,6 +104,7 @@ def pack(docs: DataFrame, tokens: Column, source: Column, cluster: Column, capac
               .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("piece").cast("int").alias("piece"),
                       F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("size"), "s", "c")
               .withColumn("h", F.xxhash64("doc_id", "piece", "size", "s", "c")))
+    bounded_batches(docs.sparkSession)
     tasks = max(1, -(-docs.count() // rows_per_task))
 
     def run(batches):

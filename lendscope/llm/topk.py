@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import bounded_batches
+
 GROUP = 16384
 SEGMENTS = (4, 16)
 CHUNK = 2048
@@ -102,6 +104,7 @@ def _task(k: int):
 def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of
     each query (rows where ``is_query``) over floor(scale * component)."""
+    bounded_batches(vectors.sparkSession)
     limit = float(1 << 28)
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     fine = (F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)
