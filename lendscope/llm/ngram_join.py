@@ -24,8 +24,8 @@ fragment; the partial overlaps are counted separately and summed per pair.
 *Hot groups.*  Keys are collapsed per Arrow batch before the shuffle, so a
 fragment that a third of all documents share costs one entry per batch and
 key.  Equal sets become one representative.  A key's members are first
-compared with their smallest member only; after the components of these links
-are known, only members of different components still need comparing, and
+compared with one of their keys' smallest members only; after the components
+of these links are known, only members of different components still need comparing, and
 those pairs pass the sketch in blocks of ``BLOCK`` x ``BLOCK``.  No group is
 gathered in one task and pairs within a group aren't spelt out.
 
@@ -413,23 +413,17 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Data
         return (pairs.join(left, "a").join(right, "b").where(f"least(na, nb) * 100L >= {percent} * greatest(na, nb)")
                 .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_may_link(percent), "a long, b long"))
 
-    # first each member with the smallest member of its key; one partner per document, then the others
+    # first each member with the smallest member of its keys that sizes and sketches allow
     star = (member.join(member.groupBy("key").agg(F.min("doc_id").alias("a")), "key").where("a <> doc_id")
             .select("a", F.col("doc_id").alias("b")).distinct())
-    star = materialize(spark, allowed(star), "ngram-star")
-    one = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(spark, verified(one, texts, words, percent), "ngram-links")
-    found = materialize(spark, connected_components(links.unionByName(equal)), "ngram-components")
+    one = allowed(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    one = materialize(spark, one, "ngram-star")
+    found = connected_components(verified(one, texts, words, percent).unionByName(equal))
 
     def comp_of(df, name, out):
         return (df.join(found.select(F.col("id").alias(name), F.col("component").alias("__c")), name, "left")
                 .withColumn(out, F.coalesce("__c", name)).drop("__c"))
 
-    rest = comp_of(comp_of(star, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    rest = rest.join(one, ["a", "b"], "left_anti")
-    links = materialize(spark, links.unionByName(verified(rest, texts, words, percent)), "ngram-links")
-    found = materialize(spark, connected_components(links.unionByName(equal)), "ngram-components")
-
     # keys whose members are still of different components: all such pairs, in blocks
     open_ = comp_of(member, "doc_id", "comp")
     keys = (open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -442,9 +436,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Data
     pairs = (rows_.withColumn("s", F.explode(sides)).select("key", "s.i", "s.j", "s.side", "doc_id", "comp", "n", "sketch")
              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
              .mapInArrow(_block_pairs(percent), "a long, b long").distinct())
-    pairs = materialize(spark, pairs.join(star, ["a", "b"], "left_anti"), "ngram-rest")
-    links = links.unionByName(verified(pairs, texts, words, percent))
-    found = connected_components(links.unionByName(equal))
+    pairs = materialize(spark, pairs.join(one, ["a", "b"], "left_anti"), "ngram-rest")
+    known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = connected_components(known.unionByName(verified(pairs, texts, words, percent)))
     return rows.select("doc_id", "n_shingles"), materialize(spark, found, "ngram-components")
 
 
