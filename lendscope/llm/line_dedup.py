@@ -1,20 +1,44 @@
-"""Line dedup: content-defined chunks of lines, in DataFrame functions only.
-
-The lines of a text are hashed; a rolling hash over ``window`` consecutive
+"""Line dedup in DataFrame functions only: repeated runs of lines, and
+content-defined chunks of lines.
+
+Runs (``dedup_runs``, what the query and the pipeline use): every run of two
+or more lines that occurs more than once is a union of repeated pairs of
+neighbouring lines, so the pairs are what is looked up.  A line goes if a pair
+that holds it has occurred before in (doc_id, hash of the text, row, position)
+order; so of each repeated run the later occurrences go whole, whatever
+surrounds them, and a copy of every removed line stays.  A pair of two equal
+lines that overlaps its own first occurrence doesn't count as a later one.
+Pairs are compared by the SHA-256 of their bytes.
+
+Plan: the rows are written once with a row number, which is the key of all
+removals; one pass explodes pair digests (no text) to a partially aggregated
+count and first occurrence, so a pair that occurs in a third of all documents
+is one row per task before the shuffle; repeated pairs are joined to the
+exploded digests again, and the removals, one small array per row, join back
+on the row number.
+
+Defined results of runs: every row is a document of its own, whatever its id
+(null, shared or not); a null text stays null and an empty text empty; a text
+whose lines are all removed becomes empty; rows with null id come before all
+others.  Empty lines are lines.  Other columns pass through; ``n_chars``, if
+there, is set to the new text's length where the text changed.
+
+Chunks (``dedup_lines``): the lines of a text are hashed; a rolling hash over ``window`` consecutive
 line hashes ends a chunk after a line when it falls in one of ``divisor``
 residue classes, so boundaries follow the content and shift with it.  Chunks
 of at least ``min_lines`` lines and ``min_chars`` characters whose hash
 occurs more than once anywhere are compared byte by byte (grouped by their
 full text); of equal ones the first in (doc_id, position) order stays and
-all others are removed from their texts.
+all others are removed from their texts.  A repeated passage keeps the lines at
+its ends that share a chunk with its surroundings.
 
-Plan: one pass explodes chunk hashes (no text) to a partially aggregated
+Plan of chunks: one pass explodes chunk hashes (no text) to a partially aggregated
 count, so a chunk that occurs in a third of all documents is one row per task
 before the shuffle; only chunks with a repeated hash are exploded again with
 their text and grouped by it; the removals, one small array per document,
 join back on the document id.
 
-Defined results: a null text stays null and an empty text empty; a text whose
+Defined results of chunks: a null text stays null and an empty text empty; a text whose
 chunks are all removed becomes empty; rows that share a doc_id count as one
 document (chunks at equal positions in them don't remove one another, and the
 removals of either apply to both); documents with null id take part, in the
@@ -86,3 +110,54 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: i
     n_chars = [F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in cols else []
     return out.select(*[text.alias("text") if c == "text" else n_chars[0] if c == "n_chars" else F.col(f"`{c}`") for c in cols],
                       F.when(F.col("text").isNotNull(), F.coalesce(F.size("__gone"), F.lit(0))).otherwise(F.lit(0)).alias("n_removed"))
+
+
+def line_pairs(text: Column) -> Column:
+    """array<struct<pos, len, key>>: each pair of neighbouring lines of a text
+    with two lines or more, as its first line's position, its length and the
+    SHA-256 of its bytes."""
+    def pairs(lines: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(lines) - 2), lambda i: _bind(
+            F.concat_ws("\n", F.get(lines, i), F.get(lines, i + 1)),
+            lambda body: F.struct(i.alias("pos"), F.length(body).alias("len"), F.unhex(F.sha2(body, 256)).alias("key"))))
+
+    return _bind(F.split(text, "\n", -1), pairs)
+
+
+def later_pairs(rows: DataFrame, min_chars: int = 1) -> DataFrame:
+    """(row, gone): for each ``__row`` of ``rows`` the positions of its pairs
+    of lines that have occurred before."""
+    pairs = (rows.where(F.col("text").contains("\n"))
+             .select("doc_id", "__row", F.xxhash64("text").alias("h"), F.explode_outer(line_pairs(F.col("text"))).alias("p"))
+             .where(F.col("p.len") >= min_chars)
+             .select("doc_id", "h", F.col("__row").alias("row"), F.col("p.pos").alias("pos"), F.col("p.key").alias("key")))
+    first = (pairs.groupBy("key").agg(F.min(F.struct("doc_id", "h", "row", "pos")).alias("f"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("key", F.col("f.row").alias("first_row"), F.col("f.pos").alias("first_pos")))
+    return (pairs.select("row", "pos", "key").join(first, "key")
+            .where((F.col("row") != F.col("first_row")) | (F.col("pos") > F.col("first_pos") + 1))
+            .groupBy("row").agg(F.collect_set("pos").alias("gone")))
+
+
+def dedup_runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """``docs`` without the later occurrences of every repeated run of two or
+    more lines; adds ``n_removed`` (lines)."""
+    spark = docs.sparkSession
+    rows = materialize(spark, docs.drop("n_removed").withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    gone = later_pairs(rows, min_chars).select(F.col("row").alias("__id"), F.col("gone").alias("__gone"))
+    cols = [c for c in docs.columns if c != "n_removed"]
+
+    def cut(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        hit = F.array_union(F.col("__gone"), F.transform("__gone", lambda i: i + 1))
+        return _bind(F.array_except(every, hit), lambda left: F.struct(
+            F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("text"),
+            (F.size(lines) - F.size(left)).alias("n")))
+
+    out = (rows.join(gone, F.col("__row") == F.col("__id"), "left")
+           .withColumn("__cut", F.when(F.col("__gone").isNotNull(), _bind(F.split("text", "\n", -1), cut))))
+    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.col("__cut.text"))
+    made = {"text": text}
+    if "n_chars" in cols:
+        made["n_chars"] = F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("__cut.text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in cols],
+                      F.coalesce(F.col("__cut.n"), F.lit(0)).alias("n_removed"))

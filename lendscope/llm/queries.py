@@ -63,9 +63,9 @@ def op7_toxicity(spark, sf_dir):
 
 @query("op8_line_dedup")
 def op8_line_dedup(spark, sf_dir):
-    """Every document without its globally repeated multi-line chunks."""
+    """Every document without its globally repeated runs of two or more lines."""
     docs = read_table(spark, sf_dir, "documents")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_removed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return line_dedup.dedup_runs(docs).select("doc_id", "n_removed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("op9_quality")

@@ -207,6 +207,66 @@ def test_line_dedup_awkward(spark, awkward, empty):
     assert by[None] == two and len(by[3]) < len(two) and by[4] is None and by[5] == LONG
 
 
+def brute_runs(docs):
+    """Lines of every row that no earlier pair of lines holds; rows in order."""
+    first, out = {}, []
+    for at, t in enumerate(docs):
+        lines = t.split("\n")
+        gone = set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            f = first.setdefault(pair, (at, i))
+            if not (f[0] == at and i <= f[1] + 1):
+                gone |= {i, i + 1}
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        out.append(("\n".join(left), len(gone)))
+    return out
+
+
+def run_dirs(tmp_path, spark, docs):
+    """The documents as a table that the query reads."""
+    table(spark, docs).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_repeated_runs_go_whole(spark, tmp_path):
+    """Every passage of two or more lines loses all its lines in all but its
+    first document, in whatever context, through the query."""
+    from lendscope.llm.queries import QUERIES
+
+    docs, passages = [], [[f"passage {p} line {i}" for i in range(2 + p % 7)] for p in range(40)]
+    for i in range(120):
+        text = [f"head {i}"]
+        for p in (i % 40, (i * 7 + 3) % 40):
+            text += passages[p] + [f"own {i} {p}"]
+        docs.append((i, "\n".join(text), "en", "s"))
+    docs.append((200, docs[3][1], "en", "s"))
+    got = {r["doc_id"]: (r["n_chars"], r["n_removed"]) for r in QUERIES["op8_line_dedup"](spark, run_dirs(tmp_path, spark, docs)).collect()}
+    want = brute_runs([t for _, t, *_ in docs])
+    assert got == {d[0]: (len(t), n) for d, (t, n) in zip(docs, want)}
+    assert "passage" not in "".join(t for t, _ in want[40:]) and want[-1][0] == ""
+
+
+def test_runs_equal_brute_force(spark):
+    rng = random.Random(16)
+    pool = [f"line {i} of the pool" for i in range(12)] + ["", "é漢"]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else f"unique {i} {j}" for j in range(rng.randrange(0, 25))), "en", "s") for i in range(80)]
+    docs += [(90, "z\nz\nz", "en", "s"), (91, "y\ny\ny\ny", "en", "s"), (92, docs[3][1], "en", "s")]
+    df = table(spark, docs)
+    got = line_dedup.dedup_runs(df.repartition(5))
+    assert got.columns == [c for c in df.columns if c != "n_removed"] + ["n_removed"]
+    want = brute_runs([t for _, t, *_ in docs])
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()} == {d[0]: w for d, w in zip(docs, want)}
+    assert got.where("n_chars <> length(text)").count() == 0
+    assert want[80][0] == "z\nz\nz" and want[81][0] == "y\ny"
+
+
+def test_runs_awkward(spark, awkward, empty):
+    got = line_dedup.dedup_runs(awkward)
+    assert rows(got, "doc_id", "text") == rows(awkward, "doc_id", "text")
+    assert got.agg(F.sum("n_removed")).first()[0] == 0
+    assert line_dedup.dedup_runs(empty).count() == 0
+
+
 def vectors(spark, data):
     return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, n_links string, component string, score string")
 
