@@ -23,27 +23,22 @@ whose lines are all removed becomes empty; rows with null id come before all
 others.  Empty lines are lines.  Other columns pass through; ``n_chars``, if
 there, is set to the new text's length where the text changed.
 
-Chunks (``dedup_lines``): the lines of a text are hashed; a rolling hash over ``window`` consecutive
-line hashes ends a chunk after a line when it falls in one of ``divisor``
-residue classes, so boundaries follow the content and shift with it.  Chunks
-of at least ``min_lines`` lines and ``min_chars`` characters whose hash
-occurs more than once anywhere are compared byte by byte (grouped by their
-full text); of equal ones the first in (doc_id, position) order stays and
-all others are removed from their texts.  A repeated passage keeps the lines at
-its ends that share a chunk with its surroundings.
-
-Plan of chunks: one pass explodes chunk hashes (no text) to a partially aggregated
-count, so a chunk that occurs in a third of all documents is one row per task
-before the shuffle; only chunks with a repeated hash are exploded again with
-their text and grouped by it; the removals, one small array per document,
-join back on the document id.
-
-Defined results of chunks: a null text stays null and an empty text empty; a text whose
-chunks are all removed becomes empty; rows that share a doc_id count as one
-document (chunks at equal positions in them don't remove one another, and the
-removals of either apply to both); documents with null id take part, in the
-order before all others.  Other columns pass through; ``n_chars``, if there,
-is set to the new text's length where the text changed.
+Chunks (``dedup_lines``): the lines of a text are hashed; a rolling hash over
+``window`` consecutive line hashes ends a chunk after a line when it falls in
+one of ``divisor`` residue classes, so boundaries follow the content and shift
+with it.  Chunks of at least ``min_lines`` lines and ``min_chars`` characters
+whose hash occurs more than once anywhere are compared byte by byte (grouped
+by their full text); of equal ones the first in (doc_id, hash of the text,
+row, position) order stays and all others are removed from their texts.  A
+repeated passage keeps the lines at its ends that share a chunk with its
+surroundings.
+
+Plan of chunks: numbered rows as for runs; one pass explodes chunk hashes (no
+text) to a partially aggregated count, so a chunk that occurs in a third of
+all documents is one row per task before the shuffle; only chunks with a
+repeated hash are exploded again with their text and grouped by it; the
+removals, one small array per row, join back on the row number.  Defined
+results as for runs.
 """
 
 from __future__ import annotations
@@ -80,32 +75,38 @@ def chunks_of(text: Column, window: int, divisor: int) -> Column:
     return _bind(F.split(text, "\n", -1), cut)
 
 
-def repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: int = 2,
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with a row number ``__row``, the key of removals."""
+    return materialize(docs.sparkSession, docs.drop("n_removed").withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+
+
+def repeated_chunks(rows: DataFrame, window: int = 2, divisor: int = 3, min_lines: int = 2,
                     min_chars: int = 1) -> DataFrame:
-    """(doc_id, pos, first): every occurrence of a repeated chunk, ``first``
-    telling whether it is the one that stays."""
-    spark = docs.sparkSession
+    """(row, pos, first): every occurrence of a repeated chunk in numbered
+    rows, ``first`` telling whether it is the one that stays."""
+    spark = rows.sparkSession
     # explode_outer: no size filter is inferred that would evaluate the chunks twice
-    chunks = (docs.where(F.col("text").contains("\n"))
-              .select("doc_id", F.explode_outer(chunks_of(F.col("text"), window, divisor)).alias("c"))
+    chunks = (rows.where(F.col("text").contains("\n"))
+              .select("doc_id", F.col("__row").alias("row"), F.xxhash64("text").alias("h"), F.explode_outer(chunks_of(F.col("text"), window, divisor)).alias("c"))
               .where((F.col("c.n") >= min_lines) & (F.length("c.body") >= min_chars)))
     key = F.struct(F.xxhash64("c.body").alias("h"), F.length("c.body").alias("len"))
     hashed = chunks.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    occ = (chunks.select("doc_id", F.col("c.pos").alias("pos"), F.col("c.body").alias("body"), key.alias("k"))
-           .join(hashed, "k", "left_semi").select("doc_id", "pos", "body"))
+    occ = (chunks.select("doc_id", "h", "row", F.col("c.pos").alias("pos"), F.col("c.body").alias("body"), key.alias("k"))
+           .join(hashed, "k", "left_semi").select("doc_id", "h", "row", "pos", "body"))
     occ = materialize(spark, occ, "repeated-chunks")
-    first = occ.groupBy("body").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (occ.join(first, "body")
-            .select("doc_id", "pos", F.struct("doc_id", "pos").eqNullSafe(F.col("first")).alias("first")))
+    place = F.struct("doc_id", "h", "row", "pos")
+    first = occ.groupBy("body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return occ.join(first, "body").select("row", "pos", place.eqNullSafe(F.col("first")).alias("first"))
 
 
 def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: int = 2, min_chars: int = 1) -> DataFrame:
     """``docs`` without the repeated chunks; adds ``n_removed`` (chunks)."""
-    gone = (repeated_chunks(docs, window, divisor, min_lines, min_chars).where(~F.col("first"))
-            .groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc_id", "__id"))
+    rows = numbered(docs)
+    gone = (repeated_chunks(rows, window, divisor, min_lines, min_chars).where(~F.col("first"))
+            .groupBy("row").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("row", "__id"))
     kept = F.filter(chunks_of(F.col("text"), window, divisor), lambda c: ~F.array_contains(F.col("__gone"), c["pos"]))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
-    out = docs.drop("n_removed").join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    out = rows.join(gone, F.col("__row") == F.col("__id"), "left")
     cols = [c for c in docs.columns if c != "n_removed"]
     n_chars = [F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in cols else []
     return out.select(*[text.alias("text") if c == "text" else n_chars[0] if c == "n_chars" else F.col(f"`{c}`") for c in cols],
@@ -141,8 +142,7 @@ def later_pairs(rows: DataFrame, min_chars: int = 1) -> DataFrame:
 def dedup_runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """``docs`` without the later occurrences of every repeated run of two or
     more lines; adds ``n_removed`` (lines)."""
-    spark = docs.sparkSession
-    rows = materialize(spark, docs.drop("n_removed").withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    rows = numbered(docs)
     gone = later_pairs(rows, min_chars).select(F.col("row").alias("__id"), F.col("gone").alias("__gone"))
     cols = [c for c in docs.columns if c != "n_removed"]
 

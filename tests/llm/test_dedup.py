@@ -267,6 +267,26 @@ def test_runs_awkward(spark, awkward, empty):
     assert line_dedup.dedup_runs(empty).count() == 0
 
 
+@pytest.mark.parametrize("dedup", [line_dedup.dedup_lines, line_dedup.dedup_runs])
+def test_rows_with_null_or_shared_ids_are_documents_of_their_own(spark, dedup):
+    """The clean lines of one row never go because of another with its id, and
+    of equal texts one stays."""
+    def own(i):
+        return [f"only in text {i}, line {j}" for j in range(9)]
+    passage = [f"a shared passage, line {j}" for j in range(40)]
+    texts = ["\n".join(own(i)[:i] + passage + own(i)[i:]) for i in range(8)]
+    docs = [(None, t, "en", "s") for t in texts[:6]] + [(None, texts[0], "en", "s"), (7, texts[6], "en", "s"), (7, texts[7], "en", "s"), (7, texts[7], "en", "s")]
+    got = [r["text"].split("\n") for r in dedup(table(spark, docs)).collect()]
+    left = [x for t in got for x in t if x]
+    assert len(got) == len(docs)
+    assert all(left.count(x) >= 1 for i in range(8) for x in own(i))
+    # the ends of a passage may stay in chunks with their surroundings, the rest goes
+    inner = [x for x in passage if left.count(x) == 1]
+    assert len(inner) >= (40 if dedup is line_dedup.dedup_runs else 10)
+    if dedup is line_dedup.dedup_runs:
+        assert sorted(left) == sorted([x for i in range(8) for x in own(i)] + passage)
+
+
 def vectors(spark, data):
     return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, n_links string, component string, score string")
 
