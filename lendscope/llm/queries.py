@@ -156,5 +156,4 @@ def op2_lm_scoring(spark, sf_dir):
     good = lm_scoring.good_ids(read_table(spark, sf_dir, "labels"))
     # a merge join at every size: the ids grow with the labels and are never broadcast
     marked = docs.join(good.hint("merge"), docs.doc_id == good["__good"], "left")
-    count = lm_scoring.counts(marked, F.col("__good").isNotNull())
-    return lm_scoring.score(docs, count, carry=["doc_id"])
+    return lm_scoring.score_grams(marked, F.col("__good").isNotNull(), carry=["doc_id"])

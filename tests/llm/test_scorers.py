@@ -2,6 +2,7 @@
 versions and awkward rows."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -197,6 +198,70 @@ def test_lm_awkward(spark, awkward, empty):
     assert lm_scoring.score(empty, lm_scoring.counts(empty, F.lit(True))).count() == 0
 
 
+def exact_lm(texts, marks):
+    """Scores by dictionaries of the n-grams themselves."""
+    def tokens(t):
+        w = re.findall(r"[^ \t\n\v\f\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        return list(zip([None, *w], w))
+    uni, bi, start = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    split = [tokens(t) for t in texts]
+    for x, m in zip(split, marks):
+        for k in (0, 1):
+            if x and (k or m):
+                uni[k].update(w for _, w in x)
+                bi[k].update(x)
+                start[k] += 1
+    n = [sum(u.values()) for u in uni]
+    scale = [1.0, n[0] / n[1] if n[0] and n[1] else 1.0]
+    out = []
+    for x in split:
+        total = [0.0, 0.0]
+        for v, w in x:
+            for k in (0, 1):
+                one = (uni[k][w] * scale[k] + lm_scoring.ADD) / (n[k] * scale[k] + lm_scoring.ADD * len(uni[1]))
+                c = (start[k] if v is None else uni[k][v]) * scale[k]
+                total[k] -= math.log((bi[k][v, w] * scale[k] + lm_scoring.PRIOR * one) / (c + lm_scoring.PRIOR))
+        out.append((len(x), total[0] / len(x), total[1] / len(x)) if x else (0, None, None))
+    return out, len(bi[1])
+
+
+def test_lm_scores_are_those_of_the_n_grams(spark, tmp_path, monkeypatch):
+    """The query against dictionaries, with far more bigrams than 2^20 and
+    many batches and parts."""
+    from lendscope.llm.queries import QUERIES
+
+    monkeypatch.setattr(lm_scoring, "BATCH_TEXT", 1 << 20)
+    monkeypatch.setattr(lm_scoring, "PART_TEXT", 1 << 17)
+    rng = np.random.default_rng(22)
+    docs = [(i, " ".join(f"W{x}" for x in (rng.zipf(1.3, 9000) % 10**7 if i % 2 else rng.integers(0, 60_000, 9000)))) for i in range(300)]
+    docs += [(900, ""), (901, "solo"), (902, None), (903, " \n"), (904, "never seen\tBefore é")]
+    table(spark, [(i, t, "en", "s") for i, t in docs]).select("doc_id", "text").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0), 0) for i, _ in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want, bigrams = exact_lm([t for _, t in docs], [i % 3 == 0 for i, _ in docs])
+    assert bigrams > 1.3 * 2**20
+    got = {r["doc_id"]: r for r in QUERIES["op2_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for (i, _), (n, a, b) in zip(docs, want):
+        assert got[i]["n_tokens"] == n
+        if n:
+            assert (got[i]["ce_target"], got[i]["ce_background"]) == pytest.approx((a, b), abs=1e-9)
+            assert got[i]["score"] == pytest.approx(a - b, abs=1e-9) and a > 0 and b > 0
+        else:
+            assert got[i]["score"] is None and got[i]["ce_target"] is None
+
+
+def test_exact_lm_awkward(spark, awkward, empty):
+    got = lm_scoring.score_grams(awkward, F.lit(None).cast("boolean"))
+    assert got.columns == [c for c in awkward.columns if c != "score"] + ["n_tokens", "ce_target", "ce_background", "score"]
+    by = {(r["doc_id"], r["text"]): r for r in got.collect()}
+    assert got.count() == awkward.count() and {k[0] for k, r in by.items() if r["score"] is None} == {1, 2, 3}
+    texts = [r["text"] for r in awkward.collect()]
+    for t, (n, a, b) in zip(texts, exact_lm(texts, [False] * len(texts))[0]):
+        r = next(r for k, r in by.items() if k[1] == t)
+        assert r["n_tokens"] == n and (r["ce_target"], r["ce_background"]) == ((None, None) if not n else pytest.approx((a, b), abs=1e-9))
+    assert lm_scoring.score_grams(empty, F.lit(True)).count() == 0
+
+
 def test_word_and_shingle_hashes():
     a, off = textbuf.shingle_sets([b"One TWO three four", b"x\tone two\nthree  four", b"one two", b"", b"one two three"], 4)
     sets = [set(a[off[i]:off[i + 1]].tolist()) for i in range(5)]
