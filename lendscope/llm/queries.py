@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import langid, line_dedup, lm_scoring, mixing, neardup, ngram_join, packing, quality, topk, toxicity
+from . import fim, langid, line_dedup, lm_scoring, mixing, neardup, ngram_join, packing, quality, topk, toxicity, winnowing
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,23 @@ def op2_lm_scoring(spark, sf_dir):
     # a merge join at every size: the ids grow with the labels and are never broadcast
     marked = docs.join(good.hint("merge"), docs.doc_id == good["__good"], "left")
     return lm_scoring.score_grams(marked, F.col("__good").isNotNull(), carry=["doc_id"])
+
+
+@query("op12_winnowing", winnowing.ORACLE_SQL)
+def op12_winnowing(spark, sf_dir):
+    """Words of every document inside 10-word windows of benchmark items."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = winnowing.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), summaries={
+        "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
+    return found.docs.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+                             F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+                             (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op13_fim", fim.ORACLE_SQL)
+def op13_fim(spark, sf_dir):
+    """Fill-in-middle form of every document, and the text restored from it."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return (fim.transform(docs, carry=["doc_id"])
+            .select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                    F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")))
