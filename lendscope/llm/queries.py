@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import fim, langid, line_dedup, lm_scoring, mixing, neardup, ngram_join, packing, quality, topk, toxicity, winnowing
+from . import collocations, fim, langid, line_dedup, lm_scoring, mixing, neardup, ngram_join, packing, quality, topk, toxicity, winnowing
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,9 @@ def op13_fim(spark, sf_dir):
     return (fim.transform(docs, carry=["doc_id"])
             .select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                     F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")))
+
+
+@query("op11_collocations", collocations.ORACLE_SQL)
+def op11_collocations(spark, sf_dir):
+    """The 2,000 strongest phrases of 2 to 4 words of every language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents", ["lang", "text"]))
