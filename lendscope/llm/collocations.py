@@ -2,17 +2,19 @@
 
 Texts are cut into pieces at ``[.,;:!?]`` and line ends, pieces into words.
 Every word position is a suffix of up to ``max_words`` words within its piece.
-Tasks send each distinct suffix of a batch once, with its count, so a passage
-or word that fills a third of all rows is one row a batch.  Suffixes are routed
-by their leading words: a range partitioning on (lang, words), whose bounds
-Spark samples, so that a frequent leading word is spread over as many tasks as
-it needs.  There, pointers to the suffixes are split by multikey three-way
-quicksort: a segment is divided at a pivot's word of its depth into less,
-equal and greater; the equal part goes on at the next word, and its weight is
-the count of its phrase, down to the maximal depth.  A part whose weight is
-under ``min_count`` is abandoned at once: its phrases lie nowhere else, except
-those that begin the first or last suffix of the partition, whose shares are
-counted apart and added up with the neighbours'.
+Tasks keep each distinct suffix of a batch once, with its count, so a passage
+or word that fills a third of all rows is one suffix a batch.  Suffixes are
+routed by their leading words: each language's suffixes, in byte order, are
+cut into ranges at bounds from a bounded sample (``SAMPLE_ROWS`` at most), so
+a frequent leading word is spread over as many ranges as it needs; a batch
+sends one packed message to each range it has suffixes for.  There, pointers
+to the suffixes are split by multikey three-way quicksort: a segment is
+divided at a pivot's word of its depth into less, equal and greater; the equal
+part goes on at the next word, and its weight is the count of its phrase, down
+to the maximal depth.  A part whose weight is under ``min_count`` is abandoned
+at once: its phrases lie nowhere else, except those that begin the first or
+last suffix of the range, whose shares are counted apart and added up with the
+neighbours'.  The sample decides on balance only, never on results.
 
 All segments of a task are split in the same numpy steps, so a step costs the
 pointers that are still alive, not the number of segments.  The frequent
@@ -23,15 +25,17 @@ hashed groups first, so no task sorts a language.
 
 Defined results: a null text counts as empty, a null lang as ``und``; texts
 without words give nothing; repeated rows count each; ids are not read and
-other columns neither; a word may be any bytes but separators.  Ties as the
-columns say.  Empty tables give no rows.  Texts are read whole: one longer than
+other columns neither; a word may be any bytes but separators; ties go to the
+smaller cut and phrase.  Empty tables give no rows.  Texts are read whole: one longer than
 a slice is cut after a piece's end, where no phrase passes; memory in the tasks
-is bounded by the slice or, beyond, the longest piece, and by the partitions'
-size (``PART_BYTES`` of text).
+is bounded by the slice or, beyond, the longest piece, and by the ranges' size
+(the suffixes of ``PART_BYTES`` of text).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -48,8 +52,10 @@ BREAKS = b".,;:!?\n\v\f\r"
 SPACES = b" \t"
 SLICE = 4 << 20
 #: Text whose suffixes one task of the sorting step gets, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 OUT_ROWS = 100_000
+#: Sampled suffixes that set the bounds: for each range, at least and at most.
+SAMPLE_PER_PART, SAMPLE_LEAST, SAMPLE_ROWS = 64, 20_000, 1_000_000
 
 _kind = np.zeros(256, dtype=np.uint8)
 _kind[list(SPACES)] = 1
@@ -101,12 +107,14 @@ def suffixes(views: list, langs: np.ndarray, max_words: int):
     coded = words.dictionary_encode()
     ids, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary) + 1
     code = langs[np.searchsorted(starts, begin, side="right") - 1].astype(np.int64)
-    key = code * size + ids
+    key, bound = code * size + ids, len(langs) * size
     for j in range(1, max_words):
-        code_j, _ = pd.factorize(key)
+        if bound * size >= 1 << 62:
+            key, found = pd.factorize(key)
+            bound = len(found)
         after = np.zeros(n, dtype=np.int64)
         after[:max(n - j, 0)] = ids[j:] + 1
-        key = code_j * size + np.where(depth > j, after, 0)
+        key, bound = key * size + np.where(depth > j, after, 0), bound * size
     group, distinct = pd.factorize(key)
     first = np.empty(len(distinct), dtype=np.int64)
     first[group[::-1]] = np.arange(n)[::-1]
@@ -114,137 +122,158 @@ def suffixes(views: list, langs: np.ndarray, max_words: int):
     return code[first], [text[a:b] for a, b in zip(lo, hi)], np.bincount(group)
 
 
-def _suffix_task(max_words: int):
+def batch_suffixes(batch: pa.RecordBatch, max_words: int):
+    """(lang names, codes, phrases, counts) of each slice of a batch of (lang,
+    text)."""
+    coded = batch.column(0).dictionary_encode()
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_pylist()
+    parts = [(c, p) for c, v in zip(codes, tb.utf8_views(batch.column(1))) for p in pieces(v)]
+    for lo, hi in tb.slices([p for _, p in parts], SLICE):
+        yield names, *suffixes([p for _, p in parts[lo:hi]], np.array([c for c, _ in parts[lo:hi]]), max_words)
+
+
+def _sample_task(max_words: int):
     def run(batches):
         for batch in batches:
-            coded = batch.column(0).dictionary_encode()
-            names, codes = coded.dictionary, coded.indices.to_numpy()
-            parts = [(c, p) for c, v in zip(codes.tolist(), tb.utf8_views(batch.column(1))) for p in pieces(v)]
-            for lo, hi in tb.slices([p for _, p in parts], SLICE):
-                code, phrase, count = suffixes([p for _, p in parts[lo:hi]], np.array([c for c, _ in parts[lo:hi]]), max_words)
+            for names, code, phrase, _ in batch_suffixes(batch, max_words):
                 for a in range(0, len(phrase), OUT_ROWS):
-                    b = a + OUT_ROWS
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(code[a:b])).cast(pa.string()),
-                                                      pa.array(phrase[a:b], pa.binary()).view(pa.string()), pa.array(count[a:b])],
-                                                     names=["lang", "phrase", "count"])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in code[a:a + OUT_ROWS]], pa.string()),
+                                                      pa.array(phrase[a:a + OUT_ROWS], pa.binary())], names=["lang", "phrase"])
+    return run
+
+
+def _route_task(max_words: int, bounds: dict[str, list[bytes]]):
+    """Messages (lang, route, phrases, counts): the suffixes of a batch that
+    lie in one range, each ended by a newline, and their counts."""
+    def run(batches):
+        for batch in batches:
+            for names, code, phrase, count in batch_suffixes(batch, max_words):
+                out = []
+                for c in np.unique(code):
+                    own = np.flatnonzero(code == c)
+                    mine = [phrase[i] for i in own.tolist()]
+                    cuts = bounds.get(names[c], [])
+                    route = np.fromiter((bisect_right(cuts, p) for p in mine), dtype=np.int32, count=len(mine))
+                    order = np.argsort(route, kind="stable")
+                    edge = np.flatnonzero(np.diff(route[order], prepend=-1, append=-1))
+                    for a, b in zip(edge[:-1], edge[1:]):
+                        rows = order[a:b]
+                        out.append((names[c], int(route[rows[0]]), b"\n".join([mine[i] for i in rows.tolist()]) + b"\n",
+                                    count[own[rows]].astype(np.int64).tobytes()))
+                for a in range(0, len(out), OUT_ROWS):
+                    lang, route, text, counts = zip(*out[a:a + OUT_ROWS])
+                    yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(route, pa.int32()), pa.array(text, pa.binary()),
+                                                      pa.array(counts, pa.binary())], names=["lang", "route", "phrases", "counts"])
     return run
 
 
 def three_way(keys: np.ndarray, weight: np.ndarray, min_count: int):
-    """Multikey three-way quicksort of all pointers at once.
+    """Multikey three-way quicksort of all pointers, every segment at once.
 
     ``keys[d]`` holds the key of every row at depth d (-1: the row ended).
-    Yields (row, depth, count): a row that begins with the prefix of depth + 1
-    keys, and the weight of all rows that do, for weights of ``min_count`` on."""
-    idx = np.arange(keys.shape[1])
-    start, level = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)  # of each segment
-    while len(idx):
-        # rows that ended leave, and so do segments that are too light
-        size = np.diff(np.append(start, len(idx)))
-        seg = np.repeat(np.arange(len(start)), size)
-        key = keys[level[seg], idx]
-        total = np.bincount(seg[key >= 0], weights=weight[idx][key >= 0], minlength=len(start))
-        alive = (key >= 0) & (total >= min_count)[seg]
-        idx, key, seg = idx[alive], key[alive], seg[alive]
-        if not len(idx):
-            return
-        old, seg = np.unique(seg, return_inverse=True)
-        size, level = np.bincount(seg), level[old]
-        start = np.cumsum(size) - size
-        pivot = key[start + size // 2][seg]
-        side = (key > pivot).astype(np.int64) - (key < pivot) + 1  # 0 less, 1 equal, 2 greater
-        # the three parts of each segment in place, stable
-        part = seg * 3 + side
-        counts = np.bincount(part, minlength=3 * len(size))
-        base = np.cumsum(counts) - counts
-        moved = np.empty_like(idx)
-        for s in range(3):
-            mine = np.flatnonzero(side == s)
-            own = seg[mine]
-            inside = np.arange(len(mine)) - (np.cumsum(counts[s::3]) - counts[s::3])[own]
-            moved[base[own * 3 + s] + inside] = idx[mine]
-        idx = moved
-        used = counts > 0
-        start = base[used]
-        side = np.arange(len(counts))[used] % 3
-        level = np.repeat(level, 3)[used]
-        equal = np.flatnonzero(side == 1)
-        heavy = np.add.reduceat(weight[idx], start)[equal]
-        for row, d, c in zip(idx[start[equal]][heavy >= min_count].tolist(), level[equal][heavy >= min_count].tolist(),
-                             heavy[heavy >= min_count].tolist()):
-            yield row, d, c
-        level = level + (side == 1)
-        done = level >= len(keys)
-        if done.any():  # maximal depth
-            gone = np.repeat(done, np.diff(np.append(start, len(idx))))
-            idx = idx[~gone]
-            size = np.diff(np.append(start, len(gone)))[~done]
-            start, level = np.cumsum(size) - size, level[~done]
-
-
-def count_prefixes(table: pa.Table, min_count: int, max_words: int):
-    """(lang, phrase, words, count) of a range of suffixes (lang, phrase,
-    count): complete counts of ``min_count`` on, and the shares of all phrases
-    that begin the first or the last suffix, whatever they count.  The empty
-    phrase of 0 words counts the words of a language."""
-    langs = table["lang"].combine_chunks().dictionary_encode()
-    phrase = pc.cast(table["phrase"].combine_chunks(), pa.large_binary())
-    weight = table["count"].combine_chunks().to_numpy()
-    n = len(phrase)
-    off = np.frombuffer(phrase.buffers()[1], dtype=np.int64)[phrase.offset:phrase.offset + n + 1]
-    data = phrase.buffers()[2].to_pybytes()
-    space = np.flatnonzero(np.frombuffer(data, dtype=np.uint8)[off[0]:off[-1]] == 32) + off[0] + 1
-    at = np.concatenate([[off[0]], space])  # where every word begins, and the end
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(space), [None, pa.py_buffer(at), phrase.buffers()[2]])
-    ids = words.dictionary_encode().indices.to_numpy()
+    Pointers carry the number of their segment instead of moving; in random
+    order, so that a segment's last pointer is a random pivot.  Yields (row,
+    depth, count): a row that begins with the prefix of depth + 1 keys, and
+    the weight of all rows that do, for weights of ``min_count`` on."""
+    n = keys.shape[1]
+    if n == 0 or int(weight.sum()) < min_count:
+        return
+    row = np.random.default_rng(n).permutation(n).astype(np.int32)
+    flat, weight = keys[:, row].ravel(), weight[row]
+    at, seg, level = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(1, dtype=np.int64)
+    while len(at):
+        key = flat[level[seg] * n + at]
+        last = np.empty(len(level), dtype=np.int64)
+        last[seg] = np.arange(len(seg))
+        pivot = key[last]
+        own = pivot[seg]
+        part = 3 * seg + 1 + (key > own) - (key < own)  # less, equal, greater
+        total = np.zeros(3 * len(level), dtype=np.int64)
+        total += np.bincount(part, weights=weight, minlength=len(total)).astype(np.int64)
+        alive = total >= min_count
+        alive[1::3] &= pivot >= 0
+        found = np.flatnonzero(alive[1::3])
+        yield from zip(row[at[last[found]]].tolist(), level[found].tolist(), total[1::3][found].tolist())
+        level = np.repeat(level, 3)
+        level[1::3] += 1
+        alive &= level < len(keys)
+        number = (np.cumsum(alive) - 1).astype(np.int32)
+        keep = alive[part]
+        at, weight, seg, level = at[keep], weight[keep], number[part[keep]], level[alive]
+
+
+def count_prefixes(messages: list[bytes], counts: list[bytes], min_count: int, max_words: int):
+    """(phrase, words, count) of a range of suffixes: complete counts of
+    ``min_count`` on, and the shares of all phrases that begin the first or the
+    last suffix, whatever they count.  The empty phrase of 0 words counts all."""
+    data = b"".join(messages)
+    weight = np.frombuffer(b"".join(counts), dtype=np.int64)
+    n = len(weight)
+    off = np.zeros(n + 1, dtype=np.int64)
+    off[1:] = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10) - np.arange(n)
+    data = data.replace(b"\n", b"")
+    at = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32) + 1])  # where words begin, and the end
+
+    def binary(offsets):
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    ids = binary(at).dictionary_encode().indices.to_numpy()
     first = np.searchsorted(at, off)  # number of the first word of each row
     length = np.diff(first)
-    keys = np.full((max_words + 1, n), -1, dtype=np.int32)
-    keys[0] = langs.indices.to_numpy()
+    keys = np.full((max_words, n), -1, dtype=np.int32)
     for d in range(max_words):
         has = length > d
-        keys[d + 1, has] = ids[first[:-1][has] + d]
-
-    names = langs.dictionary.to_pylist()
+        keys[d, has] = ids[first[:-1][has] + d]
 
-    def named(row: int, d: int):
+    def named(row: int, words: int):
         lo = at[first[row]]
-        return names[keys[0, row]], data[lo:max(lo, at[first[row] + d] - 1)], d
-
-    edges, out = set(), []
-    byte_names = [x.encode("utf-8", "surrogatepass") for x in names]
-    by_lang = sorted(range(len(names)), key=lambda i: byte_names[i])
-    for code, least in ((by_lang[0], True), (by_lang[-1], False)):
-        rows = np.flatnonzero(keys[0] == code)
-        ends = pc.min_max(phrase.take(pa.array(rows)))
-        target = ends["min"] if least else ends["max"]
-        row = int(rows[pc.index(phrase.take(pa.array(rows)), target).as_py()])
+        return data[lo:max(lo, at[first[row] + words] - 1)], words
+
+    phrases = binary(off)
+    ends = pc.min_max(phrases)
+    edges, out = {(b"", 0)}, [(b"", 0, int(weight.sum()))]
+    for side in ("min", "max"):
+        row = pc.index(phrases, ends[side]).as_py()
         same = np.ones(n, dtype=bool)
-        for d in range(int(length[row]) + 1):
+        for d in range(int(length[row])):
             same &= keys[d] == keys[d, row]
-            if (mark := named(row, d)) not in edges:
+            if (mark := named(row, d + 1)) not in edges:
                 edges.add(mark)
                 out.append((*mark, int(weight[same].sum())))
     for row, d, c in three_way(keys, weight, min_count):
-        if (mark := named(row, d)) not in edges:
+        if (mark := named(row, d + 1)) not in edges:
             out.append((*mark, int(c)))
     return out
 
 
 def _count_task(min_count: int, max_words: int):
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = count_prefixes(pa.Table.from_batches(held), min_count, max_words)
-        for a in range(0, len(rows), OUT_ROWS):
-            lang, phrase, words, count = zip(*rows[a:a + OUT_ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).view(pa.string()),
-                                              pa.array(words, pa.int32()), pa.array(count, pa.int64())],
-                                             names=["lang", "phrase", "words", "f"])
+    def run(table):
+        rows = count_prefixes(table["phrases"].to_pylist(), table["counts"].to_pylist(), min_count, max_words)
+        phrase, words, count = zip(*rows)
+        lang = pa.array([table["lang"][0].as_py()] * len(rows), pa.string())
+        return pa.table([lang, pa.array(phrase, pa.binary()).view(pa.string()), pa.array(words, pa.int32()), pa.array(count, pa.int64())],
+                        names=["lang", "phrase", "words", "f"])
     return run
 
 
+def range_bounds(texts: DataFrame, size: int, parts: int, max_words: int) -> dict[str, list[bytes]]:
+    """For each sampled lang the suffixes where its ranges begin (but the
+    first), about ``parts`` ranges in all."""
+    want = min(max(SAMPLE_LEAST, SAMPLE_PER_PART * parts), SAMPLE_ROWS)
+    share = min(1.0, 1000 * want / max(size, 1))  # about 150 words for a suffix taken
+    some = texts.sample(False, share, 1).mapInArrow(_sample_task(max_words), "lang string, phrase binary")
+    rows = some.sample(False, min(1.0, 8 * want / max(share * size, 1)), 2).limit(4 * want).collect()
+    by: dict[str, list[bytes]] = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).append(bytes(r["phrase"]))
+    out = {}
+    for lang, phrases in by.items():
+        phrases.sort()
+        k = round(parts * len(phrases) / len(rows))
+        out[lang] = sorted({phrases[i * len(phrases) // k] for i in range(1, k)})
+    return out
+
+
 def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4) -> DataFrame:
     """(lang, phrase, words, f): every phrase of 1 to ``max_words`` words with
     f >= ``min_count``, and for each lang the empty phrase with its number of
@@ -252,15 +281,30 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4) -> D
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.where(F.octet_length("text") > 0)
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(size // PART_BYTES) + 1
-    every = texts.where(F.octet_length("text") > 0).mapInArrow(_suffix_task(max_words), "lang string, phrase string, count long")
-    routed = every.repartitionByRange(parts, "lang", "phrase")
-    shares = routed.mapInArrow(_count_task(min_count, max_words), "lang string, phrase string, words int, f long")
+    bounds = range_bounds(texts, size, parts, max_words)
+    sent = texts.mapInArrow(_route_task(max_words, bounds), "lang string, route int, phrases binary, counts binary")
+    shares = (sent.repartition(parts, "lang", "route").groupBy("lang", "route")
+              .applyInArrow(_count_task(min_count, max_words), "lang string, phrase string, words int, f long"))
     counts = shares.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
     return materialize(spark, counts, "phrase-counts")
 
 
+def first_of(rows: DataFrame, group: str, order: list, tie: str, top: int) -> DataFrame:
+    """The first ``top`` rows of each ``group`` with their rank.  Ranks within
+    hashed parts of a group come first, level by level, until no group can
+    hold more than 50 times ``top`` rows."""
+    n, level = rows.count(), 0
+    while n > 50 * top:
+        parts, level = n // (50 * top) + 1, level + 1
+        some = W.partitionBy(group, F.pmod(F.xxhash64(tie, F.lit(level)), F.lit(parts))).orderBy(*order)
+        rows = rows.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top).drop("rank")
+        n = parts * top
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+
+
 def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, top: int = 2000, cover_percent: int = 80) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each lang's first ``top``
     phrases by score descending, a descending, phrase ascending (bytes)."""
@@ -284,11 +328,7 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, top:
             .where(F.col("longer").isNull() | F.expr(f"100 * cast(longer as decimal(20,0)) < {int(cover_percent)} * cast(a as decimal(20,0))"))
             .drop("longer"))
     kept = materialize(spark, kept, "phrase-scores")
-    groups = kept.count() // 100_000 + 1
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    some = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(groups))).orderBy(*order)
-    best = kept.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    best = first_of(kept, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], "phrase", top)
     total = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,23 +102,36 @@ def test_quicksort_counts_every_heavy_prefix():
 
 def test_shares_of_neighbouring_ranges_add_up():
     """Any cut of the sorted suffixes gives the same sums."""
-    f, n = brute_counts(corpus(4))
+    docs = [t for _, t in corpus(4)]
+    f, n = brute_counts([("x", t) for t in docs])
     every = Counter()
-    for lang, text in corpus(4):
-        for w in text_pieces(text):
+    for t in docs:
+        for w in text_pieces(t):
             for i in range(len(w)):
-                every["und" if lang is None else lang, "".join(x + " " for x in w[i:i + 4])] += 1
-    order = sorted(every, key=lambda k: (k[0].encode(), k[1].encode()))
+                every["".join(x + " " for x in w[i:i + 4]).encode()] += 1
+    order = sorted(every)
     for step in (1, 7, 50, len(order)):
         total = Counter()
         for lo in range(0, len(order), step):
             part = order[lo:lo + step]
             random.Random(lo).shuffle(part)
-            t = pa.table({"lang": [k[0] for k in part], "phrase": [k[1] for k in part], "count": pa.array([every[k] for k in part], pa.int64())})
-            for lang, phrase, words, c in co.count_prefixes(t, 9, 4):
-                total[lang, tuple(phrase.decode().split(" ")) if words else ()] += c
-        assert {k: c for k, c in total.items() if k[1] and c >= 9} == {k: c for k, c in f.items() if c >= 9}
-        assert {k[0]: c for k, c in total.items() if not k[1]} == dict(n)
+            half = len(part) // 2 + 1
+            cut = [p for p in (part[:half], part[half:]) if p]
+            got = co.count_prefixes([b"".join(x + b"\n" for x in p) for p in cut],
+                                    [np.array([every[x] for x in p], dtype=np.int64).tobytes() for p in cut], 9, 4)
+            assert len({(p, m) for p, m, _ in got}) == len(got)
+            for phrase, words, c in got:
+                total[tuple(phrase.decode().split(" ")) if words else ()] += c
+        assert total.pop(()) == n["x"]
+        assert {k: c for k, c in total.items() if c >= 9} == {k[1]: c for k, c in f.items() if c >= 9}
+
+
+def test_first_of_in_levels(spark):
+    n = 3000
+    df = spark.range(n).selectExpr("'g' as g", "cast(id % 50 as int) as s", "cast(id as string) as t")
+    got = co.first_of(df, "g", [F.desc("s"), F.asc("t")], "t", 7).orderBy("rank").collect()
+    want = sorted(((-(i % 50), str(i)) for i in range(n)))[:7]
+    assert [(r["rank"], -r["s"], r["t"]) for r in got] == [(i + 1, *w) for i, w in enumerate(want)]
 
 
 def test_long_texts_are_cut_between_pieces():
@@ -129,11 +141,13 @@ def test_long_texts_are_cut_between_pieces():
     assert all(bytes(p)[-1:] in (b",", b".") for p in got[:-1])
 
 
-def test_hot_passage_is_one_row_a_batch(spark):
+def test_hot_passage_is_sent_once_a_batch(spark):
     passage = "every third row has this passage in it"
     docs = spark.createDataFrame([("en", passage)] * 3000 + [("en", f"own{i} words{i}") for i in range(300)], "lang string, text string").coalesce(2)
-    sent = docs.mapInArrow(co._suffix_task(4), "lang string, phrase string, count long").where("phrase like 'every %'")
-    assert sent.count() <= 4 and sent.agg(F.sum("count")).first()[0] == 3000
+    sent = docs.mapInArrow(co._route_task(4, {"en": [b"f"]}), "lang string, route int, phrases binary, counts binary").collect()
+    assert {r["route"] for r in sent} == {0, 1} and len(sent) <= 4
+    assert sum(bytes(r["phrases"]).count(b"every third row has \n") for r in sent) <= 2
+    assert sum(np.frombuffer(r["counts"], dtype=np.int64).sum() for r in sent) == 3000 * 8 + 600
     got = {r["phrase"]: (r["a"], r["score"]) for r in co.collocations(docs).collect()}
     assert got["every third row has"] == (3000, 1000000) and "every third" not in got
 
