@@ -50,7 +50,7 @@ from .common import bounded_batches
 
 BREAKS = b".,;:!?\n\v\f\r"
 SPACES = b" \t"
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Text whose suffixes one task of the sorting step gets, about.
 PART_BYTES = 4 << 20
 OUT_ROWS = 100_000
@@ -118,8 +118,9 @@ def suffixes(views: list, langs: np.ndarray, max_words: int):
     group, distinct = pd.factorize(key)
     first = np.empty(len(distinct), dtype=np.int64)
     first[group[::-1]] = np.arange(n)[::-1]
-    lo, hi = at[first].tolist(), at[first + depth[first]].tolist()
-    return code[first], [text[a:b] for a, b in zip(lo, hi)], np.bincount(group)
+    code, lo, hi, count = code[first], at[first], at[first + depth[first]], np.bincount(group)
+    del words, coded, ids, key, group, distinct, first, at, depth
+    return code, [text[a:b] for a, b in zip(lo.tolist(), hi.tolist())], count
 
 
 def batch_suffixes(batch: pa.RecordBatch, max_words: int):
