@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import mcfadden_grade
 from ..functions.numeric import np_round
+from ..operators import loss_dist, prep, risk, woe
 from ..operators import models as md
-from ..operators import prep, risk, woe
 from ..operators import scorecard as sc
 from ..operators.threshold import threshold_curve
 from ..sources import german_credit as gc
@@ -44,53 +44,71 @@ def _whatif_sql(scenarios, tail: str) -> str:
 , w AS (SELECT scenario, mult, pd_max, l1, CAST(COUNT(*) AS BIGINT) AS n_loans, SUM(ead) AS ead, AVG(p) AS mean_pd, SUM(p * l1 * ead) AS el,
           sqrt(SUM(ead * ead * (p * l2 - p * l1 * p * l1))) AS sd FROM c GROUP BY ALL)
 , b AS (SELECT CAST(COUNT(*) AS BIGINT) AS n_all, SUM(credit_amount) AS ead_all, SUM(pd * 0.45 * credit_amount) AS el_all FROM loan_book)
+{loss_dist.oracle_ctes(scenarios)}
 {tail}""")
 
 
-_WHATIF = "ROUNDX(w.el, 2) AS el, ROUNDX(sd, 2) AS std"
+_CAPITAL = ["var_95", "var_99", "ec_95", "ec_99"]
+_WHATIF = "ROUNDX(w.el, 2) AS el, ROUNDX(w.sd, 2) AS std, " + ", ".join(f"ROUNDX(ld.{c}, 0) AS {c}" for c in _CAPITAL)
+_JOINED = "FROM w JOIN ld_metrics ld ON ld.scenario = w.scenario"
+
+
+def _with_capital(w, spark, sf_dir, scenarios):
+    """The moments with VaR and economic capital of the loss distribution."""
+    m = loss_dist.LossModel(loan_book(spark, sf_dir), "pd", "credit_amount", scenarios).metrics()
+    return w.join(m.select("scenario", *_CAPITAL), "scenario")   # one row a scenario
+
+
+def _capital_columns():
+    return [np_round(c, 0).alias(c) for c in _CAPITAL]
 
 
 @query("lgd_sensitivity_exact", _whatif_sql(risk.lgd_sensitivity_scenarios(), f"""
-SELECT scenario, ROUNDX(l1, 6) AS lgd, {_WHATIF}, ROUNDX(w.el / ead * 100, 6) AS el_pct FROM w"""))
+SELECT w.scenario, ROUNDX(l1, 6) AS lgd, {_WHATIF}, ROUNDX(w.el / ead * 100, 6) AS el_pct {_JOINED}"""))
 def lgd_sensitivity_exact_q(spark, sf_dir):
-    """I8 without simulation: expected loss and its standard deviation for
-    each LGD level, from the moments of independent defaults and Beta LGD."""
-    w = risk.scenario_moments(loan_book(spark, sf_dir), "pd", "credit_amount", _whatif_rows(risk.lgd_sensitivity_scenarios()))
-    return w.select("scenario", np_round("l1", 6).alias("lgd"), np_round("el", 2).alias("el"), np_round("std", 2).alias("std"),
+    """I8 without simulation: expected loss, its standard deviation, VaR and
+    economic capital for each LGD level."""
+    scen = risk.lgd_sensitivity_scenarios()
+    w = risk.scenario_moments(loan_book(spark, sf_dir), "pd", "credit_amount", _whatif_rows(scen))
+    w = _with_capital(w, spark, sf_dir, scen)
+    return w.select("scenario", np_round("l1", 6).alias("lgd"), np_round("el", 2).alias("el"), np_round("std", 2).alias("std"), *_capital_columns(),
                     np_round(F.col("el") / F.col("ead") * 100, 6).alias("el_pct"))
 
 
 @query("pd_stress_exact", _whatif_sql(risk.stress_scenarios(), f"""
-SELECT scenario, mult AS pd_mult, ROUNDX(mean_pd, 6) AS mean_pd, {_WHATIF}, ROUNDX(w.el / ead * 100, 6) AS el_pct FROM w"""))
+SELECT w.scenario, mult AS pd_mult, ROUNDX(mean_pd, 6) AS mean_pd, {_WHATIF}, ROUNDX(w.el / ead * 100, 6) AS el_pct {_JOINED}"""))
 def pd_stress_exact_q(spark, sf_dir):
     """I9 without simulation: mean stressed PD, expected loss, its standard
-    deviation and its share of the exposure."""
-    w = risk.scenario_moments(loan_book(spark, sf_dir), "pd", "credit_amount", _whatif_rows(risk.stress_scenarios()))
+    deviation and its share of the exposure, VaR and economic capital."""
+    scen = risk.stress_scenarios()
+    w = risk.scenario_moments(loan_book(spark, sf_dir), "pd", "credit_amount", _whatif_rows(scen))
+    w = _with_capital(w, spark, sf_dir, scen)
     return w.select("scenario", F.col("mult").alias("pd_mult"), np_round("mean_pd", 6).alias("mean_pd"), np_round("el", 2).alias("el"),
-                    np_round("std", 2).alias("std"), np_round(F.col("el") / F.col("ead") * 100, 6).alias("el_pct"))
+                    np_round("std", 2).alias("std"), *_capital_columns(), np_round(F.col("el") / F.col("ead") * 100, 6).alias("el_pct"))
 
 
 @query("credit_policy_exact", _whatif_sql(risk.policy_scenarios(), f"""
 SELECT pd_max AS pd_threshold, n_loans AS approved_loans, n_all - n_loans AS rejected_loans,
        ROUNDX(CAST(n_loans AS DOUBLE) / n_all * 100, 6) AS approval_rate_pct, ROUNDX(ead, 2) AS approved_ead, {_WHATIF},
-       ROUNDX((1 - w.el / el_all) * 100, 6) AS el_reduction_pct FROM w, b"""))
+       ROUNDX((1 - w.el / el_all) * 100, 6) AS el_reduction_pct {_JOINED}, b"""))
 def credit_policy_exact_q(spark, sf_dir):
-    """I10 without simulation: approvals, exposure, expected loss and its
-    reduction for each PD threshold; the book's totals come from the same
+    """I10 without simulation: approvals, exposure, expected loss, VaR, capital
+    and the reduction of loss for each PD threshold; the book's totals come from the same
     pass (a scenario that approves every loan)."""
     everything = risk.Scenario("all", 1.0, *risk.beta_params(risk.LGD_MEAN, risk.LGD_STD), pd_max=2.0)
     w = risk.scenario_moments(loan_book(spark, sf_dir), "pd", "credit_amount", _whatif_rows([everything, *risk.policy_scenarios()]))
     total = w.where("scenario = 'all'").select(F.lit(1).alias("k"), F.col("n_loans").alias("n_all"), F.col("el").alias("el_all"))
     j = w.where("scenario <> 'all'").withColumn("k", F.lit(1)).join(total, "k")   # one row of totals
+    j = _with_capital(j, spark, sf_dir, risk.policy_scenarios())
     return j.select(F.col("pd_max").alias("pd_threshold"), F.col("n_loans").alias("approved_loans"),
                     (F.col("n_all") - F.col("n_loans")).alias("rejected_loans"),
                     np_round(F.col("n_loans").cast("double") / F.col("n_all") * 100, 6).alias("approval_rate_pct"),
-                    np_round("ead", 2).alias("approved_ead"), np_round("el", 2).alias("el"), np_round("std", 2).alias("std"),
+                    np_round("ead", 2).alias("approved_ead"), np_round("el", 2).alias("el"), np_round("std", 2).alias("std"), *_capital_columns(),
                     np_round((1 - F.col("el") / F.col("el_all")) * 100, 6).alias("el_reduction_pct"))
 
 
 _SUMMARY_SQL = _whatif_sql([risk.base_scenario()], """
-, t AS (SELECT ROUNDX(ead, 2) AS total_exposure, ROUNDX(w.el, 2) AS expected_loss, ROUNDX(w.el / ead, 6) AS el_pct, ROUNDX(sd, 2) AS std FROM w)
+, t AS (SELECT ROUNDX(ead, 2) AS total_exposure, ROUNDX(w.el, 2) AS expected_loss, ROUNDX(w.el / ead, 6) AS el_pct, ROUNDX(w.sd, 2) AS std FROM w)
 SELECT metric, value FROM (UNPIVOT t ON total_exposure, expected_loss, el_pct, std INTO NAME metric VALUE value)""")
 
 
