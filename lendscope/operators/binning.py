@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import CacheScope, _persist, exact_quantiles, quantile_columns, unpivot_numeric
+from .ordered import CacheScope, unpivot_numeric
+from .quantiles import Selection, select
 
 
 def qcut_probs(bins: int) -> list[float]:
@@ -82,29 +83,25 @@ def fit_quantile_edges(df: DataFrame, numeric_cols: list[str], bins: int = 10,
                      for c in numeric_cols]).first()
         return BinEdges({c: sorted(set(float(v) for v in (r[c] or []))) for c in numeric_cols})
     with CacheScope():
-        q = quantile_columns(df, numeric_cols, probs, local_limit=local_limit)
-        rows = q.select("feature", "q_idx", "q").collect()  # <= features x (bins + 1) rows
-    edges: dict[str, list[float]] = {f: [] for f in numeric_cols}
-    for r in sorted(rows, key=lambda r: (r["feature"], r["q_idx"])):
-        edges[r["feature"]].append(float(r["q"]))
-    return BinEdges({f: sorted(set(v)) for f, v in edges.items()})
+        return edges_of(select(df, numeric_cols, probs, local_limit=local_limit), numeric_cols)
+
+
+def edges_of(selection: Selection, numeric_cols: list[str]) -> BinEdges:
+    """The distinct quantiles of each column."""
+    return BinEdges({f: sorted({float(v) for v in selection.values.get(((), f), [])}) for f in numeric_cols})
 
 
 def quantile_bin_table(df: DataFrame, numeric_cols: list[str], bins: int = 10,
                        edges: BinEdges | None = None) -> DataFrame:
     """D1 as a table: (feature, bin_id, lo, hi, n) with row counts per bin.
-    The rows are read once: counts per distinct value give both the exact
-    edges and the bin counts."""
+    The slot counts of the selection give the bin counts, too."""
     spark = df.sparkSession
     with CacheScope():
-        dist = _persist(unpivot_numeric(df, numeric_cols).groupBy("feature", "value").agg(
-            F.count(F.lit(1)).alias("rows")))
         if edges is None:
-            q = exact_quantiles(dist, ["feature"], "value", qcut_probs(bins), weight_col="rows")
-            found: dict[str, list[float]] = {f: [] for f in numeric_cols}
-            for r in q.select("feature", "q").collect():   # <= features x (bins + 1) rows
-                found[r["feature"]].append(float(r["q"]))
-            edges = BinEdges({f: sorted(set(v)) for f, v in found.items()})
+            found = select(df, numeric_cols, qcut_probs(bins))
+            edges, dist = edges_of(found, numeric_cols), found.slots.withColumnRenamed("rep", "value")
+        else:
+            dist = unpivot_numeric(df, numeric_cols).withColumn("rows", F.lit(1))
         bin_of = None
         for f in numeric_cols:
             b = edges.bin_id(f, F.col("value"))

@@ -17,7 +17,8 @@ from ..functions.labels import ks_grade
 from ..functions.numeric import clip, np_round
 from ..functions.pvalues import chi2_sf
 from .binning import qcut_probs
-from .ordered import CacheScope, exact_quantiles, prefix_sums
+from .ordered import CacheScope, prefix_sums
+from .quantiles import select
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (log-loss clipping)
 
@@ -207,11 +208,8 @@ def _decile_bins(df, score, group_cols, n_bins, local_limit):
     """Quantile edges of the score per group -> bin id expression."""
     g = group_cols or []
     with CacheScope():
-        q = exact_quantiles(df.where(F.col(score).isNotNull()), g, score, qcut_probs(n_bins), local_limit)
-        rows = q.collect()  # groups x (n_bins + 1)
-    per: dict = {}
-    for r in rows:
-        per.setdefault(tuple(r[c] for c in g), set()).add(float(r["q"]))
+        found = select(df, [score], qcut_probs(n_bins), g, local_limit=local_limit).values   # groups x (n_bins + 1)
+    per = {group: {float(v) for v in q} for (group, _), q in found.items()}
     p = F.col(score).cast("double")
     expr = None
     lo_hi = []

@@ -3,7 +3,7 @@
 Every operator handles all requested columns in one pass (or two when a
 second pass needs fitted bounds), unpivoting to a long (feature, value)
 layout so that the number of columns never turns into a Python loop of
-jobs.  Quantiles are exact (see ``ordered.exact_quantiles``).
+jobs.  Quantiles are exact (see ``quantiles.select``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
 
-from .ordered import CacheScope, _persist, exact_quantiles, unpivot_numeric
+from .ordered import CacheScope, _persist, unpivot_numeric
+from .quantiles import select
 
 
 def basic_info(df: DataFrame, target: str) -> DataFrame:
@@ -89,56 +90,38 @@ def corr_pairs(df: DataFrame, cols: list[str], min_abs: float | None = None) ->
 
 def describe(df: DataFrame, numeric_cols: list[str], local_limit: int | None = None) -> DataFrame:
     """(feature, count, mean, std, min, q25, q50, q75, max), 2 dp, exact
-    quartiles (linear interpolation).  The rows are read once: moments and
-    quartiles both come from the counts per distinct value."""
-    dist = (unpivot_numeric(df, numeric_cols).where(F.col("value").isNotNull())
-            .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows")))
-    dist = _persist(dist)
-    v, n = F.col("value"), F.col("rows")
-    first = dist.groupBy("feature").agg(F.sum("rows").alias("count"), (F.sum(v * n) / F.sum("rows")).alias("mean"),
-                                        F.min("value").alias("min"), F.max("value").alias("max"))
-    # squares around the mean (features x 1 rows, so the join is a broadcast)
-    dev = dist.join(F.broadcast(first.select("feature", "mean")), "feature").groupBy("feature").agg(
-        F.sum((v - F.col("mean")) * (v - F.col("mean")) * n).alias("ss"))
-    q = exact_quantiles(dist, ["feature"], "value", [0.25, 0.5, 0.75], local_limit, weight_col="rows")
-    qw = q.groupBy("feature").pivot("q_idx", [0, 1, 2]).agg(F.first("q"))
-    std = F.when(F.col("count") > 1, F.sqrt(F.col("ss") / (F.col("count") - 1)))
-    j = first.join(dev, "feature").join(qw, "feature").withColumn("std", std)
-    return j.select("feature", "count", *[np_round(c, 2).alias(c) for c in ["mean", "std", "min"]],
-                    np_round(F.col("0"), 2).alias("q25"), np_round(F.col("1"), 2).alias("q50"),
-                    np_round(F.col("2"), 2).alias("q75"), np_round("max", 2).alias("max"))
+    quartiles (linear interpolation).  Two scans: moments and sketch, then
+    the slots of the bracketed selection."""
+    names = ["count", "mean", "std", "min", "max"]
+    with CacheScope():
+        got = select(df, numeric_cols, [0.25, 0.5, 0.75], local_limit=local_limit, extra={
+            "count": F.count, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")),
+            "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double"))})
+    rows = [(f, *[got.extra[(), f][n] for n in names], *[float(v) for v in got.values[(), f]]) for f in numeric_cols if ((), f) in got.values]
+    t = df.sparkSession.createDataFrame(rows, "feature string, count long, mean double, std double, min double, max double, "
+                                              "q25 double, q50 double, q75 double")   # one row a feature
+    return t.select("feature", "count", *[np_round(c, 2).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
 def iqr_outliers(df: DataFrame, numeric_cols: list[str], k: float = 1.5,
                  local_limit: int | None = None) -> DataFrame:
     """Q1/Q3 (exact, linear), bounds Q -/+ k IQR, strict outlier counts.
 
-    The rows are read once: counts per distinct value (nulls included, for
-    the row total) give the quartiles and then the outlier counts against
-    the bounds (features x 2 literals)."""
+    Two scans for the quartiles, one that counts against the bounds
+    (features x 2 literals); nulls count for the row total."""
     spark = df.sparkSession
     with CacheScope():
-        dist = _persist(unpivot_numeric(df, numeric_cols).groupBy("feature", "value").agg(
-            F.count(F.lit(1)).alias("rows")))
-        q = exact_quantiles(dist, ["feature"], "value", [0.25, 0.75], local_limit, weight_col="rows")
-        qs = {}
-        for r in q.collect():  # 2 rows per feature
-            qs.setdefault(r["feature"], {})[r["q_idx"]] = r["q"]
-        bounds = []
-        for c in numeric_cols:
-            q1, q3 = qs[c][0], qs[c][1]
-            bounds.append((c, q1, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1)))
-        b = spark.createDataFrame(bounds, "feature string, q1 double, q3 double, lower double, upper double")
-        v = F.col("value")
-        out_flag = (v < F.col("lower")) | (v > F.col("upper"))
-        counts = dist.join(F.broadcast(b), "feature").groupBy("feature", "q1", "q3", "lower", "upper").agg(
-            F.sum(F.when(out_flag, F.col("rows")).otherwise(0)).alias("outliers"), F.sum("rows").alias("n"))
-        res = counts.select(
-            "feature", "q1", "q3", np_round("lower", 2).alias("lower_bound"), np_round("upper", 2).alias("upper_bound"),
-            F.col("outliers").cast("bigint").alias("outliers"),
-            np_round(F.col("outliers") * 100.0 / F.col("n"), 2).alias("outlier_pct")).persist()
-        res.count()   # small result, materialized before the distinct counts are released
-    return res
+        qs = select(df, numeric_cols, [0.25, 0.75], local_limit=local_limit).values
+    bounds = [(c, q[0], q[1], q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) for c in numeric_cols if (q := qs.get(((), c))) is not None]
+    counted = [F.count(F.lit(1)).alias("n")]
+    for i, (c, _, _, lower, upper) in enumerate(bounds):
+        x = F.col(c).cast("double")
+        counted.append(F.count(F.when((x < lower) | (x > upper), 1)).alias(f"o{i}"))
+    r = df.agg(*counted).first()   # one row
+    rows = [(*b, r[f"o{i}"], r["n"]) for i, b in enumerate(bounds)]
+    t = spark.createDataFrame(rows, "feature string, q1 double, q3 double, lower double, upper double, outliers long, n long")
+    return t.select("feature", "q1", "q3", np_round("lower", 2).alias("lower_bound"), np_round("upper", 2).alias("upper_bound"),
+                    "outliers", np_round(F.col("outliers") * 100.0 / F.col("n"), 2).alias("outlier_pct"))
 
 
 def histogram_by_class(df: DataFrame, col: str, target: str, bins: int = 20) -> DataFrame:
@@ -190,22 +173,26 @@ def histograms_by_class(df: DataFrame, cols: list[str], target: str, bins: int =
 
 def box_stats(df: DataFrame, numeric_cols: list[str], target: str, local_limit: int | None = None) -> DataFrame:
     """Per (feature, class): min, q1, median, q3, max, mean and
-    1.5-IQR whisker ends (most extreme data inside the fences).  The rows are
-    read once, into counts per distinct value."""
-    dist = (unpivot_numeric(df, numeric_cols, ids=[target]).where(F.col("value").isNotNull())
-            .groupBy("feature", target, "value").agg(F.count(F.lit(1)).alias("rows")))
-    dist = _persist(dist)
-    q = exact_quantiles(dist, ["feature", target], "value", [0.25, 0.5, 0.75], local_limit, weight_col="rows")
-    qw = q.groupBy("feature", target).pivot("q_idx", [0, 1, 2]).agg(F.first("q")).select(
-        "feature", target, F.col("0").alias("q1"), F.col("1").alias("median"), F.col("2").alias("q3"))
-    # fences per (feature, class): features x classes rows -> broadcast
-    fences = qw.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lf"),
-                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_uf"))
-    j = dist.join(F.broadcast(fences), ["feature", target])
-    v, n = F.col("value"), F.col("rows")
-    agg = j.groupBy("feature", target, "q1", "median", "q3").agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.sum(n).alias("n"),
-        F.min(F.when(v >= F.col("_lf"), v)).alias("whisker_lo"),
-        F.max(F.when(v <= F.col("_uf"), v)).alias("whisker_hi"))
-    return agg.select("feature", F.col(target).alias("target"), "n", "min", "q1", "median", "q3", "max",
-                      "mean", "whisker_lo", "whisker_hi")
+    1.5-IQR whisker ends (most extreme data inside the fences).  Two scans for
+    the quartiles, with the moments in the first; one for the whiskers."""
+    kept = df.select(F.col(target).alias("target"), *[F.col(c).cast("double").alias(c) for c in numeric_cols])
+    with CacheScope():
+        got = select(kept, numeric_cols, [0.25, 0.5, 0.75], ["target"], {"n": F.count, "min": F.min, "max": F.max, "mean": F.avg},
+                     local_limit=local_limit)
+    fence = {k: (q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])) for k, q in got.values.items()}
+    ends = []
+    for i, c in enumerate(numeric_cols):
+        lo = hi = None
+        for (group, name), (a, b) in fence.items():
+            if name == c:
+                own = F.col("target").eqNullSafe(F.lit(group[0]))
+                lo = F.when(own, a) if lo is None else lo.when(own, a)
+                hi = F.when(own, b) if hi is None else hi.when(own, b)
+        if lo is not None:
+            ends += [F.min(F.when(F.col(c) >= lo, F.col(c))).alias(f"a{i}"), F.max(F.when(F.col(c) <= hi, F.col(c))).alias(f"b{i}")]
+    whisker = {r["target"]: r for r in kept.groupBy("target").agg(*ends).collect()} if ends else {}   # one row a class
+    rows = [(c, group[0], x["n"], x["min"], *[float(v) for v in q], x["max"], x["mean"], whisker[group[0]][f"a{i}"], whisker[group[0]][f"b{i}"])
+            for i, c in enumerate(numeric_cols) for (group, name), q in got.values.items() if name == c for x in [got.extra[group, c]]]
+    kind = kept.schema["target"].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"feature string, target {kind}, n long, min double, q1 double, median double, q3 double, "
+                                                 "max double, mean double, whisker_lo double, whisker_hi double")

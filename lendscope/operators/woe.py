@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import np_round
 
 from ..functions.labels import iv_strength
-from .binning import BinEdges, fit_quantile_edges, qcut_probs
-from .ordered import CacheScope, _persist, exact_quantiles
+from .binning import BinEdges, edges_of, fit_quantile_edges, qcut_probs
+from .ordered import CacheScope
+from .quantiles import select
 
 MAP_LITERAL_LIMIT = 5_000
 
@@ -162,28 +163,14 @@ def bin_counts(df: DataFrame, target: str, numeric_cols: list[str], categorical_
     )
 
 
-def value_counts(df: DataFrame, target: str, numeric_cols: list[str], categorical_cols: list[str]) -> DataFrame:
-    """One pass over the rows: (feature, num, cat, rows, total, events) per
-    distinct value of every feature (numeric values in ``num``, categorical
-    levels in ``cat``; nulls kept)."""
-    structs = ([F.struct(F.col(f).cast("double").alias("num"), F.lit(None).cast("string").alias("cat")).alias(f)
-                for f in numeric_cols]
-               + [F.struct(F.lit(None).cast("double").alias("num"), F.col(c).cast("string").alias("cat")).alias(c)
-                  for c in categorical_cols])
-    long = df.select(F.col(target).alias("_y"), *structs).unpivot(["_y"], numeric_cols + categorical_cols,
-                                                                   "feature", "v")
-    return long.groupBy("feature", F.col("v.num").alias("num"), F.col("v.cat").alias("cat")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count("_y").alias("total"), F.sum("_y").alias("events"))
-
-
 def fit_woe(df: DataFrame, target: str, numeric_cols: list[str], categorical_cols: list[str],
             bins: int = 10, epsilon: float = 0.5, edges: BinEdges | None = None,
             local_limit: int | None = None, edge_method: str = "exact") -> WoeModel:
     """WoE tables of all features.
 
-    The rows are read once: one aggregate gives counts per distinct value of
-    every feature; exact quantile edges come from those (weighted) counts
-    and the bin counts are re-aggregated from them.  With given edges or
+    Two narrow scans: a sketch, then the slot counts of the bracketed
+    selection (with the categorical levels beside), which give the exact
+    quantile edges and, re-aggregated, the bin counts.  With given edges or
     ``edge_method="approx"`` the edges are fitted first and the rows are
     binned directly."""
     if edges is not None or edge_method != "exact" or not numeric_cols:
@@ -192,18 +179,14 @@ def fit_woe(df: DataFrame, target: str, numeric_cols: list[str], categorical_col
         table = woe_table_from_counts(counts, numeric_cols, edges, epsilon).persist()
         return WoeModel(edges, table, list(numeric_cols), list(categorical_cols))
     with CacheScope():
-        dist = _persist(value_counts(df, target, numeric_cols, categorical_cols))
-        num = dist.where(F.col("feature").isin(numeric_cols))
-        q = exact_quantiles(num, ["feature"], "num", qcut_probs(bins), local_limit, weight_col="rows")
-        found: dict[str, list[float]] = {f: [] for f in numeric_cols}
-        for r in q.select("feature", "q").collect():     # <= features x (bins + 1) rows
-            found[r["feature"]].append(float(r["q"]))
-        edges = BinEdges({f: sorted(set(v)) for f, v in found.items()})
+        sel = select(df, numeric_cols, qcut_probs(bins), sums={"total": F.col(target).isNotNull().cast("int"), "events": F.col(target)},
+                     levels=categorical_cols, local_limit=local_limit)
+        edges, dist = edges_of(sel, numeric_cols), sel.slots
         bin_of = None
         for f in numeric_cols:
-            b = edges.bin_id(f, F.col("num")).cast("string")
+            b = edges.bin_id(f, F.col("rep")).cast("string")
             bin_of = F.when(F.col("feature") == f, b) if bin_of is None else bin_of.when(F.col("feature") == f, b)
-        key = bin_of.otherwise(F.col("cat"))
+        key = bin_of.otherwise(F.col("level"))
         counts = dist.groupBy("feature", key.alias("bin_key")).agg(
             F.sum("events").alias("events"), F.sum("total").alias("total"), F.sum("rows").alias("rows"))
         table = woe_table_from_counts(counts, numeric_cols, edges, epsilon).persist()
