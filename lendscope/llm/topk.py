@@ -17,8 +17,11 @@ smallest vector in order); a query isn't compared with rows of its own id.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part, neither do rows with a null id; vectors are compared
-only with those of equal dimension; scores are 64-bit integers, and scaled
-components beyond 2**28 are cut there, so that no sum overflows.  Fewer than k candidates: all of them.
+only with those of equal dimension; scores are 64-bit integers: where sums of
+products could pass 64 bits they are taken in Python's integers, and a score
+or scaled component that doesn't fit in 64 bits is an error, never cut.  Fewer
+than k candidates: all of them; empty tables give no rows; ties go to the
+smaller id; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,6 +58,17 @@ def lower_bounds(q_stat, q_norm, c_stat, c_norm) -> np.ndarray:
     return q_norm[:, None] + c_norm[None, :] - 2 * (q_stat @ c_stat.T)
 
 
+def exact_scores(c: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+    """Integer inner products of the rows of ``c`` with ``q``; ``bound`` is
+    the largest possible absolute sum, as a double."""
+    if bound < 2.0 ** 62:
+        return c @ q
+    score = c.astype(object) @ q.astype(object)
+    if any(abs(s) >= 1 << 63 for s in score):
+        raise OverflowError("a score doesn't fit in 64 bits")
+    return score.astype(np.int64)
+
+
 def best(q_id, q, c_id, c, k: int):
     """(query, candidate, score) of the k best candidates of each query;
     q and c are integer matrices."""
@@ -63,6 +77,7 @@ def best(q_id, q, c_id, c, k: int):
     qs, cs = [segment_statistics(qf, s) for s in levels], [segment_statistics(cf, s) for s in levels]
     qn, cn = (qf * qf).sum(axis=1), (cf * cf).sum(axis=1)
     out = []
+    reach = float(np.abs(cf).max(initial=0.0)) * np.abs(qf).sum(axis=1)
     for i in range(len(q)):
         top_s, top_c, floor = np.empty(0, np.int64), np.empty(0, np.int64), None
         slack = 1e-9 * (qn[i] + cn.max(initial=0.0)) + 1.0  # rounding of the bounds
@@ -81,7 +96,7 @@ def best(q_id, q, c_id, c, k: int):
             idx = idx[c_id[idx] != q_id[i]]
             if not len(idx):
                 continue
-            score = np.concatenate([top_s, c[idx] @ q[i]])
+            score = np.concatenate([top_s, exact_scores(c[idx], q[i], reach[i])])
             who = np.concatenate([top_c, c_id[idx]])
             keep = np.lexsort((who, -score))[:k]
             top_s, top_c = score[keep], who[keep]
@@ -105,12 +120,17 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> Data
     """query_id, rank, vec_id, score: the k highest integer inner products of
     each query (rows where ``is_query``) over floor(scale * component)."""
     bounded_batches(vectors.sparkSession)
-    limit = float(1 << 28)
+    limit = float(1 << 63)
+
+    def whole(x):
+        y = x * scale
+        return F.when(F.abs(y) < limit, F.floor(y)).otherwise(F.raise_error(F.lit("a scaled component doesn't fit in 64 bits")).cast("long"))
+
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     fine = (F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)
             & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     src = (src.where(F.coalesce(fine, F.lit(False)))
-           .select("vec_id", F.transform("e", lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(limit)), F.lit(-limit))).cast("long")).alias("v"),
+           .select("vec_id", F.transform("e", whole).alias("v"),
                    F.size("e").alias("dim")))
     queries = src.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v")
     sizes = {r["side"]: r["n"] for r in src.agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(1))
