@@ -8,8 +8,9 @@ its siblings by their weights, and only what no sibling can take is left to
 the ancestors, whose other children have got it by the same rule one level
 up (a subtree's capacity is known before its parent shares).  Within a leaf
 the budget is a prefix of tokens of its seeded epochs: every epoch is the
-leaf's documents in the order of md5(seed|epoch|doc_id), one epoch after the
-other, and the last document is taken in part (``tokens_taken``).
+leaf's rows in the order of md5(seed|epoch|doc_id) and, for rows that share an
+id, md5(text); one epoch after the other, and the last row is taken in part
+(``tokens_taken``).
 
 Shares are exact: a child whose share reaches its capacity gets the capacity,
 the others floor(rest * weight / weights of the others), in whole numbers.
@@ -17,13 +18,17 @@ the others floor(rest * weight / weights of the others), in whole numbers.
 Plan: one slim table (ids and token counts, no text) is written once; the
 tree is an aggregate with one row per leaf; a leaf's cut is found from 4,096
 partial sums over the leading hex digits of the order key, then inside the
-one bucket that holds it, so a leaf with a third of all rows is never sorted
-or gathered; the cuts (one row per leaf) are joined to the documents.
+one bucket that holds it, then in the same two steps among the texts of the
+one id, so neither a leaf nor an id (null, say) with a third of all rows is
+ever sorted or gathered; the cuts (one row per leaf) are joined to the
+documents.  Equal texts under one id are counted, not listed; which of them
+are taken at the cut is decided by their number among the cut's rows, from
+counts per input partition.
 
 Defined results: texts that are null or have no words give no tokens and are
-not selected; null level values form a node of their own; rows that share a
-doc_id within a leaf are taken together; a null doc_id counts as the empty
-text in the order key; weights not named are ``1``, and a node of weight 0
+not selected; null level values form a node of their own; every row is a
+document of its own, whatever its id, and a leaf never gives more than its
+budget; a null doc_id counts as the empty text in the order key; weights not named are ``1``, and a node of weight 0
 or less gives nothing.  An empty table gives no rows.
 """
 
@@ -102,8 +107,9 @@ def plan(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
     """One row per leaf: levels, supply, alloc, full (whole epochs), rest,
     cut (order key of the last document), cut_left (its tokens)."""
     spark = docs.sparkSession
-    slim = materialize(spark, docs.select("doc_id", *levels, token_count(F.col("text")).alias("n_tokens"))
-                       .where("n_tokens > 0").groupBy("doc_id", *levels).agg(F.sum("n_tokens").alias("n_tokens")), "mix-slim")
+    slim = materialize(spark, docs.select("doc_id", *levels, token_count(F.col("text")).alias("n"), F.md5(F.col("text").cast("binary")).alias("h"))
+                       .where("n > 0").groupBy("doc_id", *levels, "h").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+                       .withColumn("n_tokens", F.col("n") * F.col("copies")), "mix-slim")
     leaves = slim.groupBy(*levels).agg(F.sum("n_tokens").alias("supply"))
     leaf = budgets(leaves, levels, weights, budget, max_epochs)
     leaf = materialize(spark, leaf.withColumn("full", F.expr("cast(alloc div supply as int)"))
@@ -111,21 +117,34 @@ def plan(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
     right = leaf.where("rest > 0").select(*[F.col(c).alias(f"__{c}") for c in levels], "full", "rest")
     keyed = slim.join(right, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in levels]).drop(*[f"__{c}" for c in levels])
     keyed = keyed.withColumn("key", _key(seed, F.col("full"), F.col("doc_id"))).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    keyed = materialize(spark, keyed.select(*levels, "rest", "key", "bucket", "n_tokens"), "mix-keys")
-    sums = keyed.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("t"), F.max("rest").alias("rest"))
-    run = W.partitionBy(*levels).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    cut = (sums.withColumn("upto", F.sum("t").over(run)).where("upto >= rest and upto - t < rest")
-           .select(*[F.col(c).alias(f"__{c}") for c in levels], F.col("bucket").alias("__bucket"), (F.col("upto") - F.col("t")).alias("before")))
-    inside = keyed.join(cut, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*levels, "bucket"]]).drop(*[f"__{c}" for c in [*levels, "bucket"]])
-    run = W.partitionBy(*levels).orderBy("key").rowsBetween(W.unboundedPreceding, 0)
-    last = (inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(run))
-            .where("upto >= rest and upto - n_tokens < rest")
-            .select(*[F.col(c).alias(f"__{c}") for c in levels], F.col("key").alias("cut"),
-                    (F.col("rest") - F.col("upto") + F.col("n_tokens")).alias("cut_left")))
+    keyed = materialize(spark, keyed.select(*levels, "rest", F.lit(0).cast("long").alias("before"), "key", "bucket", "h",
+                                            F.substring("h", 1, BUCKET_DIGITS).alias("part"), "n", "n_tokens"), "mix-keys")
+    for by in ("bucket", "key", "part"):
+        keyed = _inside(keyed, levels, by)
+    last = (_cut(keyed, levels, "h", F.max("n").alias("n"), F.max("key").alias("key"))
+            .select(*[F.col(f"__{c}") for c in levels], F.col("key").alias("cut"), F.col("__h").alias("cut_text"), F.col("n").alias("cut_n"),
+                    (F.col("rest") - F.col("before")).alias("cut_left")))
     out = (leaf.join(last, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in levels], "left").drop(*[f"__{c}" for c in levels]))
     return materialize(spark, out, "mix-plan")
 
 
+def _cut(keyed: DataFrame, levels: list[str], by: str, *more: Column) -> DataFrame:
+    """For each leaf the value of ``by`` at which the running sum of tokens
+    reaches ``rest``, with the tokens before it; columns named with ``__``."""
+    sums = keyed.groupBy(*levels, by).agg(F.sum("n_tokens").alias("t"), F.max("rest").alias("rest"), F.max("before").alias("before"), *more)
+    run = W.partitionBy(*levels).orderBy(by).rowsBetween(W.unboundedPreceding, 0)
+    got = sums.withColumn("upto", F.col("before") + F.sum("t").over(run)).where("upto >= rest and upto - t < rest")
+    return got.withColumn("before", F.col("upto") - F.col("t")).withColumnsRenamed({c: f"__{c}" for c in [*levels, by]})
+
+
+def _inside(keyed: DataFrame, levels: list[str], by: str) -> DataFrame:
+    """The rows at the cut's value of ``by``, with the tokens before them."""
+    at = _cut(keyed, levels, by).select(*[F.col(f"__{c}") for c in levels], F.col(f"__{by}").alias("__at"),
+                                        F.col("before").alias("__before"))
+    cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in levels] + [F.col(by) == F.col("__at")]
+    return keyed.join(at, cond).withColumn("before", F.col("__before")).select(*keyed.columns)
+
+
 def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget: Column, max_epochs: int = 1,
         seed: int = 17) -> DataFrame:
     """The selected rows of ``docs`` with epoch, n_tokens and tokens_taken
@@ -134,18 +153,31 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
     ``budget`` is a Column over ``supply``, the tokens of all documents."""
     drop = {"epoch", "n_tokens", "tokens_taken"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in drop])
+    spark = docs.sparkSession
     cuts = plan(docs, levels, weights, budget, max_epochs, seed).select(
-        *[F.col(c).alias(f"__{c}") for c in levels], "full", "cut", "cut_left")
-    cuts = cuts.withColumnsRenamed({"full": "__full", "cut": "__cut", "cut_left": "__left"})
+        *[F.col(c).alias(f"__{c}") for c in levels], *[F.col(c).alias(f"__{c}") for c in ("full", "cut", "cut_text", "cut_n", "cut_left")])
     names = docs.columns
-    rows = (docs.withColumn("n_tokens", token_count(F.col("text"))).where("n_tokens > 0")
-            .join(cuts, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in levels])
-            .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__full"))))
-            .withColumn("__key", F.when(F.col("epoch") == F.col("__full"), _key(seed, F.col("epoch"), F.col("doc_id"))))
-            .where((F.col("epoch") < F.col("__full")) | (F.col("__key") <= F.col("__cut"))))
-    taken = F.when((F.col("epoch") == F.col("__full")) & (F.col("__key") == F.col("__cut")),
-                   F.least("n_tokens", "__left")).otherwise(F.col("n_tokens"))
-    return rows.select(*[F.col(f"`{c}`") for c in names], "epoch", "n_tokens", taken.cast("long").alias("tokens_taken"))
+    rows = (docs.join(cuts, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in levels])
+            .withColumn("__key", _key(seed, F.col("__full"), F.col("doc_id"))).withColumn("__h", F.md5(F.col("text").cast("binary"))))
+    at_cut = (F.col("__key") == F.col("__cut")) & (F.col("__h") == F.col("__cut_text"))
+    before = F.coalesce((F.col("__key") < F.col("__cut")) | ((F.col("__key") == F.col("__cut")) & (F.col("__h") < F.col("__cut_text"))), F.lit(False))
+    out = [F.col(f"`{c}`") for c in names]
+    counted = rows.withColumn("n_tokens", token_count(F.col("text"))).where("n_tokens > 0")
+    whole = (counted.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__full"))))
+             .where((F.col("epoch") < F.col("__full")) | before)
+             .select(*out, "epoch", "n_tokens", F.col("n_tokens").alias("tokens_taken")))
+    # the rows at a leaf's cut: one, or the equal texts of one id
+    cut = materialize(spark, counted.where(at_cut).select(*[F.col(f"`{c}`") for c in {*names, "__full", "__cut_left", "n_tokens"}])
+                      .withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33)), "mix-cut")
+    sizes = cut.groupBy(*levels, "__part").agg(F.count(F.lit(1)).alias("__m"))
+    ahead = sizes.withColumn("__ahead", F.coalesce(F.sum("__m").over(W.partitionBy(*levels).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ahead = ahead.select(*[F.col(c).alias(f"__{c}") for c in levels], F.col("__part").alias("__p"), "__ahead")
+    number = F.col("__ahead") + F.row_number().over(W.partitionBy(*levels, "__part").orderBy("__row")) - 1
+    taken = F.greatest(F.least(F.col("n_tokens"), F.col("__cut_left") - F.col("__number") * F.col("n_tokens")), F.lit(0))
+    last = (cut.join(ahead, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in levels] + [F.col("__part") == F.col("__p")])
+            .withColumn("__number", number).withColumn("tokens_taken", taken.cast("long")).where("tokens_taken > 0")
+            .select(*out, F.col("__full").alias("epoch"), "n_tokens", "tokens_taken"))
+    return whole.unionByName(last)
 
 
 #: Weights of the registered query.
@@ -181,7 +213,7 @@ def oracle_sql(fraction_percent: int, max_epochs: int, seed: int) -> str:
     word = r"[^ \t\n\x0B\f\r]+"
     return f"""
 WITH d AS (
-  SELECT doc_id, lang, source, len(regexp_extract_all(text, '{word}')) AS n_tokens,
+  SELECT doc_id, lang, source, md5(text) AS h, len(regexp_extract_all(text, '{word}')) AS n_tokens,
     CASE TRY_CAST(regexp_extract(COALESCE(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER) % 3
       WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'forum' ELSE 'other' END AS domain
   FROM documents),
@@ -197,7 +229,7 @@ leaf AS (SELECT a3.*, c3.supply, CAST(b // supply AS INTEGER) AS fl, b % supply
   ON a3.domain IS NOT DISTINCT FROM c3.domain AND a3.lang IS NOT DISTINCT FROM c3.lang AND a3.source IS NOT DISTINCT FROM c3.source),
 k AS (SELECT t.*, leaf.fl, leaf.rest, md5('{seed}|' || fl || '|' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS key FROM t JOIN leaf
   ON t.domain IS NOT DISTINCT FROM leaf.domain AND t.lang IS NOT DISTINCT FROM leaf.lang AND t.source IS NOT DISTINCT FROM leaf.source),
-r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM k),
+r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, h ROWS UNBOUNDED PRECEDING) AS upto FROM k),
 x AS (SELECT *, unnest(range(0, fl + 1)) AS epoch FROM r)
 SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens,
   CAST(CASE WHEN epoch < fl THEN n_tokens ELSE least(n_tokens, rest - upto + n_tokens) END AS BIGINT) AS tokens_taken
