@@ -27,6 +27,7 @@ from .common import map_texts
 
 SEGMENT = 1024
 LEVEL = 6
+LONG_WORD, PIECE = 256, 16
 
 
 def fit(docs: DataFrame, train, dictionary_bytes: int = 64 * 1024, per_language: int = 200,
@@ -50,7 +51,9 @@ def fit(docs: DataFrame, train, dictionary_bytes: int = 64 * 1024, per_language:
     by: dict[str, list] = {}
     for r in taken.collect():
         by.setdefault(r["lang"], []).append((r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return {k: v for k in sorted(by) if len(v := raw_content([t for *_, t in sorted(by[k])], dictionary_bytes)) >= 8}
+    # zstandard takes raw content of 8 bytes or more; every language stays
+    made = {k: raw_content([t for *_, t in sorted(by[k])], dictionary_bytes) for k in sorted(by)}
+    return {k: v if len(v) >= 8 else v * 8 for k, v in made.items()}
 
 
 def raw_content(texts: list[str], dictionary_bytes: int) -> bytes:
@@ -58,11 +61,13 @@ def raw_content(texts: list[str], dictionary_bytes: int) -> bytes:
     last (nearest to the text, where zstandard codes them shortest), cut at
     ``dictionary_bytes``.  Single words rather than running text: a passage
     that a sampled document shares with texts of another language can't match
-    as a whole."""
+    as a whole.  Words of over ``LONG_WORD`` characters (languages that write
+    no spaces) are cut into pieces of ``PIECE``."""
     count: dict[str, int] = {}
     for t in texts:
-        for w in t.lower().split():
-            count[w] = count.get(w, 0) + 1
+        for word in t.lower().split():
+            for w in [word] if len(word) <= LONG_WORD else [word[i:i + PIECE] for i in range(0, len(word), PIECE)]:
+                count[w] = count.get(w, 0) + 1
     out, size = [], 0
     for w in sorted(count, key=lambda w: (-count[w], w)):
         b = w.encode("utf-8", "replace") + b" "
