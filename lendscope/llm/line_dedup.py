@@ -20,7 +20,8 @@ on the row number.
 Defined results of runs: every row is a document of its own, whatever its id
 (null, shared or not); a null text stays null and an empty text empty; a text
 whose lines are all removed becomes empty; rows with null id come before all
-others.  Empty lines are lines.  Other columns pass through; ``n_chars``, if
+others.  Empty lines are lines, but two blank lines are no run of their own.
+Other columns pass through; ``n_chars``, if
 there, is set to the new text's length where the text changed.
 
 Chunks (``dedup_lines``): the lines of a text are hashed; a rolling hash over
@@ -115,12 +116,13 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: i
 
 def line_pairs(text: Column) -> Column:
     """array<struct<pos, len, key>>: each pair of neighbouring lines of a text
-    with two lines or more, as its first line's position, its length and the
-    SHA-256 of its bytes."""
+    with two lines or more, as its first line's position, its length (0 if both
+    are blank) and the SHA-256 of its bytes."""
     def pairs(lines: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(lines) - 2), lambda i: _bind(
             F.concat_ws("\n", F.get(lines, i), F.get(lines, i + 1)),
-            lambda body: F.struct(i.alias("pos"), F.length(body).alias("len"), F.unhex(F.sha2(body, 256)).alias("key"))))
+            lambda body: F.struct(i.alias("pos"), F.when(body.rlike(r"\S"), F.length(body)).otherwise(0).alias("len"),
+                                  F.unhex(F.sha2(body, 256)).alias("key"))))
 
     return _bind(F.split(text, "\n", -1), pairs)
 
