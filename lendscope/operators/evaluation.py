@@ -17,7 +17,7 @@ from ..functions.labels import ks_grade
 from ..functions.numeric import clip, np_round
 from ..functions.pvalues import chi2_sf
 from .binning import qcut_probs
-from .ordered import CacheScope, prefix_sums
+from .ordered import CacheScope, _persist, prefix_sums
 from .quantiles import select
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (log-loss clipping)
@@ -45,6 +45,24 @@ def roc_table(df: DataFrame, score: str, label: str, group_cols: list[str] | Non
         (F.col("cum_pos") / F.col("tot_pos")).alias("tpr"))
 
 
+def roc_corners(roc: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """G1 as the curve is drawn: of ``roc_table`` the first and last point of
+    each group and those where the step to the next point differs from the
+    step before, so that points on a straight run of equal steps go.
+
+    The next point is the row whose rows before it are all up to this one: an
+    equi-join on that number, which needs no order inside a task."""
+    g = group_cols or []
+    upto, before = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
+    roc = _persist(roc)
+    after = roc.select(*[F.col(c).alias(f"_{c}") for c in g], before.alias("_before"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"))
+    same = upto == F.col("_before")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    keep = (before == 0) | F.col("_before").isNull() | (F.col("pos") != F.col("_pos")) | (F.col("neg") != F.col("_neg"))
+    return roc.join(after, same, "left").where(keep).select(*[F.col(c) for c in roc.columns])
+
+
 def ranking_metrics(roc: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """G2-G6 (unrounded): auc, ks, ap per group."""
     g = group_cols or []

@@ -115,6 +115,20 @@ def reason_codes(df: DataFrame, model: ScoreModel, key: str, n: int = 3, new_dat
         key, (F.col("rank0") + 1).alias("rank"), "r.feature", "r.points")
 
 
+def explained(df: DataFrame, model: ScoreModel, key: str, n: int = 3, new_data: bool = True) -> DataFrame:
+    """H4 and H5 together: (key, feature, value, woe, points, reason) with
+    ``reason`` 1..n for the n features of lowest points (ties in feature
+    order); one sorted array a row, no shuffle."""
+    enc = woe_encode(df, model.woe, model.features, suffix="__w", keep=[key, *model.features], new_data=new_data)
+    parts = []
+    for i, f in enumerate(model.features):
+        w = F.col(f + "__w")
+        parts.append(F.struct(np_round(model.points(w, f), 1).alias("points"), F.lit(i).alias("pos"), F.lit(f).alias("feature"),
+                              F.col(f).cast("string").alias("value"), np_round(w, 4).alias("woe")))
+    return (enc.select(F.col(key), F.posexplode(F.array_sort(F.array(*parts))).alias("at", "r"))
+            .select(key, "r.feature", "r.value", "r.woe", "r.points", F.when(F.col("at") < n, F.col("at") + 1).alias("reason")))
+
+
 def band_performance(scored: DataFrame, target: str = "target") -> DataFrame:
     """H7: per band: count, defaults, default rate and mean score (3 dp),
     approval rate = 1 - rounded rate; bands worst first."""

@@ -61,11 +61,13 @@ METRICS_SQL = ROC_SQL + PT_SQL + """
 
 
 @query("roc_curve", with_loan_book(ROC_SQL + """
-SELECT model, threshold, tp, fp, CAST(fp AS DOUBLE) / N AS fpr, CAST(tp AS DOUBLE) / P AS tpr FROM roc"""))
+, nx AS (SELECT *, lead(pos) OVER w AS npos, lead(neg) OVER w AS nneg, row_number() OVER w AS i FROM roc WINDOW w AS (PARTITION BY model ORDER BY threshold DESC))
+SELECT model, threshold, tp, fp, CAST(fp AS DOUBLE) / N AS fpr, CAST(tp AS DOUBLE) / P AS tpr FROM nx
+WHERE i = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg"""))
 def roc_curve_q(spark, sf_dir):
-    """G1: true and false positive rates at every distinct score of both PD columns."""
-    return ev.roc_table(models_long(spark, sf_dir), "score", "target", ["model"]).select(
-        "model", "threshold", "tp", "fp", "fpr", "tpr")
+    """G1: the corners of the ROC curves of both PD columns."""
+    roc = ev.roc_table(models_long(spark, sf_dir), "score", "target", ["model"])
+    return ev.roc_corners(roc, ["model"]).select("model", "threshold", "tp", "fp", "fpr", "tpr")
 
 
 @query("pr_curve", with_loan_book(ROC_SQL + """

@@ -133,6 +133,24 @@ def key_value_sink_q(spark, sf_dir):
     return spark.read.schema("metric string, value double").csv(path)
 
 
+_LISTED = {"numeric": [*NUM, "not_there"], "categorical": [*CAT, "neither"]}
+
+
+@query("feature_groups", with_loan_book(" UNION ALL ".join(
+    f"SELECT '{g}' AS kind, '{c}' AS feature, CAST(COUNT({c}) AS BIGINT) AS filled, CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS missing FROM loan_book"
+    for g, cols in (("numeric", NUM), ("categorical", CAT)) for c in cols)))
+def feature_groups_q(spark, sf_dir):
+    """The listed features that the book has, by kind, with their filled
+    and missing rows; listed names that it lacks are left out."""
+    book = loan_book(spark, sf_dir)
+    numeric, categorical = prep.feature_groups(book, _LISTED["numeric"], _LISTED["categorical"])
+    kind = {f: "numeric" for f in numeric} | {f: "categorical" for f in categorical}
+    r = book.select([F.col(f).cast("string").alias(f) for f in kind]).unpivot([], list(kind), "feature", "value")
+    kinds = F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])
+    return (r.groupBy("feature").agg(F.count("value").alias("filled"), F.count(F.when(F.col("value").isNull(), 1)).alias("missing"))
+            .select(kinds[F.col("feature")].alias("kind"), "feature", "filled", "missing"))
+
+
 @query("class_weights", with_loan_book("""
 , c AS (SELECT target, COUNT(*) AS n FROM loan_book GROUP BY target), t AS (SELECT SUM(n) AS n, COUNT(*) AS k FROM c)
 SELECT target, CAST(c.n AS BIGINT) AS n, CAST(t.n AS DOUBLE) / (t.k * c.n) AS weight FROM c, t"""))

@@ -1,6 +1,12 @@
 """Continuous scoring of applicants with Structured Streaming.
 
-The scorer is the batch scorer's column expression (WoE lookup, linear
+``score_applicants`` is the whole desk: hidden fields get their defaults (A4),
+and every micro-batch writes the scores (H3) and the explained points with
+their reasons (H4, H5) to two sinks.  A batch owns a folder of each sink, named
+by its id and overwritten when the batch is run again, so a restart between
+the two writes leaves every applicant once in both.
+
+``score_stream`` scores alone.  The scorer is the batch scorer's column expression (WoE lookup, linear
 predictor, score, PD, band, decision): stateless, so the stream needs no
 watermark and runs in append mode.  Sources and sinks are files (any
 Hadoop-compatible folder); the checkpoint makes the sink exactly-once
@@ -13,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import scorecard as sc
+from ..operators.prep import with_defaults
 
 
 def score_stream(spark: SparkSession, source_dir: str, schema, model: sc.ScoreModel, keep: list[str],
@@ -31,6 +38,38 @@ def score_stream(spark: SparkSession, source_dir: str, schema, model: sc.ScoreMo
     return writer.start()
 
 
+def score_applicants(spark: SparkSession, source_dir: str, schema, model: sc.ScoreModel, key: str, defaults: dict,
+                     sink_dir: str, checkpoint_dir: str, reasons: int = 3, available_now: bool = True,
+                     max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the stream from parquet files to the sinks ``scores`` (key,
+    credit_score, default_prob, score_band, decision) and ``details`` (key,
+    feature, value, woe, points, reason) below ``sink_dir``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        filled = with_defaults(batch, defaults).persist()
+        try:
+            for name, rows in (("scores", sc.score(filled, model, keep=[key], new_data=True)
+                                .select(key, "credit_score", "default_prob", "score_band", "decision")),
+                               ("details", sc.explained(filled, model, key, reasons))):
+                _write_batch(rows, f"{sink_dir}/{name}/batch={batch_id}")
+        finally:
+            filled.unpersist()
+
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    writer = reader.parquet(source_dir).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
+def _write_batch(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_sink(spark: SparkSession, sink_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sink_dir}/{name}").drop("batch")
+
+
 def run_to_completion(query: StreamingQuery) -> None:
     """Wait for an ``availableNow`` stream to drain its input."""
     query.awaitTermination()
