@@ -45,6 +45,6 @@ def test_corners_of_groups(spark, levels, limit):
 
 
 def test_corners_without_rows_or_with_one(spark):
-    df = spark.createDataFrame([(0.5, 1)], "s double, y int")
+    df = spark.createDataFrame([(0.5, 1), (0.5, 0)], "s double, y int")
     assert ev.roc_corners(ev.roc_table(df, "s", "y")).count() == 1
     assert ev.roc_corners(ev.roc_table(df.where("false"), "s", "y")).count() == 0
