@@ -126,10 +126,21 @@ WOE_COLS = [f + "_woe" for f in NUM + CAT]
 _pairs = [(a, b) for i, a in enumerate(WOE_COLS) for b in WOE_COLS[i + 1:]]
 
 
-@query("woe_corr_pairs", with_loan_book(woe_ctes() + f"""
+def _corr_sql(above: float) -> str:
+    return with_loan_book(woe_ctes() + f"""
 , enc AS (SELECT {_encode_sql_select()} FROM loan_book lb)
 , pairs AS ({" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM enc" for a, b in _pairs)})
-SELECT feature_a, feature_b, ROUNDX(r, 6) AS r FROM pairs WHERE abs(r) > 0.7"""))
+SELECT feature_a, feature_b, ROUNDX(r, 6) AS r FROM pairs WHERE abs(r) > {above}""")
+
+
+@query("woe_corr_any", _corr_sql(0.02))
+def woe_corr_any_q(spark, sf_dir):
+    """D10 with a threshold that some pairs of WoE columns pass."""
+    book, m = fitted(spark, sf_dir)
+    return corr_pairs(woe.encode(book, m, keep=[]), WOE_COLS, min_abs=0.02).select("feature_a", "feature_b", np_round("r", 6).alias("r"))
+
+
+@query("woe_corr_pairs", _corr_sql(0.7))
 def woe_corr_pairs_q(spark, sf_dir):
     """Pairs of WoE columns whose |Pearson r| exceeds the threshold."""
     book, m = fitted(spark, sf_dir)
