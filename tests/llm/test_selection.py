@@ -218,5 +218,5 @@ def test_entry_without_the_subpackage(tmp_path):
             os.symlink(f"{ROOT}/lendscope/{n}", tmp_path / "lendscope" / n)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'iv_summary' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' in q and sum(n.startswith('op') for n in q) == 10"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' in q and sum(n.startswith('op') for n in q) == 13"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, check=True, env={**os.environ, "PYTHONPATH": ROOT})
