@@ -153,11 +153,15 @@ def _values(features: list[str]) -> Column:
     return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
 
 
-# SQL of "x goes left at node n" and "x lies in slot s"; NaN is above every number in Spark's order.
-_GOES_LEFT = "CASE WHEN n.categories IS NULL THEN __x[n.feature] <= n.threshold ELSE array_contains(n.categories, __x[n.feature]) END"
-_INSIDE = ("(s.lo IS NULL OR __x[s.feature] > s.lo) AND (s.hi IS NULL OR __x[s.feature] <= s.hi) "
-           "AND (s.inside IS NULL OR array_contains(s.inside, __x[s.feature])) "
-           "AND (s.outside IS NULL OR NOT array_contains(s.outside, __x[s.feature]))")
+def _bind(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, evaluated once.  A column of
+    an earlier projection would be put back into the lambdas by the optimizer
+    and evaluated at each of their steps."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+# SQL of "x goes left at node n"; NaN is above every number in Spark's order.
+_GOES_LEFT = "CASE WHEN n.categories IS NULL THEN xs[n.feature] <= n.threshold ELSE array_contains(n.categories, xs[n.feature]) END"
 
 
 def _depth(table: TreeTable) -> int:
@@ -183,7 +187,7 @@ def score(df: DataFrame, table: TreeTable, out: str = "pd", raw: str | None = No
     step = (f"transform(slice(__nodes, p + 1, 1), n -> CASE WHEN n.left < 0 THEN p WHEN {_GOES_LEFT} "
             "THEN n.left ELSE n.right END)[0]")
     leaves = f"aggregate(sequence(1, {_depth(table)}), __roots, (ps, level) -> transform(ps, p -> {step}))"
-    total = f"aggregate({leaves}, 0D, (a, p) -> a + __nodes[p].value) * {table.scale!r}D"
+    total = _bind("xs", "__x", f"aggregate({leaves}, 0D, (a, p) -> a + __nodes[p].value) * {table.scale!r}D")
     name = raw or "__raw"
     scored = (df.withColumns({"__x": _values(table.features), "__nodes": nodes, "__roots": _constant(roots, "array<int>")})
               .withColumn(name, F.expr(total)))
@@ -192,44 +196,64 @@ def score(df: DataFrame, table: TreeTable, out: str = "pd", raw: str | None = No
     return scored if raw else scored.drop("__raw")
 
 
-def explain(df: DataFrame, table: TreeTable, key: str) -> DataFrame:
-    """Long output (key, feature, value, shap): the attribution of every
-    feature of every row.  One narrow stage; rows that share a key are
-    explained each on its own."""
-    k = len(table.features)
+def _leaf_frame(spark: SparkSession, table: TreeTable) -> tuple[DataFrame, int]:
+    """One row per leaf with its path features side by side (absent slots:
+    feature -1, share 1), and the longest path."""
     leaves: dict = {}
     for p in paths(table):
         leaves.setdefault((p["tree"], p["leaf"]), []).append(p)
-    packed, slots_of, at = [], [[] for _ in range(k)], 0
+    width = max((len(v) for v in leaves.values()), default=1)
+    empty = {"feature": -1, "lo": None, "hi": None, "inside": None, "outside": None, "share": 1.0}
+    kinds = {"feature": "int", "lo": "double", "hi": "double", "inside": "array<double>", "outside": "array<double>", "share": "double"}
+    rows = []
     for (t, _), slots in sorted(leaves.items()):
-        packed.append({"weight": slots[0]["value"] * table.weights[t] * table.scale,
-                       "slots": [{c: s[c] for c in ("feature", "lo", "hi", "inside", "outside", "share")} for s in slots]})
-        for s in slots:
-            slots_of[s["feature"]].append(at)
-            at += 1
-    width = max((len(leaf["slots"]) for leaf in packed), default=1)
+        row = [slots[0]["value"] * table.weights[t] * table.scale]
+        for s in slots + [empty] * (width - len(slots)):
+            row += [s[c] for c in kinds]
+        rows.append(tuple(row))
+    if len(json.dumps(rows)) > MAX_MODEL_BYTES:
+        raise ValueError(f"leaf-path table is over {MAX_MODEL_BYTES} bytes")
+    schema = "__w double" + "".join(f", __{c}{i} {k}" for i in range(width) for c, k in kinds.items())
+    return spark.createDataFrame(rows, schema), width
+
+
+def explain(df: DataFrame, table: TreeTable, key: str) -> DataFrame:
+    """Long output (key, feature, value, shap): the attribution of every
+    feature of every row.
+
+    The slim rows (key, features) are grouped once; the leaf-path table, whose
+    size is checked, is broadcast to them, and the sums over leaves use the
+    grouping that is there, so nothing is shuffled a second time.  Equal rows
+    are explained once and come back as often as they occurred."""
+    k = len(table.features)
+    leaves, width = _leaf_frame(df.sparkSession, table)
+    slots = range(width)
     t, w = np.polynomial.legendre.leggauss((width + 1) // 2)   # exact to degree width - 1
     t, w = (t + 1) / 2, w / 2
-    names = F.array(*[F.lit(f) for f in table.features])
-    # per leaf: what each slot is in the game, the product at each node, the slots' values
-    games = (f"transform(__leaves, leaf -> struct(leaf.weight AS weight, transform(leaf.slots, s -> "
-             f"struct(s.share AS z, CASE WHEN {_INSIDE} THEN 1D ELSE 0D END AS o)) AS g))")
-    at_node = "(s.z + {0!r}D * (s.o - s.z))"
-    prods = ", ".join(f"aggregate(l.g, 1D, (a, s) -> a * {at_node.format(float(x))}) AS p{i}" for i, x in enumerate(t))
-    with_prods = f"transform(__games, l -> struct(l.weight AS weight, l.g AS g, {prods}))"
-    integral = " + ".join(f"{float(wt)!r}D * l.p{i} / {at_node.format(float(x))}" for i, (x, wt) in enumerate(zip(t, w)))
-    values = f"flatten(transform(__games, l -> transform(l.g, s -> CASE WHEN s.o = s.z THEN 0D ELSE l.weight * (s.o - s.z) * ({integral}) END)))"
-    per_feature = "transform(__slots_of, at -> aggregate(at, 0D, (a, i) -> a + __values[i]))"
-    leaf_type = ("array<struct<weight:double,slots:array<struct<feature:int,lo:double,hi:double,"
-                 "inside:array<double>,outside:array<double>,share:double>>>>")
-    return (df.select(key, _values(table.features).alias("__x"))
-            .withColumn("__leaves", _constant(packed, leaf_type))
-            .withColumn("__games", F.expr(games)).withColumn("__games", F.expr(with_prods))
-            .withColumn("__values", F.expr(values))
-            .withColumn("__slots_of", _constant(slots_of, "array<array<int>>"))
-            .withColumn("__shap", F.expr(per_feature))
-            .select(key, "__x", F.posexplode("__shap").alias("__f", "shap"))
-            .select(key, F.get(names, F.col("__f")).alias("feature"), F.get("__x", F.col("__f")).alias("value"), "shap"))
+    cols = [f"__x{j}" for j in range(k)]
+    values = _values(table.features)
+    rows = (df.select(F.col(key), *[F.get(values, F.lit(j)).alias(c) for j, c in enumerate(cols)])
+            .groupBy(key, *cols).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__x", F.array(*cols)))
+    inside = [f"""CASE WHEN __feature{i} < 0 OR (
+        (__lo{i} IS NULL OR get(__x, __feature{i}) > __lo{i}) AND (__hi{i} IS NULL OR get(__x, __feature{i}) <= __hi{i})
+        AND (__inside{i} IS NULL OR array_contains(__inside{i}, get(__x, __feature{i})))
+        AND (__outside{i} IS NULL OR NOT array_contains(__outside{i}, get(__x, __feature{i})))) THEN 1D ELSE 0D END AS __o{i}"""
+              for i in slots]
+
+    def at_node(i, g):
+        return f"(__share{i} + {float(t[g])!r}D * (__o{i} - __share{i}))"
+    prods = [" * ".join(at_node(i, g) for i in slots) + f" AS __p{g}" for g in range(len(t))]
+    parts = [f"CASE WHEN __feature{i} < 0 OR __o{i} = __share{i} THEN 0D ELSE __w * (__o{i} - __share{i}) * ("
+             + " + ".join(f"{float(w[g])!r}D * __p{g} / {at_node(i, g)}" for g in range(len(t))) + f") END AS __phi{i}" for i in slots]
+    sums = [F.expr("sum(" + " + ".join(f"CASE WHEN __feature{i} = {j} THEN __phi{i} ELSE 0D END" for i in slots) + ")").alias(f"__s{j}")
+            for j in range(k)]
+    total = (rows.join(F.broadcast(leaves), how="left")
+             .selectExpr("*", *inside).selectExpr("*", *prods).selectExpr("*", *parts)
+             .groupBy(key, *cols).agg(F.first("__copies").alias("__copies"), *sums))
+    long = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).alias("value"), F.coalesce(F.col(f"__s{j}"), F.lit(0.0)).alias("shap"))
+                     for j, (f, c) in enumerate(zip(table.features, cols))])
+    each = F.explode(F.flatten(F.array_repeat(long, F.col("__copies").cast("int"))))
+    return total.select(key, each.alias("__e")).select(key, "__e.feature", "__e.value", "__e.shap")
 
 
 def global_importance(expl: DataFrame) -> DataFrame:

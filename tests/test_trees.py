@@ -83,7 +83,8 @@ def test_awkward_rows(spark, data):
     want = {r["n"]: r["p"] for r in model.transform(vec).select("n", vector_to_array("probability")[1].alias("p")).collect()}
     got = {r["n"]: r["pd"] for r in T.score(odd, table).collect()}
     assert got == pytest.approx(want, abs=1e-12)
-    assert T.explain(odd, table, "k").count() == 12            # repeated and null keys: each row on its own
+    twice = odd.unionByName(odd)               # repeated and null keys, equal rows
+    assert T.explain(odd, table, "k").count() == 12 and T.explain(twice, table, "k").count() == 24
     assert T.score(df.limit(0), table).count() == 0 and T.explain(df.limit(0), table, "k").count() == 0
     stump = T.TreeTable(FEATS, "forest", [1.0], [{"tree": 0, "node": 0, "feature": -1, "threshold": None, "categories": None,
                                                   "left": -1, "right": -1, "value": 0.3, "cover": 5.0}])
@@ -94,9 +95,10 @@ def test_awkward_rows(spark, data):
 def test_plan_is_narrow(spark, data):
     df, _ = data
     _, _, _, table = _fit(spark, df, "boosted", False)
-    for out in (T.score(df, table), T.explain(df, table, "k")):
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and "Python" not in plan and "Pandas" not in plan and "from_json" not in plan
+    plan = T.score(df, table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Pandas" not in plan and "from_json" not in plan
+    plan = T.explain(df, table, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Pandas" not in plan
 
 
 def test_model_size_is_checked():
