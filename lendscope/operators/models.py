@@ -107,33 +107,53 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, label: str | None = None) -> DataFrame:
-    """add ``fold`` (0..k-1).  With ``label``: stratified -- rows ranked
-    within their class in md5 order and dealt round-robin, so every fold
-    holds the same class shares (to one row).  Without: the key's hash.
-
-    Ranks come from windows over 4,096 ranges of the hash of each class (a
-    class is never one task), shifted by the counts of the ranges before;
-    only (key, label) move, other columns are joined back by key."""
+    """add ``fold`` (0..k-1).  With ``label``: stratified -- each class,
+    in md5 order of the key, is cut into k stretches of equal size (to one
+    row), so every fold holds the same class shares.  Without: the key's hash.
+    Null labels are a class of their own.  Rows that share key and label stay
+    in one fold (null keys count as one key), so a key with many rows makes its
+    fold larger; every row gets a fold and none is dropped.
+
+    A narrow projection, as ``stratified_split``: one aggregate counts the
+    rows of each class in 4,096 ranges of the hash, only the distinct
+    keys of the ranges that hold a cut are ranked (by their row counts), and the k - 1 cuts a class enter the
+    plan as literals.  No wide row moves."""
     if label is None:
         return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
-    before = []
+    y, h = F.col(label), F.col("__fold_h")
+    hashed = df.withColumn("__fold_h", F.coalesce(hash_order(key, seed), F.lit(0)))
+    want, spots = [], {}                                        # (class, fold that ends, bucket, rank inside it)
     for c, n in _bucket_counts(df, key, label, seed).items():
-        total = 0
-        for b, m in enumerate(n):
-            if m:
-                before.append((b, total % k, c))
-            total += m
-    slim = df.select(F.col(key), F.col(label), hash_order(key, seed).alias("_h")).withColumn("_b", _bucket(F.col("_h")))
-    schema = T.StructType([T.StructField("_ob", T.IntegerType()), T.StructField("_before", T.IntegerType()),
-                           T.StructField("_oy", df.schema[label].dataType)])
-    start = df.sparkSession.createDataFrame(before, schema)
-    order = Window.partitionBy(label, "_b").orderBy("_h", key)
-    ranked = (slim.withColumn("_r", F.row_number().over(order))
-              .join(F.broadcast(start), (F.col("_b") == F.col("_ob")) & F.col(label).eqNullSafe(F.col("_oy"))))
-    ranked = ranked.withColumn("fold", ((F.col("_before") + F.col("_r") - 1) % k).cast("int"))
-    if set(df.columns) == {key, label}:
-        return ranked.select(*df.columns, "fold")
-    return df.join(ranked.select(F.col(key), "fold").dropDuplicates([key]), key, "left").select(*df.columns, "fold")
+        total, at, before = sum(n), 0, 0
+        end = 0
+        for fold in range(k - 1):
+            end += total // k + (1 if fold < total % k else 0)
+            while at < RANK_BUCKETS and before + n[at] < end:
+                before += n[at]
+                at += 1
+            want.append((c, fold, at, end - before))
+            if end > before:
+                spots.setdefault(c, set()).add(at)
+    spot = F.lit(False)
+    for c, buckets in spots.items():
+        spot = spot | (y.eqNullSafe(F.lit(c)) & _bucket(h).isin(sorted(buckets)))
+    order = Window.partitionBy("y", "b").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (hashed.where(spot).groupBy(y.alias("y"), _bucket(h).alias("b"), h.alias("h"), F.col(key).alias("k"))
+              .agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order)))
+    hit = F.lit(False)
+    for c, _, at, left in want:
+        hit = hit | (F.col("y").eqNullSafe(F.lit(c)) & (F.col("b") == at)
+                     & (F.col("upto") >= left) & (F.col("upto") - F.col("n") < left))
+    cuts = ranked.where(hit).collect()                          # at most k - 1 rows a class
+    passed = F.lit(0)
+    for c, _, at, left in want:
+        inside = _bucket(h) < at
+        for r in cuts:
+            if r["y"] == c and r["b"] == at and r["upto"] - r["n"] < left <= r["upto"]:
+                same = F.col(key).isNull()
+                inside = (h < r["h"]) | ((h == r["h"]) & (same if r["k"] is None else same | (F.col(key) <= F.lit(r["k"]))))
+        passed = passed + F.when(y.eqNullSafe(F.lit(c)) & ~inside, 1).otherwise(0)   # beyond the cut: a later fold
+    return hashed.withColumn("fold", passed.cast("int")).drop("__fold_h")
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

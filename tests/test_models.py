@@ -118,3 +118,20 @@ def test_split_plan_moves_no_rows(spark):
     assert got == {1: 333, 0: 667}
     folds = md.kfold(df, "k", 5, 1, "y").groupBy("fold", "y").count().collect()
     assert all(abs(r["count"] - (1667 if r["y"] else 3333) / 5) < 1 for r in folds)
+
+
+def test_folds_move_no_rows_and_keep_awkward_ones(spark):
+    """No exchange, join or window in the plan; shared and null keys, null
+    labels, few rows and an empty table."""
+    df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit("wide").alias("w"))
+    plan = md.kfold(df, "k", 5, 1, "y")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+    odd = (df.withColumn("k", F.when(F.col("k") % 4 == 0, None).when(F.col("k") % 4 == 1, 7).otherwise(F.col("k")))
+           .withColumn("y", F.when(F.col("y") == 1, F.col("y"))))
+    out = md.kfold(odd, "k", 5, 1, "y")
+    assert out.columns == ["k", "y", "w", "fold"] and out.count() == 5000 and out.where("fold NOT BETWEEN 0 AND 4").count() == 0
+    assert out.groupBy("k", "y").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+    assert out.select("fold").distinct().count() >= 3
+    few = {r["fold"] for r in md.kfold(df.limit(2), "k", 5, 1, "w").collect()}
+    assert few == {0, 1}
+    assert md.kfold(df.limit(0), "k", 5, 1, "y").count() == 0
