@@ -232,8 +232,11 @@ def explain(df: DataFrame, table: TreeTable, key: str) -> DataFrame:
     t, w = (t + 1) / 2, w / 2
     cols = [f"__x{j}" for j in range(k)]
     values = _values(table.features)
+    # the work is rows x leaves, not bytes: a stated number of partitions, which adaptive execution doesn't merge
+    spark = df.sparkSession
+    parts_wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = (df.select(F.col(key), *[F.get(values, F.lit(j)).alias(c) for j, c in enumerate(cols)])
-            .groupBy(key, *cols).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__x", F.array(*cols)))
+            .repartition(parts_wanted, key, *cols).groupBy(key, *cols).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__x", F.array(*cols)))
     inside = [f"""CASE WHEN __feature{i} < 0 OR (
         (__lo{i} IS NULL OR get(__x, __feature{i}) > __lo{i}) AND (__hi{i} IS NULL OR get(__x, __feature{i}) <= __hi{i})
         AND (__inside{i} IS NULL OR array_contains(__inside{i}, get(__x, __feature{i})))
