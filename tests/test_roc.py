@@ -48,3 +48,14 @@ def test_corners_without_rows_or_with_one(spark):
     df = spark.createDataFrame([(0.5, 1), (0.5, 0)], "s double, y int")
     assert ev.roc_corners(ev.roc_table(df, "s", "y")).count() == 1
     assert ev.roc_corners(ev.roc_table(df.where("false"), "s", "y")).count() == 0
+
+
+def test_roc_curve_query_has_every_distinct_score(spark):
+    from lendscope.plans.eval_queries import models_long
+    from lendscope.plans.registry import QUERIES
+    from tests.conftest import SMOKE
+
+    want = models_long(spark, SMOKE).where("score is not null").select("model", "score").distinct()
+    got = QUERIES["roc_curve"](spark, SMOKE).select("model", "threshold")
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0
