@@ -69,3 +69,20 @@ def test_partial_losses_do_not_grow_with_the_book(spark):
     assert parts <= 16 * spark.sparkContext.defaultParallelism
     total = sum(r["loss"] for r in sims.collect())
     assert abs(total - 4_000) < 5 * np.sqrt(5 * 4_000 * 0.16)
+
+
+def test_md5_losses_are_exact_and_spread(spark):
+    import hashlib
+
+    # none, certain, unknown, tiny, exactly a draw of loan 5, just above one of loan 6
+    draw = lambda s, k: int(hashlib.md5(f"{s}-{k}".encode()).hexdigest()[:12], 16) / 2.0 ** 48
+    loans = [(1, 0.0, 10.01), (2, 1.0, 1234567.89), (3, None, 5.0), (4, 1e-14, 7.0), (5, draw(3, 5), 20.0), (6, draw(2, 6) + 2.0 ** -48, 30.0),
+             *[(k, k % 97 / 97, k * 3.37) for k in range(10, 300)]]
+    df = spark.createDataFrame(loans, "k long, p double, e double").coalesce(1)
+    out = risk.simulate_losses_md5(df, "k", "p", "e", 8)
+    got = {r["sim_id"]: r["loss"] for r in out.collect()}
+    want = {s: sum(round(e * 100) * 4500 for k, p, e in loans if p is not None and draw(s, k) < p) / 1e6 for s in range(8)}
+    assert got == want
+    assert risk.simulate_losses_md5(df.where("false"), "k", "p", "e", 8).count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and re.search(r"RepartitionByExpression \[k#", plan)
