@@ -1,45 +1,38 @@
-"""Line dedup in DataFrame functions only: repeated runs of lines, and
-content-defined chunks of lines.
-
-Runs (``dedup_runs``, what the query and the pipeline use): every run of two
-or more lines that occurs more than once is a union of repeated pairs of
-neighbouring lines, so the pairs are what is looked up.  A line goes if a pair
-that holds it has occurred before in (doc_id, hash of the text, row, position)
-order; so of each repeated run the later occurrences go whole, whatever
-surrounds them, and a copy of every removed line stays.  A pair of two equal
-lines that overlaps its own first occurrence doesn't count as a later one.
-Pairs are compared by the SHA-256 of their bytes.
+"""Line dedup in DataFrame functions only: content-defined chunks of lines as
+the index, compared byte by byte, and matches grown line by line.
+
+Chunks: the lines of a text are hashed; a rolling hash over ``window``
+consecutive line hashes ends a chunk after a line when it falls in one of
+``divisor`` residue classes, so boundaries follow the content and shift with
+it.  Chunks of at least ``min_lines`` lines and ``min_chars`` characters whose
+hash occurs more than once anywhere are compared byte by byte (grouped by
+their full text); of equal ones the first in (doc_id, hash of the text, row,
+position) order stays, all others are repeated.
+
+Runs (``dedup_runs``, what the query and the pipeline use): repeated chunks
+are grown by the lines at their ends, as a passage shares the chunks at its
+ends with its surroundings, and a short one may have no chunk of its own.  A
+line next to a repeated chunk, or in no such chunk, goes if the pair that it
+makes with a neighbour has occurred before, compared by the SHA-256 of its bytes.  So of each repeated run of two or more lines
+the later occurrences go whole, whatever surrounds them, and a copy of every
+removed line stays.  Pairs inside a repeated chunk are not looked up: the copy
+that stays holds their first occurrence.  A pair of two equal lines that
+overlaps its own first occurrence doesn't count as a later one.
+``dedup_lines`` removes the repeated chunks alone, without growth.
 
 Plan: the rows are written once with a row number, which is the key of all
-removals; one pass explodes pair digests (no text) to a partially aggregated
-count and first occurrence, so a pair that occurs in a third of all documents
-is one row per task before the shuffle; repeated pairs are joined to the
-exploded digests again, and the removals, one small array per row, join back
-on the row number.
-
-Defined results of runs: every row is a document of its own, whatever its id
-(null, shared or not); a null text stays null and an empty text empty; a text
-whose lines are all removed becomes empty; rows with null id come before all
-others.  Empty lines are lines, but two blank lines are no run of their own.
-Other columns pass through; ``n_chars``, if
-there, is set to the new text's length where the text changed.
-
-Chunks (``dedup_lines``): the lines of a text are hashed; a rolling hash over
-``window`` consecutive line hashes ends a chunk after a line when it falls in
-one of ``divisor`` residue classes, so boundaries follow the content and shift
-with it.  Chunks of at least ``min_lines`` lines and ``min_chars`` characters
-whose hash occurs more than once anywhere are compared byte by byte (grouped
-by their full text); of equal ones the first in (doc_id, hash of the text,
-row, position) order stays and all others are removed from their texts.  A
-repeated passage keeps the lines at its ends that share a chunk with its
-surroundings.
-
-Plan of chunks: numbered rows as for runs; one pass explodes chunk hashes (no
-text) to a partially aggregated count, so a chunk that occurs in a third of
-all documents is one row per task before the shuffle; only chunks with a
-repeated hash are exploded again with their text and grouped by it; the
-removals, one small array per row, join back on the row number.  Defined
-results as for runs.
+removals; one pass explodes chunk hashes (no text) to a partially aggregated
+count, so a chunk that occurs in a third of all documents is one row per task
+before the shuffle; only chunks with a repeated hash are exploded again with
+their text and grouped by it.  The pairs outside repeated chunks go the same
+way.  The removals, one small array per row, join back on the row number.
+
+Defined results: every row is a document of its own, whatever its id (null,
+shared or not); a null text stays null and an empty text empty; a text whose
+lines are all removed becomes empty; rows with null id come before all others.
+Empty lines are lines, but blank lines alone are no run of their own.  Other
+columns pass through; ``n_chars``, if there, is set to the new text's length
+where the text changed.
 """
 
 from __future__ import annotations
@@ -57,7 +50,8 @@ def _bind(value: Column, body) -> Column:
 
 
 def chunks_of(text: Column, window: int, divisor: int) -> Column:
-    """array<struct<pos, n, body>>: the content-defined chunks of a text."""
+    """array<struct<pos, n, body, line>>: the content-defined chunks of a text,
+    ``line`` the place of the first line."""
     def is_end(hashes: Column, i: Column) -> Column:
         # rolling hash of the window that ends at line i, in the order of its lines
         past = [F.coalesce(F.get(hashes, i - k), F.lit(0).cast("long")) for k in range(window - 1, -1, -1)]
@@ -71,7 +65,7 @@ def chunks_of(text: Column, window: int, divisor: int) -> Column:
         return _bind(ends, lambda e: F.transform(e, lambda hi, j: _bind(
             F.when(j == 0, F.lit(0)).otherwise(F.get(e, j - 1) + 1),
             lambda lo: F.struct(j.alias("pos"), (hi - lo + 1).alias("n"),
-                                F.array_join(F.slice(lines, lo + 1, hi - lo + 1), "\n").alias("body")))))
+                                F.array_join(F.slice(lines, lo + 1, hi - lo + 1), "\n").alias("body"), lo.alias("line")))))
 
     return _bind(F.split(text, "\n", -1), cut)
 
@@ -81,23 +75,36 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.sparkSession, docs.drop("n_removed").withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
 
 
+def repeated(found: DataFrame, name: str) -> DataFrame:
+    """The rows of ``found`` (doc_id, row, h, pos, body and others) whose body
+    occurs more than once, by hash and then by its bytes: (row, pos, others,
+    first, first_row, first_pos); ``first`` tells which occurrence stays."""
+    key = F.struct(F.xxhash64("body").alias("h"), F.length("body").alias("len"))
+    hashed = found.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    occ = found.withColumn("k", key).join(hashed, "k", "left_semi").drop("k")
+    occ = materialize(found.sparkSession, occ, name)
+    place = F.struct("doc_id", "h", "row", "pos")
+    first = occ.groupBy("body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    others = [c for c in found.columns if c not in ("doc_id", "row", "h", "pos", "body")]
+    return occ.join(first, "body").select("row", "pos", *others, place.eqNullSafe(F.col("first")).alias("first"), F.col("first.row").alias("first_row"),
+                                          F.col("first.pos").alias("first_pos"))
+
+
 def repeated_chunks(rows: DataFrame, window: int = 2, divisor: int = 3, min_lines: int = 2,
-                    min_chars: int = 1) -> DataFrame:
-    """(row, pos, first): every occurrence of a repeated chunk in numbered
-    rows, ``first`` telling whether it is the one that stays."""
-    spark = rows.sparkSession
+                    min_chars: int = 1, blank: bool = True) -> DataFrame:
+    """Every occurrence of a repeated chunk in numbered rows (as ``repeated``),
+    with the places of the pairs of lines in it (none of two blank lines);
+    ``blank``: chunks of blank lines alone count, too."""
     # explode_outer: no size filter is inferred that would evaluate the chunks twice
     chunks = (rows.where(F.col("text").contains("\n"))
               .select("doc_id", F.col("__row").alias("row"), F.xxhash64("text").alias("h"), F.explode_outer(chunks_of(F.col("text"), window, divisor)).alias("c"))
               .where((F.col("c.n") >= min_lines) & (F.length("c.body") >= min_chars)))
-    key = F.struct(F.xxhash64("c.body").alias("h"), F.length("c.body").alias("len"))
-    hashed = chunks.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    occ = (chunks.select("doc_id", "h", "row", F.col("c.pos").alias("pos"), F.col("c.body").alias("body"), key.alias("k"))
-           .join(hashed, "k", "left_semi").select("doc_id", "h", "row", "pos", "body"))
-    occ = materialize(spark, occ, "repeated-chunks")
-    place = F.struct("doc_id", "h", "row", "pos")
-    first = occ.groupBy("body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return occ.join(first, "body").select("row", "pos", place.eqNullSafe(F.col("first")).alias("first"))
+    if not blank:
+        chunks = chunks.where(F.col("c.body").rlike(r"\S"))
+    inner = _bind(F.split("c.body", "\n", -1), lambda lines: F.filter(
+        F.sequence(F.lit(0), F.size(lines) - 2), lambda i: F.concat(F.get(lines, i), F.get(lines, i + 1)).rlike(r"\S")))
+    inside = F.when(F.col("c.n") > 1, F.transform(inner, lambda i: F.col("c.line") + i)).otherwise(F.array().cast("array<int>"))
+    return repeated(chunks.select("doc_id", "row", "h", "c.pos", inside.alias("pairs"), "c.body"), "repeated-chunks")
 
 
 def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: int = 2, min_chars: int = 1) -> DataFrame:
@@ -114,31 +121,35 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: i
                       F.when(F.col("text").isNotNull(), F.coalesce(F.size("__gone"), F.lit(0))).otherwise(F.lit(0)).alias("n_removed"))
 
 
-def line_pairs(text: Column) -> Column:
-    """array<struct<pos, len, key>>: each pair of neighbouring lines of a text
-    with two lines or more, as its first line's position, its length (0 if both
-    are blank) and the SHA-256 of its bytes."""
+def line_pairs(text: Column, done: Column) -> Column:
+    """array<struct<pos, len, body>>: the pairs of neighbouring lines of a
+    text, as the first line's position, the length and the SHA-256 of the bytes,
+    but those whose first line's position is in ``done`` and those of two blank
+    lines."""
     def pairs(lines: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(lines) - 2), lambda i: _bind(
-            F.concat_ws("\n", F.get(lines, i), F.get(lines, i + 1)),
-            lambda body: F.struct(i.alias("pos"), F.when(body.rlike(r"\S"), F.length(body)).otherwise(0).alias("len"),
-                                  F.unhex(F.sha2(body, 256)).alias("key"))))
+        at = F.sequence(F.lit(0), F.size(lines) - 2)
+        left = F.when(done.isNull(), at).otherwise(F.array_except(at, done))
+        return F.filter(F.transform(left, lambda i: _bind(F.concat_ws("\n", F.get(lines, i), F.get(lines, i + 1)), lambda body: F.struct(
+            i.alias("pos"), F.when(body.rlike(r"\S"), F.length(body)).otherwise(0).alias("len"), F.unhex(F.sha2(body, 256)).alias("body")))),
+            lambda p: p["len"] > 0)
 
     return _bind(F.split(text, "\n", -1), pairs)
 
 
 def later_pairs(rows: DataFrame, min_chars: int = 1) -> DataFrame:
     """(row, gone): for each ``__row`` of ``rows`` the positions of its pairs
-    of lines that have occurred before."""
-    pairs = (rows.where(F.col("text").contains("\n"))
-             .select("doc_id", "__row", F.xxhash64("text").alias("h"), F.explode_outer(line_pairs(F.col("text"))).alias("p"))
-             .where(F.col("p.len") >= min_chars)
-             .select("doc_id", "h", F.col("__row").alias("row"), F.col("p.pos").alias("pos"), F.col("p.key").alias("key")))
-    first = (pairs.groupBy("key").agg(F.min(F.struct("doc_id", "h", "row", "pos")).alias("f"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("key", F.col("f.row").alias("first_row"), F.col("f.pos").alias("first_pos")))
-    return (pairs.select("row", "pos", "key").join(first, "key")
-            .where((F.col("row") != F.col("first_row")) | (F.col("pos") > F.col("first_pos") + 1))
-            .groupBy("row").agg(F.collect_set("pos").alias("gone")))
+    of lines that have occurred before: those inside repeated chunks, and by
+    growth those that join them to the lines around or lie in no such chunk."""
+    chunks = (repeated_chunks(rows, min_chars=min_chars, blank=False).where(~F.col("first"))
+              .select("row", F.explode("pairs").alias("pos")))
+    done = materialize(rows.sparkSession, chunks.groupBy("row").agg(F.collect_set("pos").alias("done")), "chunk-removals")
+    open_ = (rows.where(F.col("text").contains("\n")).join(done, F.col("__row") == F.col("row"), "left")
+             .select("doc_id", F.col("__row").alias("row"), F.xxhash64("text").alias("h"), F.explode_outer(line_pairs(F.col("text"), F.col("done"))).alias("p"))
+             .where(F.col("p.len") >= min_chars))
+    grown = (repeated(open_.select("doc_id", "row", "h", "p.pos", "p.body"), "repeated-pairs")
+             .where((F.col("row") != F.col("first_row")) | (F.col("pos") > F.col("first_pos") + 1)))
+    both = done.select("row", F.explode("done").alias("pos")).unionByName(grown.select("row", "pos"))
+    return both.groupBy("row").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:

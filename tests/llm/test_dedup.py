@@ -393,3 +393,36 @@ def test_queries_cover_their_tables(spark):
 
     for name, name_of in (("op5_ngram_jaccard_join", "documents"), ("op6_embedding_near_dedup", "embeddings"), ("op8_line_dedup", "documents")):
         assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{name_of}.parquet").count()
+
+
+def test_runs_are_found_by_content_defined_chunks(spark, monkeypatch):
+    """The chunk index gives the bulk of a long repeated passage, growth the
+    lines at its ends; three blank lines inside it make no pair of their own."""
+    passage = [f"shared line {i}" for i in range(60)] + ["", "", ""] + [f"shared end {i}" for i in range(4)]
+    docs = [(i, "\n".join([f"head {i}", *passage, f"tail {i}"]), "en", "s") for i in range(6)]
+    found, grown = [], []
+    whole = line_dedup.repeated
+
+    def spy(df, name):
+        out = whole(df, name)
+        (found if name == "repeated-chunks" else grown).append(out)
+        return out
+
+    monkeypatch.setattr(line_dedup, "repeated", spy)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_runs(table(spark, docs)).collect()}
+    assert got == {d[0]: w for d, w in zip(docs, brute_runs_without_blank_pairs([t for _, t, *_ in docs]))}
+    inside = sum(len(r["pairs"]) for r in found[0].where("not first").collect())
+    assert inside >= 5 * 20 and grown[0].where("not first").count() >= 5
+
+
+def brute_runs_without_blank_pairs(docs):
+    first, out = {}, []
+    for at, t in enumerate(docs):
+        lines, gone = t.split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if "".join(pair).strip():
+                f = first.setdefault(pair, (at, i))
+                if not (f[0] == at and i <= f[1] + 1):
+                    gone |= {i, i + 1}
+        out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
