@@ -81,7 +81,8 @@ def repeated(found: DataFrame, name: str) -> DataFrame:
     first, first_row, first_pos); ``first`` tells which occurrence stays."""
     key = F.struct(F.xxhash64("body").alias("h"), F.length("body").alias("len"))
     hashed = found.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    occ = found.withColumn("k", key).join(hashed, "k", "left_semi").drop("k")
+    # one plan at every size: repeated hashes grow with the input and are no table to broadcast
+    occ = found.withColumn("k", key).join(hashed.hint("merge"), "k", "left_semi").drop("k")
     occ = materialize(found.sparkSession, occ, name)
     place = F.struct("doc_id", "h", "row", "pos")
     first = occ.groupBy("body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
