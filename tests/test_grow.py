@@ -103,3 +103,19 @@ def test_awkward_rows(spark, data):
         md.fit_forest(df.withColumn("y", F.lit(None).cast("int")), FEATS, "y", num_trees=2)
     flat = md.fit_forest(df.withColumn("a", F.lit(None).cast("double")).withColumn("b", F.lit(1.0)), ["a", "b"], "y", num_trees=2)
     assert all(len(t.left) == 1 for t in flat.trees)
+
+
+def test_a_forest_takes_a_job_a_level(spark, data):
+    """All trees of a small table go down together, whatever their number and depth."""
+    df, _, _ = data
+    edges = grow.bin_edges(df, FEATS)
+    blocks = grow.binned(df, FEATS, "y", edges)
+    sc = spark.sparkContext
+    sc.setJobGroup("forest-jobs", "jobs of a forest")
+    try:
+        ens, = grow.forest(blocks, edges, {0: 1.0, 1: 1.0}, [-1], 150, 5, 2, "sqrt", 7)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("forest-jobs"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(ens.trees) == 150 and jobs <= 5 + 1
+    assert grow._group_size(720_000, 16, 7, 3, 13) > 64 and grow._group_size(50_000_000, 24, 7, 3, 13) * 2 * 50_000_000 <= grow.STATE_BYTES
