@@ -21,11 +21,13 @@ overlaps its own first occurrence doesn't count as a later one.
 ``dedup_lines`` removes the repeated chunks alone, without growth.
 
 Plan: the rows are written once with a row number, which is the key of all
-removals; one pass explodes chunk hashes (no text) to a partially aggregated
-count, so a chunk that occurs in a third of all documents is one row per task
-before the shuffle; only chunks with a repeated hash are exploded again with
-their text and grouped by it.  The pairs outside repeated chunks go the same
+removals; one pass writes the chunk hashes (no text), whose count is partially
+aggregated, so a chunk that occurs in a third of all documents is one row per
+task before the shuffle; only rows with a repeated hash are exploded again with
+their text, and grouped by it.  The pairs outside repeated chunks go the same
 way.  The removals, one small array per row, join back on the row number.
+Which rows a join needs is told by a bitmap of row numbers that is broadcast, one
+bit a row: the texts of all other rows stay where they are, at every size.
 
 Defined results: every row is a document of its own, whatever its id (null,
 shared or not); a null text stays null and an empty text empty; a text whose
@@ -75,6 +77,29 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.sparkSession, docs.drop("n_removed").withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
 
 
+def split_rows(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered ``rows`` whose number is a ``row`` of ``found``, and all others,
+    without a shuffle of ``rows``."""
+    number = F.col("row").cast("long")
+    bits = (found.select(F.bitmap_bucket_number(number).alias("__bucket"), F.bitmap_bit_position(number).alias("__at"))
+            .groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits")))
+    bits = materialize(rows.sparkSession, bits, "row-bits")
+    at = F.bitmap_bit_position("__row")
+    byte = F.conv(F.hex(F.substr("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0)) == 1
+    told = rows.withColumn("__bucket", F.bitmap_bucket_number("__row")).join(F.broadcast(bits), "__bucket", "left").withColumn("__hit", hit)
+    return tuple(told.where(side).select(*[f"`{c}`" for c in rows.columns]) for side in (F.col("__hit"), ~F.col("__hit")))
+
+
+def with_places(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Numbered ``rows`` with the array ``name`` of ``found`` (row, name), null
+    where there is none; only rows that have one move, by a plan that is the
+    same at every size."""
+    some, others = split_rows(rows, found)
+    joined = some.join(found.withColumnRenamed("row", "__id").hint("merge"), F.col("__row") == F.col("__id"), "left").drop("__id")
+    return joined.unionByName(others.withColumn(name, F.lit(None).cast(found.schema[name].dataType)))
+
+
 def repeated(found: DataFrame, name: str) -> DataFrame:
     """The rows of ``found`` (doc_id, row, h, pos, body and others) whose body
     occurs more than once, by hash and then by its bytes: (row, pos, others,
@@ -96,11 +121,16 @@ def repeated_chunks(rows: DataFrame, window: int = 2, divisor: int = 3, min_line
     with the places of the pairs of lines in it (none of two blank lines);
     ``blank``: chunks of blank lines alone count, too."""
     # explode_outer: no size filter is inferred that would evaluate the chunks twice
-    chunks = (rows.where(F.col("text").contains("\n"))
-              .select("doc_id", F.col("__row").alias("row"), F.xxhash64("text").alias("h"), F.explode_outer(chunks_of(F.col("text"), window, divisor)).alias("c"))
-              .where((F.col("c.n") >= min_lines) & (F.length("c.body") >= min_chars)))
-    if not blank:
-        chunks = chunks.where(F.col("c.body").rlike(r"\S"))
+    def chunks_in(rows: DataFrame) -> DataFrame:
+        chunks = (rows.where(F.col("text").contains("\n"))
+                  .select("doc_id", F.col("__row").alias("row"), F.xxhash64("text").alias("h"), F.explode_outer(chunks_of(F.col("text"), window, divisor)).alias("c"))
+                  .where((F.col("c.n") >= min_lines) & (F.length("c.body") >= min_chars)))
+        return chunks if blank else chunks.where(F.col("c.body").rlike(r"\S"))
+
+    hashes = materialize(rows.sparkSession, chunks_in(rows).select("row", F.xxhash64("c.body").alias("k")), "chunk-hashes")
+    twice = hashes.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    some, _ = split_rows(rows, hashes.join(twice.hint("merge"), "k", "left_semi"))
+    chunks = chunks_in(some)
     inner = _bind(F.split("c.body", "\n", -1), lambda lines: F.filter(
         F.sequence(F.lit(0), F.size(lines) - 2), lambda i: F.concat(F.get(lines, i), F.get(lines, i + 1)).rlike(r"\S")))
     inside = F.when(F.col("c.n") > 1, F.transform(inner, lambda i: F.col("c.line") + i)).otherwise(F.array().cast("array<int>"))
@@ -111,10 +141,10 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, min_lines: i
     """``docs`` without the repeated chunks; adds ``n_removed`` (chunks)."""
     rows = numbered(docs)
     gone = (repeated_chunks(rows, window, divisor, min_lines, min_chars).where(~F.col("first"))
-            .groupBy("row").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("row", "__id"))
+            .groupBy("row").agg(F.collect_set("pos").alias("__gone")))
     kept = F.filter(chunks_of(F.col("text"), window, divisor), lambda c: ~F.array_contains(F.col("__gone"), c["pos"]))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
-    out = rows.join(gone, F.col("__row") == F.col("__id"), "left")
+    out = with_places(rows, materialize(rows.sparkSession, gone, "removals"), "__gone")
     cols = [c for c in docs.columns if c != "n_removed"]
     n_chars = [F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in cols else []
     return out.select(*[text.alias("text") if c == "text" else n_chars[0] if c == "n_chars" else F.col(f"`{c}`") for c in cols],
@@ -143,7 +173,7 @@ def later_pairs(rows: DataFrame, min_chars: int = 1) -> DataFrame:
     chunks = (repeated_chunks(rows, min_chars=min_chars, blank=False).where(~F.col("first"))
               .select("row", F.explode("pairs").alias("pos")))
     done = materialize(rows.sparkSession, chunks.groupBy("row").agg(F.collect_set("pos").alias("done")), "chunk-removals")
-    open_ = (rows.where(F.col("text").contains("\n")).join(done, F.col("__row") == F.col("row"), "left")
+    open_ = (with_places(rows, done, "done").where(F.col("text").contains("\n"))
              .select("doc_id", F.col("__row").alias("row"), F.xxhash64("text").alias("h"), F.explode_outer(line_pairs(F.col("text"), F.col("done"))).alias("p"))
              .where(F.col("p.len") >= min_chars))
     grown = (repeated(open_.select("doc_id", "row", "h", "p.pos", "p.body"), "repeated-pairs")
@@ -156,7 +186,7 @@ def dedup_runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """``docs`` without the later occurrences of every repeated run of two or
     more lines; adds ``n_removed`` (lines)."""
     rows = numbered(docs)
-    gone = later_pairs(rows, min_chars).select(F.col("row").alias("__id"), F.col("gone").alias("__gone"))
+    gone = materialize(rows.sparkSession, later_pairs(rows, min_chars).withColumnRenamed("gone", "__gone"), "removals")
     cols = [c for c in docs.columns if c != "n_removed"]
 
     def cut(lines: Column) -> Column:
@@ -166,7 +196,7 @@ def dedup_runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
             F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("text"),
             (F.size(lines) - F.size(left)).alias("n")))
 
-    out = (rows.join(gone, F.col("__row") == F.col("__id"), "left")
+    out = (with_places(rows, gone, "__gone")
            .withColumn("__cut", F.when(F.col("__gone").isNotNull(), _bind(F.split("text", "\n", -1), cut))))
     text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.col("__cut.text"))
     made = {"text": text}

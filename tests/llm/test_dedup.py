@@ -426,3 +426,30 @@ def brute_runs_without_blank_pairs(docs):
                     gone |= {i, i + 1}
         out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
     return out
+
+
+def test_only_texts_that_lose_lines_move(spark, monkeypatch):
+    """The rows that a join by row number moves are those with removals, at
+    every size; all others go on without a shuffle."""
+    split, seen = line_dedup.split_rows, []
+
+    def spy(rows, found):
+        out = split(rows, found)
+        seen.append((rows, found, *out))
+        return out
+
+    monkeypatch.setattr(line_dedup, "split_rows", spy)
+    docs = [(i, f"alone {i}\nonly {i}\nhere {i}", "en", "s") for i in range(40)] + [(50 + i, f"own {i}\nshared first\nshared second\nend {i}", "en", "s") for i in range(3)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # as at a size where nothing is small
+    try:
+        got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_runs(table(spark, docs).repartition(7)).collect()}
+        assert got == {i: 0 for i in range(40)} | {50: 0, 51: 2, 52: 2}
+        assert len(seen) == 3
+        for rows, found, some, others in seen:
+            numbers = {r["row"] for r in found.select("row").distinct().collect()}
+            assert {r["__row"] for r in some.collect()} == numbers and some.count() + others.count() == rows.count() == 43
+            assert "hashpartitioning" not in others._jdf.queryExecution().executedPlan().toString()
+        assert {r["doc_id"] for r in seen[-1][2].collect()} == {51, 52}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
