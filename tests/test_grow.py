@@ -119,3 +119,36 @@ def test_a_forest_takes_a_job_a_level(spark, data):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(ens.trees) == 150 and jobs <= 5 + 1
     assert grow._group_size(720_000, 16, 7, 3, 13) > 64 and grow._group_size(50_000_000, 24, 7, 3, 13) * 2 * 50_000_000 <= grow.STATE_BYTES
+
+
+def test_trials_of_a_search_share_trees_and_keep_their_results(spark, data):
+    """Trials with the rules of a split in common, other numbers and depths of
+    trees: each has the AUC of the forest that it would be alone, on both ways."""
+    df, _, _ = data
+    folded = md.kfold(df, "k", 3, 1, "y").persist()
+    edges, weights = grow.bin_edges(folded, FEATS), md.class_weights(folded, "y")
+    blocks = grow.binned(folded, FEATS, "y", edges, "fold")
+    trials = [(5, 4, 2, "sqrt"), (9, 2, 2, "log2"), (3, 7, 2, "sqrt"), (4, 5, 1, "all"), (1, 3, 2, "all")]
+    sc = spark.sparkContext
+    sc.setJobGroup("search-jobs", "jobs of a search")
+    try:
+        here = grow.search_here(blocks, edges, weights, trials, 3, 7)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("search-jobs"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 2 and len(here) == 15
+    far = md._forest_aucs(folded, "y", blocks, edges, weights, trials, 3, 7)
+    assert far == here
+    limit, grow.LOCAL_BYTES = grow.LOCAL_BYTES, 0
+    try:
+        far = md._forest_aucs(folded, "y", blocks, edges, weights, trials, 3, 7)
+    finally:
+        grow.LOCAL_BYTES = limit
+    assert far == pytest.approx(here, abs=1e-12)
+    ev = md.BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="p", numBins=0)
+    for i, (n, depth, least, subset) in enumerate(trials):
+        alone = grow.forest(blocks, edges, weights, [0, 1, 2], n, depth, least, subset, 7)
+        for fold, model in enumerate(alone):
+            held = folded.where(F.col("fold") == fold).withColumn("p", F.round(grow.probability({-1: model}, FEATS), 12))
+            assert ev.evaluate(held) == pytest.approx(here[i, fold], abs=1e-6)
+    folded.unpersist()
