@@ -135,3 +135,12 @@ def test_folds_move_no_rows_and_keep_awkward_ones(spark):
     few = {r["fold"] for r in md.kfold(df.limit(2), "k", 5, 1, "w").collect()}
     assert few == {0, 1}
     assert md.kfold(df.limit(0), "k", 5, 1, "y").count() == 0
+
+
+def test_the_registered_search_makes_all_trials(spark, monkeypatch):
+    from lendscope.plans import model_queries as mq
+
+    asked = {}
+    monkeypatch.setattr(mq, "_raw_split", lambda s, d: (s.range(1).select(F.lit(False).alias("is_test")), []))
+    monkeypatch.setattr(mq.md, "cv_search", lambda *a, **kw: asked.update(kw) or (None, [({"i": i}, 0.5) for i in range(kw["n_trials"])]))
+    assert mq.cv_search_q(spark, "").count() == asked["n_trials"] == 50 and asked["k"] == 5
