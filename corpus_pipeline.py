@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.llm import line_dedup, mixing, ngram_join, packing, quality
-from lendscope.llm.common import held_out
-from lendscope.session import materialize
+from lendscope.llm.common import held_out, split_by_ids
+from lendscope.session import discard, materialize, passing_tables
 from lendscope.sources.tables import read_table
 
 MIX_PERCENT = 80
@@ -73,9 +73,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, back = private(docs)
     rows = materialize(spark, keyed(docs), "pipeline-rows")
-    kept = (ngram_join.join(rows.select(F.col("__row").alias("doc_id"), "text"), 5, 80).where("doc_id = component_id")
-            .select(F.col("doc_id").alias("__kept")))
-    return back(rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi"))
+    gone = (ngram_join.join(rows.select(F.col("__row").alias("doc_id"), "text"), 5, 80).where("doc_id <> component_id")
+            .select(F.col("doc_id").alias("__gone")))
+    gone = materialize(spark, gone, "pipeline-near-copies")
+    some, others = split_by_ids(rows, "__row", gone)           # all other rows stay where they are
+    return back(some.join(gone, F.col("__row") == F.col("__gone"), "left_anti").unionByName(others))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -104,5 +106,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing_tables() as keep:
+            before, docs = docs, keep(materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,9 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from . import textbuf as tb
-from .common import bounded_batches
+from .common import bounded_batches, split_by_ids
 from .components import connected_components
 
 STEP = 1.6
@@ -314,7 +314,9 @@ def _verify_task(words: int, percent: int):
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, members: int = 128) -> DataFrame:
     """The pairs (a, b) whose texts link.  Each a is dealt to groups of about
-    ``members`` partners, so a popular a is split over tasks."""
+    ``members`` partners, so a popular a is split over tasks.  Only the texts of
+    pairs move."""
+    texts, _ = split_by_ids(texts, "doc_id", pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / members)).cast("int"))
     roles = (salted.select(F.col("a").alias("grp"), "salt", F.lit(1).alias("role"), F.col("b").alias("id"))
@@ -404,8 +406,6 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Data
     member = (made.where("kind = 'm'").select("k", "ids").mapInArrow(_unblob, "key long, doc_id long")
               .join(of.select("doc_id", "rep"), "doc_id").select("key", F.col("rep").alias("doc_id")).distinct())
     member = materialize(spark, member, "ngram-members")
-    texts = src.join(member.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = materialize(spark, texts, "ngram-texts")
 
     def allowed(pairs):
         left = info.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -418,7 +418,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Data
             .select("a", F.col("doc_id").alias("b")).distinct())
     one = allowed(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     one = materialize(spark, one, "ngram-star")
-    found = connected_components(verified(one, texts, words, percent).unionByName(equal))
+    found = connected_components(verified(one, src, words, percent).unionByName(equal))
 
     def comp_of(df, name, out):
         return (df.join(found.select(F.col("id").alias(name), F.col("component").alias("__c")), name, "left")
@@ -438,8 +438,10 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Data
              .mapInArrow(_block_pairs(percent), "a long, b long").distinct())
     pairs = materialize(spark, pairs.join(one, ["a", "b"], "left_anti"), "ngram-rest")
     known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    found = connected_components(known.unionByName(verified(pairs, texts, words, percent)))
-    return rows.select("doc_id", "n_shingles"), materialize(spark, found, "ngram-components")
+    found = connected_components(known.unionByName(verified(pairs, src, words, percent)))
+    found = materialize(spark, found, "ngram-components")
+    discard(of, member, one, pairs)
+    return rows.select("doc_id", "n_shingles"), found
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
