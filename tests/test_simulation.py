@@ -86,3 +86,26 @@ def test_md5_losses_are_exact_and_spread(spark):
     assert risk.simulate_losses_md5(df.where("false"), "k", "p", "e", 8).count() == 0
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "conv(" not in plan and re.search(r"RepartitionByExpression \[k#", plan)
+
+
+def test_rare_flags_are_all_found():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 8, 9, 64, 1001, 32_000):
+        for share in (0.0, 0.004, 0.3, 1.0):
+            flags = rng.random(n) < share
+            assert np.array_equal(risk._rare(flags), np.flatnonzero(flags))
+
+
+def test_lgd_lines_give_the_inverse_cdf_over_all_bits():
+    sc = risk.base_scenario()
+    q, cdf, grid = risk.beta_inverse(sc.lgd_a, sc.lgd_b)
+    u = np.concatenate([np.random.default_rng(2).integers(0, 1 << 32, 50_000), [0, 1, (1 << 32) - 1, 1 << 31, (1 << 31) - 1]]).astype(np.uint32)
+    u = np.concatenate([u, [c << 18 for c in (16, 17, 8000, 16367)], [(c << 18) - 1 for c in (17, 8000, 16368)]]).astype(np.uint32)
+
+    class Fixed:
+        ints = staticmethod(lambda n, dtype: u)
+
+    got = risk._draw_lgd(Fixed, len(u), risk._inverses([sc])[sc.lgd_a, sc.lgd_b], sc)
+    inner = (u >> 18 >= risk.LGD_TAIL) & (u >> 18 < risk.LGD_CELLS - risk.LGD_TAIL)
+    want = np.where(inner, np.interp((u + 0.5) / 2.0 ** 18, np.arange(risk.LGD_CELLS + 1), q), np.interp((u + 0.5) / 2.0 ** 32, cdf, grid))
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
